@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_SLICE = 500_000
 
 
-def slice_edges(df: DataFrame, value: str, rows: int, rows_per_slice: int) -> list[float]:
-    """Cut points that part ``value`` into slices of about ``rows_per_slice`` rows.
+def slice_edges(df: DataFrame, place: Column, rows: int, rows_per_slice: int) -> list[float]:
+    """Cut points that part ``rows`` rows of a key into slices by their ``place``.
 
     They come from a mergeable quantile sketch, return to the driver as a handful
     of numbers, and are literals from then on: every branch of the plan cuts alike.
@@ -21,18 +21,46 @@ def slice_edges(df: DataFrame, value: str, rows: int, rows_per_slice: int) -> li
     if slices <= 1:
         return []
     shares = [i / slices for i in range(1, slices)]
-    return sorted(set(df.approxQuantile(value, shares, 0.2 / slices)))
+    placed = df.select(place.cast("double").alias("place"))
+    return sorted(set(placed.approxQuantile("place", shares, 0.2 / slices)))
 
 
-def with_slice(df: DataFrame, value: str, edges: Sequence[float], name: str = "slice") -> DataFrame:
-    """Slice number of every row; equal values always share a slice."""
+def with_slice(df: DataFrame, place: Column, edges: Sequence[float]) -> DataFrame:
+    """Add ``slice``; rows of equal place always share one."""
     if not edges:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn("slice", F.lit(0))
     inner = [e for e in edges if e not in (float("inf"), float("-inf"))]
     cutter = Bucketizer(
-        splits=[float("-inf"), *inner, float("inf")], inputCol=value, outputCol="_cut"
+        splits=[float("-inf"), *inner, float("inf")], inputCol="_place", outputCol="_cut"
     )
-    return cutter.transform(df).withColumn(name, F.col("_cut").cast("int")).drop("_cut")
+    return (
+        cutter.transform(df.withColumn("_place", place.cast("double")))
+        .withColumn("slice", F.col("_cut").cast("int"))
+        .drop("_cut", "_place")
+    )
+
+
+def feature_scale(cells: DataFrame, width: int) -> Callable[[str], Column]:
+    """Place of a value within its feature: its bulk, 1% to 99%, mapped to 0..1.
+
+    Slicing by place instead of by value keeps features of unlike scale apart from
+    each other's cut points.  Subtracting and dividing never swap two values, so
+    the order inside a feature stays.  Two numbers per feature reach the driver.
+    """
+    bulk = cells.groupBy("feature_idx").agg(
+        F.percentile_approx("value", [0.01, 0.99], 1000).alias("b")
+    )
+    low, spread = [0.0] * width, [1.0] * width
+    for row in bulk.collect():
+        first, last = row["b"]
+        low[row["feature_idx"]] = first
+        spread[row["feature_idx"]] = last - first or 1.0
+
+    def place(value: str) -> Column:
+        idx = F.col("feature_idx")
+        return (F.col(value) - F.get(F.lit(low), idx)) / F.get(F.lit(spread), idx)
+
+    return place
 
 
 def running_totals(
@@ -42,12 +70,14 @@ def running_totals(
     totals: dict[str, str],
     edges: Sequence[float] = (),
     tie: Sequence[str] = (),
+    place: Column | None = None,
 ) -> DataFrame:
     """Running sum of each column in ``totals`` (name -> new name) by ``value``.
 
     Without ``edges`` this is one window per key.  With them, each slice of a key
     is summed on its own and then raised by the total of the slices before it, so
     a key holding most of the rows is spread over as many tasks as it has slices.
+    ``place`` (by default the value) must rise with the value inside each key.
     """
     order = [value, *tie]
     if not edges:
@@ -55,7 +85,7 @@ def running_totals(
         return df.select("*", *[F.sum(c).over(w).alias(n) for c, n in totals.items()])
 
     group = [*keys, "slice"]
-    sliced = with_slice(df, value, edges)
+    sliced = with_slice(df, F.col(value) if place is None else place, edges)
     within = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -142,7 +142,7 @@ def _score_counts(
     )
     if rows is None:
         rows = pred.count()
-    edges = slice_edges(marked, "down", rows, rows_per_slice) if rows > rows_per_slice else []
+    edges = slice_edges(marked, F.col("down"), rows, rows_per_slice) if rows > rows_per_slice else []
     return running_totals(grouped, keys, "down", {"pos": "cum_pos", "neg": "cum_neg"}, edges)
 
 

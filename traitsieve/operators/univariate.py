@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from traitsieve.functions.columns import digamma
 from traitsieve.functions.ordered import (
     ROWS_PER_SLICE,
+    feature_scale,
     running_totals,
     slice_edges,
     with_slice,
@@ -74,6 +76,16 @@ def _kth_distance(neighbours: int, centre: Column, k: Column) -> Column:
     return F.get(F.array_sort(F.concat(*parts)), k - 1)
 
 
+def _slicing(
+    cells: DataFrame, width: int, rows: int, rows_per_slice: int
+) -> tuple[Callable[[str], Column], list[float]]:
+    """How to cut long features into value slices; no edges when they are short."""
+    if rows <= rows_per_slice:
+        return F.col, []
+    place = feature_scale(cells, width)
+    return place, slice_edges(cells, place("value"), rows, rows_per_slice)
+
+
 def _with_border_rows(points: DataFrame, neighbours: int) -> DataFrame:
     """Add to each slice the nearest rows of the slices around it, marked ``guest``."""
     group = ["feature_idx", "label", "slice"]
@@ -92,16 +104,20 @@ def _with_border_rows(points: DataFrame, neighbours: int) -> DataFrame:
     # Every slice listed here holds at least one row, so `neighbours` slices on
     # each side are enough to find `neighbours` values.
     along = Window.partitionBy("feature_idx", "label").orderBy("slice")
-    before = F.flatten(F.collect_list("_highs").over(along.rowsBetween(-neighbours, -1)))
-    after = F.flatten(F.collect_list("_lows").over(along.rowsBetween(1, neighbours)))
-    near_below = F.slice(F.sort_array(before, asc=False), 1, neighbours)
-    near_above = F.slice(F.sort_array(after), 1, neighbours)
+    around = ends.select(
+        *group,
+        F.flatten(F.collect_list("_highs").over(along.rowsBetween(-neighbours, -1))).alias("before"),
+        F.flatten(F.collect_list("_lows").over(along.rowsBetween(1, neighbours))).alias("after"),
+    )
+    near_below = F.slice(F.sort_array("before", asc=False), 1, neighbours)
+    near_above = F.slice(F.sort_array("after"), 1, neighbours)
     guests = (
-        ends.select(*group, F.explode(F.concat(near_below, near_above)).alias("g"))
+        around.select(*group, F.explode(F.concat(near_below, near_above)).alias("g"))
         .select(*group, F.col("g.value").alias("value"), F.col("g.copies").alias("copies"))
         .withColumn("guest", F.lit(True))
     )
-    return points.withColumn("guest", F.lit(False)).unionByName(guests.select(*points.columns, "guest"))
+    # Guests carry no class size; they only serve as neighbours.
+    return points.withColumn("guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
 
 
 def mutual_information(
@@ -121,13 +137,13 @@ def mutual_information(
     cells = table.long().select("feature_idx", "label", "value")
     if rows is None:
         rows = table.df.count()
-    edges = slice_edges(cells, "value", rows * table.width, rows_per_slice) if rows > rows_per_slice else []
+    place, edges = _slicing(cells, table.width, rows, rows_per_slice)
 
     points = cells.groupBy("feature_idx", "label", "value").agg(F.count(F.lit(1)).alias("copies"))
     sizes = cells.groupBy("feature_idx", "label").agg(F.count(F.lit(1)).alias("n_class"))
     # One row per feature and class.  Classes of a single sample carry no distance.
     points = points.join(sizes.filter("n_class > 1"), ["feature_idx", "label"])
-    points = with_slice(points, "value", edges)
+    points = with_slice(points, place("value"), edges)
     marked = _with_border_rows(points, neighbours) if edges else points.withColumn("guest", F.lit(False))
 
     order = Window.partitionBy("feature_idx", "label", "slice").orderBy("value")
@@ -177,7 +193,7 @@ def mutual_information(
         ).alias("e"),
     ).select("feature_idx", "label", "value", "copies", "k", "n_class", "e.*")
     counted = running_totals(
-        events, ["feature_idx"], "at", {"weight": "seen"}, edges, tie=["turn"]
+        events, ["feature_idx"], "at", {"weight": "seen"}, edges, tie=["turn"], place=place("at")
     )
     inside = (
         counted.filter("sign <> 0")
@@ -214,11 +230,11 @@ def binned_mutual_information(
     cells = table.long().select("feature_idx", "label", "value")
     if rows is None:
         rows = table.df.count()
-    edges = slice_edges(cells, "value", rows * table.width, rows_per_slice) if rows > rows_per_slice else []
+    place, edges = _slicing(cells, table.width, rows, rows_per_slice)
     by_value = cells.groupBy("feature_idx", "value").agg(F.count(F.lit(1)).alias("copies"))
     totals = cells.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n"))
     placed = (
-        running_totals(by_value, ["feature_idx"], "value", {"copies": "upto"}, edges)
+        running_totals(by_value, ["feature_idx"], "value", {"copies": "upto"}, edges, place=place("value"))
         .join(totals, "feature_idx")
         .select(
             "feature_idx",

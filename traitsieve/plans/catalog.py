@@ -11,10 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitsieve.functions.columns import rounded
-from traitsieve.operators import compare, explore, metrics, prep, profile, shape, split
+from traitsieve.functions.session import scratch_path
+from traitsieve.operators import (
+    compare,
+    explore,
+    importance,
+    knn,
+    metrics,
+    prep,
+    profile,
+    selection,
+    shape,
+    split,
+)
+from traitsieve.operators import models as ml
 from traitsieve.operators import univariate as uni
 from traitsieve.operators import variance as var
 from traitsieve.sources import fixtures as fx
+from traitsieve.sources import sinks, tables
 from traitsieve.table import FeatureTable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,3 +504,275 @@ def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pca_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_doubles(explore.principal_components(fx.emb(spark, sf))[1])
+
+
+# --- nearest neighbours ------------------------------------------------------------
+
+
+@query
+def nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = split.train_test(fx.emb(spark, sf))
+    return rounded_doubles(knn.nearest_neighbours(train, test, k=5, pivots=8, block_rows=128))
+
+
+@query
+def knn_classification(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = split.train_test(fx.emb_bin(spark, sf))
+    return rounded_doubles(knn.knn_classify(train, test, k=7, weights="distance", p=1))
+
+
+# --- model-based selectors and models (fits; checked by rows and by the tests) -----
+
+
+def _planted(spark: SparkSession, sf: str, folds: int | None = None) -> ml.Samples:
+    return ml.prepare(fx.emb_bin(spark, sf), folds=folds)
+
+
+def _planted_pair(spark: SparkSession, sf: str) -> tuple[ml.Samples, ml.Samples]:
+    train, test = split.train_test(fx.emb_bin(spark, sf))
+    return ml.prepare(train), ml.prepare(test, fit_on=train)
+
+
+def _fitted(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    model = build(train).fit(train.rows)
+    return ml.predict_table(model, test.rows, name).drop("scores")
+
+
+@query
+def forest_importance_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.by_importance(_planted(spark, sf), ml.random_forest(20, 8), LIST_SIZE)
+
+
+@query
+def boosting_importance_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.by_importance(_planted(spark, sf), ml.gradient_boosting(8, 3), LIST_SIZE)
+
+
+@query
+def forest_elimination_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.recursive_elimination(
+        _planted(spark, sf), ml.random_forest(20, 5), LIST_SIZE, step=0.3
+    )
+
+
+@query
+def logistic_elimination_selection(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _planted(spark, sf)
+    model = ml.logistic_regression(samples.n_rows)
+    return selection.recursive_elimination(samples, model, LIST_SIZE, step=0.3)
+
+
+@query
+def lasso_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.lasso(_planted(spark, sf), LIST_SIZE, c=0.1)
+
+
+@query
+def lasso_selection_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    return selection.lasso(ml.prepare(fx.emb(spark, sf)), LIST_SIZE, c=1.0, balanced=True, max_iter=50)
+
+
+@query
+def evaluate_selection_methods(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _planted(spark, sf, folds=3)
+    lists = selection.listed(
+        uni.stacked(
+            {
+                "univariate_f_test": uni.ranked(uni.anova_f(samples.table, complete=True), 8),
+                "lasso_regularization": selection.lasso(samples, 8),
+            }
+        )
+    )
+    return selection.evaluate_methods(samples, lists, folds=3, judge=ml.random_forest(20, 8))
+
+
+@query
+def plain_method_scores(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _planted(spark, sf, folds=3)
+    lists = {"f_test": selection.listed(
+        uni.stacked({"f_test": uni.ranked(uni.anova_f(samples.table, complete=True), 8)})
+    )["f_test"]}
+    return selection.score_by_accuracy(samples, lists, folds=3)
+
+
+@query
+def random_forest_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "RandomForest", lambda s: ml.random_forest(50))
+
+
+@query
+def gradient_boosting_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "GradientBoosting", lambda s: ml.gradient_boosting(8, 3))
+
+
+@query
+def ada_boost_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "AdaBoost", lambda s: ml.ada_boost(10))
+
+
+@query
+def logistic_regression_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "LogisticRegression", lambda s: ml.logistic_regression(s.n_rows))
+
+
+@query
+def logistic_regression_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = split.train_test(fx.emb(spark, sf))
+    fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)
+    model = ml.logistic_regression(fit.n_rows).fit(fit.rows)
+    pred = ml.predict_table(model, held.rows, "LogisticRegression")
+    return metrics.class_report(pred)
+
+
+@query
+def linear_svm_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "LinearSVM", lambda s: ml.linear_svm(s.n_rows))
+
+
+@query
+def rbf_svm_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "SVM", lambda s: ml.rbf_svm(s.n_rows, len(s.names)))
+
+
+@query
+def model_grid_search(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _planted(spark, sf, folds=3)
+    model = ml.logistic_regression(samples.n_rows)
+    grid = [{model.regParam: 1.0 / (c * samples.n_rows)} for c in (0.01, 1.0)]
+    return ml.search_scores(ml.grid_search(samples, model, grid, folds=3), spark)
+
+
+@query
+def train_and_score_models(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    found = ml.train_models(
+        train, test,
+        {"RandomForest": ml.random_forest(20), "LogisticRegression": ml.logistic_regression(train.n_rows)},
+    )
+    return metrics.scoreboard(
+        metrics.model_metrics(found.predictions, 1.0, rows=test.n_rows), order=list(found.models)
+    )
+
+
+@query
+def predict_with_best_model(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    found = ml.train_models(train, test, {"LogisticRegression": ml.logistic_regression(train.n_rows)})
+    return prep.decode_labels(
+        found.predict(test.rows).drop("scores"), fx.emb_bin(spark, sf).df, "prediction"
+    )
+
+
+@query
+def save_and_load_models(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    found = ml.train_models(train, test, {"Logistic Regression": ml.logistic_regression(train.n_rows)})
+    paths = ml.save_models(found, scratch_path(spark, "models"))
+    return ml.predict_table(ml.load_model(paths["best"]), test.rows, "best").drop("scores")
+
+
+@query
+def model_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _planted(spark, sf)
+    model = ml.logistic_regression(samples.n_rows).fit(samples.rows)
+    return importance.feature_importance(model, samples)
+
+
+@query
+def top_model_features(spark: SparkSession, sf: str) -> DataFrame:
+    samples = _planted(spark, sf)
+    return importance.top_features(ml.random_forest(20).fit(samples.rows), samples)
+
+
+@query
+def models_on_top_features(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    models = {"LogisticRegression": ml.logistic_regression(train.n_rows)}
+    full = ml.train_models(train, test, models)
+    top = importance.top_indices(importance.top_features(full.best_model, train, 8))
+    small = importance.train_on_top(train, test, models, top)
+    return metrics.model_metrics(small.predictions, 1.0, rows=test.n_rows)
+
+
+@query
+def all_against_top_features(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    name, model = "LogisticRegression", ml.logistic_regression(train.n_rows)
+    full = ml.train_models(train, test, {name: model})
+    top = importance.top_indices(importance.top_features(full.best_model, train, 8))
+    return importance.all_against_top(train, test, name, model, top, full.predictions)
+
+
+@query
+def test_check_of_best_features(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = _planted_pair(spark, sf)
+    top = importance.top_indices(uni.ranked(uni.anova_f(train.table, complete=True), 8))
+    model = ml.random_forest(50).fit(train.select(top).rows)
+    return metrics.accuracy(ml.predict_table(model, test.select(top).rows, "RandomForest"))
+
+
+# --- sources and sinks -------------------------------------------------------------
+
+
+@query
+def load_csv_table(spark: SparkSession, sf: str) -> DataFrame:
+    path = sinks.write_table(fx.miss(spark, sf).wide(), scratch_path(spark, "table") + ".csv", "csv")
+    return cells(tables.load_table(spark, path, "label"))
+
+
+@query
+def load_train_test_pair(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = split.train_test(fx.emb(spark, sf))
+    folder = scratch_path(spark, "pair")
+    paths = [
+        sinks.write_table(part.wide(), f"{folder}/{name}.parquet")
+        for name, part in (("train", train.select(range(60))), ("test", test.select(range(4, 64))))
+    ]
+    loaded, held = tables.load_pair(
+        spark, *paths, "label", "row_id", use_predefined_split=False, seed=7
+    )
+    return held.long().groupBy("row_id", "label").agg(rounded(F.sum("value")).alias("total"))
+
+
+@query
+def export_ml_ready(spark: SparkSession, sf: str) -> DataFrame:
+    train, test = split.train_test(fx.emb(spark, sf))
+    best = importance.top_indices(uni.ranked(uni.anova_f(train, complete=True), 5))
+    names = [train.names[i] for i in best]
+    paths = sinks.write_ml_ready(train, test, names, scratch_path(spark, "ml"), fmt="csv")
+    parts = [
+        tables.load_table(spark, p, "label").long().select(
+            F.lit(n).alias("part"), "row_id", "label", "feature_idx", "value"
+        )
+        for n, p in zip(("train", "test"), paths)
+    ]
+    return rounded_doubles(compare.concat_rows(*parts))
+
+
+@query
+def export_result_tables(spark: SparkSession, sf: str) -> DataFrame:
+    lists = _selection(spark, sf).persist()
+    paths = sinks.write_selection(lists, scratch_path(spark, "lists"), "f_test")
+    best = spark.read.parquet(paths["best_method"]).select("feature", "rank")
+    combined = spark.read.parquet(paths["combined"]).select("feature", "rank")
+    return best.withColumn("list", F.lit("best")).unionByName(
+        combined.withColumn("list", F.lit("combined"))
+    )
+
+
+@query
+def export_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    table = fx.emb(spark, sf)
+    sizes = profile.class_distribution(table.df)
+    classes = sizes.agg(F.struct(F.sum("n").alias("samples"), F.count(F.lit(1)).alias("classes")).alias("s"))
+    best = uni.ranked(uni.anova_f(table, complete=True), 3)
+    names = best.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda r: r["feature"]).alias("f"))
+    row = sinks.summary_row(
+        spark, data=classes.scalar(), selected=names.scalar(), seed=split.SEED, target="label"
+    )
+    path = sinks.write_summary(row, scratch_path(spark, "summary"))
+    back = sinks.read_summary(spark, path)
+    return back.select(
+        "data.samples", "data.classes", F.array_join("selected", ",").alias("selected"), "seed", "target"
+    )

@@ -468,4 +468,50 @@ ORACLE: dict[str, str] = {
         count_if(label = 'FURNITURE') AS "FURNITURE", count_if(label = 'HOUSEHOLD') AS "HOUSEHOLD",
         count_if(label = 'MACHINERY') AS "MACHINERY" FROM cust GROUP BY 1"""
     ),
+    "nearest_neighbours": _sql(
+        f"""SELECT row_id, CAST(pos AS INTEGER) AS position, neighbour_id, neighbour_label, {_r('d', 'distance')} FROM (
+        SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, neighbour_id) AS pos FROM dist) WHERE pos <= 5""",
+        """, dist AS (SELECT q.row_id, t.row_id AS neighbour_id, t.label AS neighbour_label,
+        sqrt(sum(power(q.value - t.value, 2))) AS d FROM emb q JOIN emb_test a ON a.row_id = q.row_id AND a.is_test
+        JOIN emb t ON t.feature_idx = q.feature_idx JOIN emb_test b ON b.row_id = t.row_id AND NOT b.is_test
+        GROUP BY ALL)""",
+    ),
+    "knn_classification": _sql(
+        f"""SELECT row_id, CAST(label AS INTEGER) AS prediction, {_r('share')} FROM (
+        SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY share DESC, label) AS place FROM (
+        SELECT DISTINCT row_id, label, sum(1 / d) OVER (PARTITION BY row_id, label) / sum(1 / d) OVER (PARTITION BY row_id) AS share
+        FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, neighbour_id) AS pos FROM dist)
+        WHERE pos <= 7)) WHERE place = 1""",
+        """, bin_test AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|42'))
+        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS is_test FROM bin_label),
+        dist AS (SELECT q.row_id, t.row_id AS neighbour_id, b.label, sum(abs(q.value - t.value)) AS d
+        FROM emb q JOIN bin_test a ON a.row_id = q.row_id AND a.is_test
+        JOIN emb t ON t.feature_idx = q.feature_idx JOIN bin_test b ON b.row_id = t.row_id AND NOT b.is_test
+        GROUP BY ALL)""",
+    ),
+    "load_csv_table": _sql(_cells("miss")),
+    "load_train_test_pair": _sql(
+        f"""SELECT row_id, label, {_r('total')} FROM (SELECT row_id, label, total,
+        row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|7'))
+        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS held FROM (
+        SELECT row_id, label, sum(value) AS total FROM emb WHERE feature_idx BETWEEN 4 AND 59 GROUP BY ALL)) WHERE held"""
+    ),
+    "export_ml_ready": _sql(
+        f"""SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, e.row_id, e.label,
+        CAST(f.pos - 1 AS INTEGER) AS feature_idx, {_r('e.value', 'value')} FROM emb e JOIN emb_test s USING (row_id)
+        JOIN (SELECT feature_idx, row_number() OVER (ORDER BY score DESC, feature_idx) AS pos
+        FROM ({{f:train_rows}})) f ON f.feature_idx = e.feature_idx AND f.pos <= 5""",
+        ", train_rows AS (SELECT e.* FROM emb e JOIN emb_test s USING (row_id) WHERE NOT s.is_test)",
+    ),
+    "export_result_tables": _sql(
+        """SELECT feature, rank, 'best' AS list FROM selection WHERE method = 'f_test' UNION ALL
+        SELECT feature, CAST(row_number() OVER (ORDER BY feature) AS INTEGER), 'combined'
+        FROM (SELECT DISTINCT feature FROM selection)"""
+    ),
+    "export_run_summary": _sql(
+        """SELECT (SELECT count(*) FROM embeddings) AS samples, (SELECT count(DISTINCT label) FROM embeddings) AS classes,
+        (SELECT string_agg('f' || feature_idx, ',' ORDER BY score DESC, feature_idx) FROM (
+        SELECT * FROM ({f:emb}) ORDER BY score DESC, feature_idx LIMIT 3)) AS selected,
+        CAST(42 AS BIGINT) AS seed, 'label' AS target"""
+    ),
 }
