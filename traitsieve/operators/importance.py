@@ -54,6 +54,6 @@ def all_against_top(
     the former; two classes."""
     small = train_on_top(train, test, {name: fresh}, top)
     return compare_feature_sets(
-        model_metrics(full.filter(F.col("model") == name), 1.0, rows=test.n_rows),
-        model_metrics(small.predictions, 1.0, rows=test.n_rows),
+        model_metrics(full.filter(F.col("model") == name), float(train.positive), rows=test.n_rows),
+        model_metrics(small.predictions, float(train.positive), rows=test.n_rows),
     )

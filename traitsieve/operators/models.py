@@ -8,7 +8,8 @@ linear models maps to ``regParam = 1 / (C * rows)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
@@ -32,7 +33,18 @@ from pyspark.sql import functions as F
 from traitsieve.functions.session import stable_layout
 from traitsieve.operators.adaboost import AdaBoost
 from traitsieve.operators.fourier import FourierFeatures
-from traitsieve.operators.prep import encode_labels, standardise
+from traitsieve.operators.metrics import (
+    accuracy,
+    model_metrics,
+    one_vs_rest_auc,
+    weighted_metrics,
+)
+from traitsieve.operators.prep import (
+    NEGATIVE_OF_PAIR,
+    POSITIVE_OF_PAIR,
+    encode_labels,
+    standardise,
+)
 from traitsieve.operators.split import SEED, with_fold
 from traitsieve.table import FeatureTable
 
@@ -49,17 +61,17 @@ class Samples:
     n_rows: int
     n_classes: int
     table: FeatureTable
+    positive: int = 1
 
     def select(self, indices: Sequence[int]) -> Samples:
         indices = [int(i) for i in indices]
         slicer = VectorSlicer(inputCol="features", outputCol="_chosen", indices=indices)
         chosen = slicer.transform(self.rows).drop("features").withColumnRenamed("_chosen", "features")
-        return Samples(
-            chosen,
-            tuple(self.names[i] for i in indices),
-            self.n_rows,
-            self.n_classes,
-            self.table.select(indices),
+        return replace(
+            self,
+            rows=chosen,
+            names=tuple(self.names[i] for i in indices),
+            table=self.table.select(indices),
         )
 
     def release(self) -> None:
@@ -71,22 +83,30 @@ def prepare(
     fit_on: FeatureTable | None = None,
     scale: bool = True,
     folds: int | None = None,
-    row_layout: bool = True,
 ) -> Samples:
     """Standardise, encode and lay out a complete table for repeated fits."""
     source = table if fit_on is None else fit_on
+    # One row per class comes back.
+    sizes = {r["label"]: r["n"] for r in table.df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_rows, pair = sum(sizes.values()), {str(c) for c in sizes} == {POSITIVE_OF_PAIR, NEGATIVE_OF_PAIR}
     scaled = standardise(table, fit_on=source, complete=True) if scale else table
     coded = encode_labels(scaled.df, fit_on=source.df)
     coded = coded.withColumn("label", F.col("code").cast("double")).drop("code")
     if folds:
-        coded = with_fold(coded, folds)
+        coded = with_fold(coded, folds, eager=True)
     ready = scaled.with_df(coded)
     keep = ["row_id", "label", "features", *(["fold"] if folds else [])]
-    rows = ready.vectors().select(*keep)
-    if row_layout:
-        rows = stable_layout(rows)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("k")).first()
-    return Samples(rows, table.names, counts["n"], counts["k"], ready)
+    rows = stable_layout(ready.vectors().select(*keep), n_rows)
+    return Samples(
+        rows, table.names, n_rows, len(sizes), _from_cache(ready, rows), positive=0 if pair else 1
+    )
+
+
+def _from_cache(table: FeatureTable, rows: DataFrame) -> FeatureTable:
+    """The same table read from the cached rows, so later statistics reuse them."""
+    return table.with_df(
+        rows.select("row_id", "label", vector_to_array("features").alias("values"))
+    )
 
 
 # --- estimators --------------------------------------------------------------------
@@ -214,7 +234,9 @@ def grid_search(
 ) -> CrossValidatorModel:
     """Cross-validate every grid point on stratified folds and refit the best on all."""
     maps = param_maps(estimator, grid) if isinstance(grid, dict) else grid
-    rows = samples.rows if "fold" in samples.rows.columns else with_fold(samples.rows, folds, seed)
+    rows = samples.rows
+    if "fold" not in rows.columns:
+        rows = with_fold(rows, folds, seed, eager=True)
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=maps,
@@ -238,8 +260,11 @@ def search_scores(found: CrossValidatorModel, spark) -> DataFrame:
 # --- training and prediction -------------------------------------------------------
 
 
-def predict_table(model: Model, rows: DataFrame, name: str) -> DataFrame:
-    """``model, row_id, label, prediction, score, scores`` for any fitted model."""
+def predict_table(model: Model, rows: DataFrame, name: str, positive: int = 1) -> DataFrame:
+    """``model, row_id, label, prediction, score, scores`` for any fitted model.
+
+    ``score`` belongs to the positive class; ``scores`` has one entry per class.
+    """
     scored = model.transform(rows)
     source = next(c for c in ("probability", "rawPrediction") if c in scored.columns)
     scores = vector_to_array(source)
@@ -250,7 +275,7 @@ def predict_table(model: Model, rows: DataFrame, name: str) -> DataFrame:
         F.col("label").cast("double").alias("label"),
         *keep,
         F.col("prediction").cast("double").alias("prediction"),
-        F.get(scores, F.lit(1)).alias("score"),
+        F.get(scores, F.lit(positive)).alias("score"),
         scores.alias("scores"),
     )
 
@@ -316,10 +341,6 @@ def train_models(
     A model may come with a grid, which is then searched first.  Equal accuracies
     go to the model named first.
     """
-    from functools import reduce
-
-    from traitsieve.operators.metrics import accuracy
-
     result = ModelSet()
     tables = []
     for name, model in models.items():
@@ -327,7 +348,7 @@ def train_models(
             result.models[name] = grid_search(train, *model, metric="accuracy").bestModel
         else:
             result.models[name] = model.fit(train.rows)
-        tables.append(predict_table(result.models[name], test.rows, name))
+        tables.append(predict_table(result.models[name], test.rows, name, train.positive))
     result.predictions = reduce(DataFrame.unionByName, tables)
     # One row per model.
     scores = {r["model"]: r["accuracy"] for r in accuracy(result.predictions).collect()}
@@ -340,6 +361,18 @@ def model_folder(name: str) -> str:
     return name.replace(" ", "_").lower() + "_model"
 
 
+def test_report(pred: DataFrame, samples: Samples) -> DataFrame:
+    """Figures per model: the six binary ones, or weighted ones for more classes."""
+    if samples.n_classes == 2:
+        return model_metrics(pred, float(samples.positive), rows=samples.n_rows)
+    classes = [float(c) for c in range(samples.n_classes)]
+    return (
+        accuracy(pred)
+        .join(one_vs_rest_auc(pred, classes, rows=samples.n_rows), "model")
+        .join(weighted_metrics(pred), "model")
+    )
+
+
 def save_models(found: ModelSet, folder: str) -> dict[str, str]:
     """Write every model and the best one; each is a complete fitted pipeline."""
     paths = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitsieve.operators import models as ml
-from traitsieve.operators.metrics import accuracy, auc, cross_validated, one_vs_rest_auc
+from traitsieve.operators.metrics import accuracy, cross_validated, one_vs_rest_auc
 from traitsieve.operators.models import Samples
 from traitsieve.operators.split import FOLDS, SEED, with_fold
 from traitsieve.operators.univariate import (
@@ -100,7 +101,7 @@ def lasso(
     from traitsieve.operators.prep import with_class_weight
 
     rows = with_class_weight(samples.rows) if balanced else samples.rows
-    weighted = Samples(rows, samples.names, samples.n_rows, samples.n_classes, samples.table)
+    weighted = replace(samples, rows=rows)
     model = ml.logistic_regression(
         samples.n_rows, c, l1_ratio=1.0, max_iter=max_iter, weight="weight" if balanced else None
     )
@@ -143,22 +144,28 @@ def listed(selection: DataFrame) -> dict[str, list[int]]:
 
 def out_of_fold(samples: Samples, estimator: Estimator, folds: int = FOLDS, name: str = "model") -> DataFrame:
     """Prediction table in which every row is scored by a model that never saw it."""
-    rows = samples.rows if "fold" in samples.rows.columns else with_fold(samples.rows, folds, SEED)
+    rows = samples.rows
+    if "fold" not in rows.columns:
+        rows = with_fold(rows, folds, SEED, eager=True)
     parts = [
         ml.predict_table(
-            estimator.fit(rows.filter(F.col("fold") != i)), rows.filter(F.col("fold") == i), name
+            estimator.fit(rows.filter(F.col("fold") != i)),
+            rows.filter(F.col("fold") == i),
+            name,
+            samples.positive,
         )
         for i in range(folds)
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def fold_metrics(pred: DataFrame, n_classes: int, n_rows: int) -> DataFrame:
+def fold_metrics(pred: DataFrame, samples: Samples) -> DataFrame:
     """Mean and deviation of accuracy and AUC over folds, for any number of classes."""
-    if n_classes == 2:
-        return cross_validated(pred, 1.0, rows=n_rows)
+    n_rows = samples.n_rows
+    if samples.n_classes == 2:
+        return cross_validated(pred, float(samples.positive), rows=n_rows)
     keys = ["model", "fold"]
-    classes = [float(c) for c in range(n_classes)]
+    classes = [float(c) for c in range(samples.n_classes)]
     folds = accuracy(pred, keys).join(
         one_vs_rest_auc(pred, classes, keys, rows=n_rows), keys
     )
@@ -195,7 +202,7 @@ def evaluate_methods(
             model = judge.copy({judge.getParam(n): best.getOrDefault(n) for n in grid})
         tables.append(out_of_fold(chosen, model, folds, method))
     pred = reduce(DataFrame.unionByName, tables)
-    return fold_metrics(pred, samples.n_classes, samples.n_rows).select(
+    return fold_metrics(pred, samples).select(
         F.col("model").alias("method"),
         F.col("mean_auc").alias("auc"),
         F.col("mean_accuracy").alias("accuracy"),
@@ -220,10 +227,3 @@ def best_method(scores: DataFrame, order: Sequence[str] = METHODS) -> str:
     place = {m: i for i, m in enumerate(order)}
     rows = scores.select("method", "auc").collect()
     return min(rows, key=lambda r: (-r["auc"], place.get(r["method"], len(place))))["method"]
-
-
-def test_auc(pred: DataFrame, n_classes: int, n_rows: int) -> DataFrame:
-    """AUC per model; the mean of one-vs-rest beyond two classes."""
-    if n_classes == 2:
-        return auc(pred, 1.0, rows=n_rows)
-    return one_vs_rest_auc(pred, [float(c) for c in range(n_classes)], rows=n_rows)

@@ -27,11 +27,18 @@ def row_hash(seed: int = SEED, row_id: str = "row_id") -> Column:
 
 
 def _class_cuts(
-    df: DataFrame, strata: Column, ranks: Callable[[Column], Column], seed: int, prefix: int
+    df: DataFrame,
+    strata: Column,
+    ranks: Callable[[Column], Column],
+    seed: int,
+    prefix: int,
+    eager: bool = False,
 ) -> Column:
-    """Map class -> array of the hashes at the wanted ranks, as a scalar subquery.
+    """Map class -> array of the hashes at the wanted ranks.
 
-    ``ranks`` turns a class size into an array of ranks, best in rising order.
+    A scalar subquery, or with ``eager`` a literal computed now (a few hashes per
+    class), which later passes over the same split need not work out again.
+    ``ranks`` turns a class size into an array of ranks in rising order.
     """
     keyed = df.select(strata.alias("stratum"), row_hash(seed).alias("hash")).withColumn(
         "cell", F.substring("hash", 1, prefix)
@@ -68,6 +75,10 @@ def _class_cuts(
         .agg(F.array_sort(F.collect_list(F.struct("t.pos", "hash"))).alias("cuts"))
         .select("stratum", F.transform("cuts", lambda c: c["hash"]).alias("cuts"))
     )
+    if eager:
+        found = [F.lit(x) for r in cuts.collect() for x in (r["stratum"], r["cuts"])]
+        if found:
+            return F.create_map(*found)
     return cuts.agg(
         F.map_from_entries(F.collect_list(F.struct("stratum", "cuts"))).alias("cuts")
     ).scalar()
@@ -79,18 +90,19 @@ def with_test_flag(
     seed: int = SEED,
     stratify: bool = True,
     prefix: int = 3,
+    eager: bool = False,
 ) -> DataFrame:
     """Add ``is_test``: the ``round(share * n)`` smallest hashes of every class."""
     strata = F.col("label") if stratify else F.lit("all")
     cuts = _class_cuts(
-        df, strata, lambda n: F.array(F.round(n * F.lit(share)).cast("long")), seed, prefix
+        df, strata, lambda n: F.array(F.round(n * F.lit(share)).cast("long")), seed, prefix, eager
     )
     cut = F.get(F.try_element_at(cuts, strata), F.lit(0))
     return df.withColumn("is_test", F.coalesce(row_hash(seed) <= cut, F.lit(False)))
 
 
 def with_fold(
-    df: DataFrame, folds: int = FOLDS, seed: int = SEED, prefix: int = 3
+    df: DataFrame, folds: int = FOLDS, seed: int = SEED, prefix: int = 3, eager: bool = False
 ) -> DataFrame:
     """Add ``fold`` 0..folds-1: equal-sized runs of each class in hash order."""
 
@@ -100,7 +112,7 @@ def with_fold(
             *[F.lit(j) * base + F.least(F.lit(j), extra) for j in range(1, folds)]
         )
 
-    cuts = _class_cuts(df, F.col("label"), ends, seed, prefix)
+    cuts = _class_cuts(df, F.col("label"), ends, seed, prefix, eager)
     passed = F.size(F.filter("_cuts", lambda c: c < row_hash(seed)))
     return (
         df.withColumn("_cuts", F.try_element_at(cuts, F.col("label")))

@@ -529,7 +529,7 @@ def _planted(spark: SparkSession, sf: str, folds: int | None = None) -> ml.Sampl
 
 
 def _planted_pair(spark: SparkSession, sf: str) -> tuple[ml.Samples, ml.Samples]:
-    train, test = split.train_test(fx.emb_bin(spark, sf))
+    train, test = split.train_test(fx.emb_bin(spark, sf), eager=True)
     return ml.prepare(train), ml.prepare(test, fit_on=train)
 
 
@@ -618,7 +618,7 @@ def logistic_regression_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def logistic_regression_multiclass(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = split.train_test(fx.emb(spark, sf))
+    train, test = split.train_test(fx.emb(spark, sf), eager=True)
     fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)
     model = ml.logistic_regression(fit.n_rows).fit(fit.rows)
     pred = ml.predict_table(model, held.rows, "LogisticRegression")
