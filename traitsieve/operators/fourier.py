@@ -24,7 +24,7 @@ class FourierFeatures(
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
 
     def __init__(
-        self, inputCol: str = "features", outputCol: str = "lifted", components: int = 256,
+        self, inputCol: str = "features", outputCol: str = "lifted", components: int = 1024,
         width: int = 1, gamma: float = 1.0, seed: int = 42,
     ):
         super().__init__()

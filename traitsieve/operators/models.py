@@ -160,7 +160,7 @@ def _calibration() -> list:
 
 
 def rbf_svm(
-    n_rows: int, width: int, c: float = 1.0, gamma: float | None = None, components: int = 256,
+    n_rows: int, width: int, c: float = 1.0, gamma: float | None = None, components: int = 1024,
     max_iter: int = 50, seed: int = SEED,
 ) -> Estimator:
     """Two-class SVM with an RBF kernel, approximated by random Fourier features.

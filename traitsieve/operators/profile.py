@@ -116,7 +116,7 @@ def gate(table: FeatureTable, min_samples: int = MIN_SAMPLES) -> DataFrame:
         others = missing_by_column(table.df.select(*[quoted(c) for c in table.extra]))
         listed = others.agg(F.collect_list(F.when(over, F.col("column"))).alias("c"))
         too_missing = F.concat(too_missing, listed.scalar())
-    return target.withColumn("too_missing", F.array_sort(too_missing)).select(
+    return target.withColumn("too_missing", F.sort_array(too_missing)).select(
         "n_rows",
         F.lit(table.width).alias("n_features"),
         "n_classes",
