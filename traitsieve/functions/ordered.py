@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 500_000
+ROWS_PER_SLICE = 2_000_000
 
 
 def slice_edges(df: DataFrame, place: Column, rows: int, rows_per_slice: int) -> list[float]:

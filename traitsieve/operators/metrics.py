@@ -129,23 +129,46 @@ def class_report(pred: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame
     )
 
 
+def _is(column: str, positive: Column | int | str) -> Column:
+    return F.col(column) == (positive if isinstance(positive, Column) else F.lit(positive))
+
+
 def _score_counts(
-    pred: DataFrame, positive: Column | int | str, keys: Sequence[str], rows: int | None, rows_per_slice: int
+    pred: DataFrame,
+    positive: Column | int | str,
+    keys: Sequence[str],
+    rows: int | None,
+    rows_per_slice: int,
+    outcomes: bool = False,
 ) -> DataFrame:
-    """Positives and negatives per distinct score with running sums by falling score."""
-    wanted = positive if isinstance(positive, Column) else F.lit(positive)
-    marked = pred.select(
-        *keys, (-F.col("score")).alias("down"), (F.col("label") == wanted).alias("hit")
-    )
-    grouped = marked.groupBy(*keys, "down").agg(
-        F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg")
-    )
+    """Positives and negatives per distinct score with running sums by falling score.
+
+    ``outcomes`` also counts hits, true positives and positive predictions, for
+    which the table must have predictions.
+    """
+    flags = {"pos": _is("label", positive), "neg": ~_is("label", positive)}
+    if outcomes:
+        flags["hits"] = F.col("label") == F.col("prediction")
+        flags["tp"] = _is("label", positive) & _is("prediction", positive)
+        flags["said"] = _is("prediction", positive)
+    down = (-F.col("score")).alias("down")
+    grouped = pred.groupBy(*keys, down).agg(*[F.count_if(f).alias(n) for n, f in flags.items()])
     if rows is None:
         rows = pred.count()
-    edges = slice_edges(marked, F.col("down"), rows, rows_per_slice) if rows > rows_per_slice else []
+    edges = slice_edges(pred.select(down), F.col("down"), rows, rows_per_slice) if rows > rows_per_slice else []
     return running_totals(grouped, keys, "down", {"pos": "cum_pos", "neg": "cum_neg"}, edges)
 
 
+def _won() -> Column:
+    """Pairs a score group decides: each negative is beaten by the positives above
+    it and ties with its equals."""
+    return F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
+
+
+def _area() -> Column:
+    return F.try_divide(_won(), F.sum("pos").cast("double") * F.sum("neg").cast("double"))
+
+
 def _class_totals(pred: DataFrame, positive: Column | int | str, keys: Sequence[str]) -> DataFrame:
     wanted = positive if isinstance(positive, Column) else F.lit(positive)
     hit = F.col("label") == wanted
@@ -189,21 +212,31 @@ def auc(
 ) -> DataFrame:
     """Exact area under the ROC curve; null when a class is absent."""
     counts = _score_counts(pred, positive, keys, rows, rows_per_slice)
-    # Every negative is beaten by the positives above it and ties with its equals.
-    won = F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0)
-    return counts.groupBy(*keys).agg(
-        F.try_divide(
-            F.sum(won), F.sum("pos").cast("double") * F.sum("neg").cast("double")
-        ).alias("auc")
-    )
+    return counts.groupBy(*keys).agg(_area().alias("auc"))
 
 
 def model_metrics(
-    pred: DataFrame, positive: Column | int | str, keys: Sequence[str] = ("model",), rows: int | None = None
+    pred: DataFrame,
+    positive: Column | int | str,
+    keys: Sequence[str] = ("model",),
+    rows: int | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """The six figures per key; both parts have one row per key."""
-    both = binary_metrics(pred, positive, keys).join(auc(pred, positive, keys, rows), list(keys), "left")
-    return both.select(*keys, *METRICS)
+    """The six figures per key, all from one grouping of the predictions by score."""
+    counts = _score_counts(pred, positive, keys, rows, rows_per_slice, outcomes=True)
+    sums = counts.groupBy(*keys).agg(
+        _area().alias("auc"), *[F.sum(c).alias(c) for c in ("pos", "neg", "hits", "tp", "said")]
+    )
+    pos, neg, tp, said = (F.col(c) for c in ("pos", "neg", "tp", "said"))
+    return sums.select(
+        *keys,
+        ratio(F.col("hits"), pos + neg).alias("accuracy"),
+        "auc",
+        ratio(tp, pos).alias("sensitivity"),
+        ratio(neg - (said - tp), neg).alias("specificity"),
+        ratio(tp, said).alias("precision"),
+        ratio(2 * tp, said + pos).alias("f1_score"),
+    )
 
 
 def one_vs_rest_auc(
@@ -253,8 +286,7 @@ def cross_validated(
     pred: DataFrame, positive: Column | int | str, keys: Sequence[str] = ("model",), rows: int | None = None
 ) -> DataFrame:
     """Mean and population deviation of the fold accuracies and AUCs."""
-    fold_keys = [*keys, "fold"]
-    folds = accuracy(pred, fold_keys).join(auc(pred, positive, fold_keys, rows), fold_keys)
+    folds = model_metrics(pred, positive, [*keys, "fold"], rows)
     return folds.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("folds"),
         F.avg("accuracy").alias("mean_accuracy"),

@@ -1,46 +1,77 @@
-"""Count, mean and variance per feature, optionally per class."""
+"""Per-feature aggregates: any aggregate, and count, mean and variance."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from traitsieve.table import FeatureTable
 
+# Up to this width one aggregate with a column per feature beats exploding the rows.
+NARROW_WIDTH = 40
+
+
+def per_feature(
+    table: FeatureTable,
+    aggregates: dict[str, Callable[[Column], Column]],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """``[by,] feature_idx`` and one column per aggregate; missing cells are null.
+
+    A narrow table is aggregated in place: the array never materialises and only
+    the columns needed are read.  A wide one is exploded into cells, so the plan
+    does not grow with its width; both combine inside each task before the shuffle.
+    """
+    if table.width > NARROW_WIDTH:
+        return (
+            table.long(keep_missing=True)
+            .groupBy(*by, "feature_idx")
+            .agg(*[make(F.col("value")).alias(n) for n, make in aggregates.items()])
+        )
+    columns = [
+        F.struct(
+            F.lit(i).alias("feature_idx"),
+            *[make(F.get(F.col("values"), F.lit(i))).alias(n) for n, make in aggregates.items()],
+        )
+        for i in range(table.width)
+    ]
+    return (
+        table.df.groupBy(*by)
+        .agg(F.array(*columns).alias("_stats"))
+        .select(*by, F.explode("_stats").alias("_s"))
+        .select(*by, "_s.*")
+    )
+
 
 def feature_moments(
     table: FeatureTable, by_label: bool = False, complete: bool = False
 ) -> DataFrame:
     """``[label,] feature_idx, n, mean, variance`` with the sample variance.
 
-    Both ways combine inside each task before the shuffle.  ``complete`` promises
-    there is no missing cell and keeps one vector per class and task instead of
-    exploding every row into its cells.
+    ``complete`` promises there is no missing cell; a wide table then keeps one
+    vector per class and task instead of exploding its rows.
     """
-    keys = ["label"] if by_label else []
-    if not complete:
-        return (
-            table.long()
-            .groupBy(*keys, "feature_idx")
-            .agg(
-                F.count("value").alias("n"),
-                F.avg("value").alias("mean"),
-                F.var_samp("value").alias("variance"),
-            )
+    by = ["label"] if by_label else []
+    if not complete or table.width <= NARROW_WIDTH:
+        moments = per_feature(
+            table, {"n": F.count, "mean": F.avg, "variance": F.var_samp}, by
         )
+        return moments.filter(F.col("n") > 0)
     summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col("values")))
     cells = F.arrays_zip(
         vector_to_array(F.col("s.mean")).alias("mean"),
         vector_to_array(F.col("s.variance")).alias("variance"),
     )
     return (
-        table.df.groupBy(*keys)
+        table.df.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("n"), summary.alias("s"))
-        .select(*keys, "n", F.posexplode(cells).alias("feature_idx", "cell"))
+        .select(*by, "n", F.posexplode(cells).alias("feature_idx", "cell"))
         .select(
-            *keys,
+            *by,
             "feature_idx",
             "n",
             F.col("cell.mean").alias("mean"),

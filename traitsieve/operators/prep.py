@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from traitsieve.functions.columns import classes_of
 from traitsieve.functions.ordered import exact_quantile
-from traitsieve.operators.moments import feature_moments
+from traitsieve.operators.moments import feature_moments, per_feature
 from traitsieve.table import FeatureTable
 
 # Class names that fix which of two labels is the positive one (fixed values).
@@ -159,14 +159,61 @@ def preprocess(
     Unlike a per-table imputation, the test part never sees its own statistics.
     """
     parts = [train] if test is None else [train, test]
-    filled = [impute(p, missing, fit_on=train) for p in parts]
-    if scale:
-        filled = [standardise(p, fit_on=filled[0]) for p in filled]
+    if missing == "drop":
+        parts = [impute(p, "drop") for p in parts]
+        done = [standardise(p, fit_on=parts[0]) for p in parts] if scale else parts
+    elif scale:
+        fitted = _fill_and_scale(train, missing)
+        done = [
+            _with_fitted(p, fitted, lambda v, s: (F.coalesce(v, s["fill"]) - s["mean"]) / s["spread"])
+            for p in parts
+        ]
+    else:
+        done = [impute(p, missing, fit_on=train) for p in parts]
     if encode:
-        filled = [
+        done = [
             p.with_df(
                 encode_labels(p.df, fit_on=train.df).withColumn("label", F.col("code")).drop("code")
             )
-            for p in filled
+            for p in done
         ]
-    return filled[0], filled[1] if test is not None else None
+    return done[0], done[1] if test is not None else None
+
+
+def _fill_and_scale(train: FeatureTable, missing: str) -> Column:
+    """Per feature the fill value and the mean and deviation after filling.
+
+    Filling m of n + m cells moves mean and squares by a known amount, so the raw
+    moments give the figures of the filled column without a second pass.
+    """
+    stats = per_feature(
+        train,
+        {"n": F.count, "all": lambda v: F.count(F.lit(1)), "mean": F.avg, "variance": F.var_samp},
+    )
+    if missing == "median":
+        medians = exact_quantile(train.long(), "feature_idx", "value", 0.5)
+        stats = stats.join(medians.withColumnRenamed("quantile", "fill"), "feature_idx", "left")
+    elif missing == "mean":
+        stats = stats.withColumn("fill", F.col("mean"))
+    elif missing == "zero":
+        stats = stats.withColumn("fill", F.lit(0.0))
+    else:
+        raise ValueError(f"unknown strategy {missing!r}")
+    n, total, mean, fill = (F.col(c) for c in ("n", "all", "mean", "fill"))
+    known = F.coalesce(mean, F.lit(0.0))
+    centre = (n * known + (total - n) * fill) / total
+    squares = (
+        F.coalesce(F.col("variance") * (n - 1), F.lit(0.0))
+        + n * (known - centre) * (known - centre)
+        + (total - n) * (fill - centre) * (fill - centre)
+    )
+    spread = F.sqrt(squares / total)
+    return per_feature_array(
+        stats,
+        F.struct(
+            fill.alias("fill"),
+            centre.alias("mean"),
+            F.when(spread == 0, F.lit(1.0)).otherwise(spread).alias("spread"),
+        ),
+        train.width,
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traitsieve.operators.moments import per_feature
 from traitsieve.operators.variance import VARIANCE_THRESHOLD
 from traitsieve.table import FeatureTable, missing_to_null, numeric_columns, quoted
 
@@ -19,32 +20,30 @@ MIN_COMMON_SHARE = 0.8
 def missing_by_column(df: DataFrame) -> DataFrame:
     """``column, n_missing, missing_fraction`` for every column, target included."""
     numeric = set(numeric_columns(df))
-    flags = [
-        F.struct(
-            F.lit(c).alias("column"),
-            (missing_to_null(quoted(c)) if c in numeric else quoted(c)).isNull().cast("int").alias("m"),
-        )
+    absent = [
+        (missing_to_null(quoted(c)) if c in numeric else quoted(c)).isNull().cast("double")
         for c in df.columns
     ]
-    return (
-        df.select(F.explode(F.array(*flags)).alias("f"))
-        .groupBy(F.col("f.column").alias("column"))
-        .agg(F.sum("f.m").alias("n_missing"), F.avg("f.m").alias("missing_fraction"))
+    flags = FeatureTable(
+        df.select(F.lit(0).alias("row_id"), F.lit(0).alias("label"), F.array(*absent).alias("values")),
+        tuple(df.columns),
+    )
+    return per_feature(flags, {"n_missing": F.sum, "missing_fraction": F.avg}).select(
+        flags.name_of().alias("column"), F.col("n_missing").cast("long").alias("n_missing"), "missing_fraction"
     )
 
 
 def feature_profile(table: FeatureTable) -> DataFrame:
     """One pass per feature: missing cells, range, variance, constant and low flags."""
-    stats = (
-        table.long(keep_missing=True)
-        .groupBy("feature_idx")
-        .agg(
-            F.count_if(F.col("value").isNull()).alias("n_missing"),
-            F.avg(F.col("value").isNull().cast("int")).alias("missing_fraction"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-            F.var_samp("value").alias("variance"),
-        )
+    stats = per_feature(
+        table,
+        {
+            "n_missing": lambda v: F.count_if(v.isNull()),
+            "missing_fraction": lambda v: F.avg(v.isNull().cast("int")),
+            "low": F.min,
+            "high": F.max,
+            "variance": F.var_samp,
+        },
     )
     return stats.select(
         "feature_idx",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traitsieve.operators.moments import per_feature
 from traitsieve.table import METADATA_COLUMNS, FeatureTable, numeric_columns, quoted
 
 # Bounds a column must lie strictly inside to be narrowed (fixed values).
@@ -48,37 +51,37 @@ def align_features(train: FeatureTable, test: FeatureTable) -> tuple[FeatureTabl
 
 
 def column_ranges(df: DataFrame) -> DataFrame:
-    """One row per numeric column: ``column, data_type, low, high``, in one pass.
+    """One row per numeric column: ``column, data_type, low_int, high_int, low, high``.
 
     Integers and floating columns keep their own arrays, so long keys stay exact.
     """
-    whole = [f for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)]
-    real = [f for f in df.schema.fields if isinstance(f.dataType, T.FractionalType)]
-
-    def cells(fields: list, as_type: str) -> Column:
-        rows = [
-            F.struct(
-                F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                (quoted(f.name) if as_type == "bigint" else F.lit(None)).cast("bigint").alias("i"),
-                (quoted(f.name) if as_type == "double" else F.lit(None)).cast("double").alias("d"),
-            )
-            for f in fields
-        ]
-        return F.array(*rows)
-
-    parts = [cells(g, t) for g, t in ((whole, "bigint"), (real, "double")) if g]
-    return (
-        df.select(F.explode(F.concat(*parts)).alias("c"))
-        .select("c.*")
-        .groupBy("column", "data_type")
-        .agg(
-            F.min("i").alias("low_int"),
-            F.max("i").alias("high_int"),
-            F.min("d").alias("low"),
-            F.max("d").alias("high"),
+
+    def part(kind: type, as_type: str) -> DataFrame | None:
+        fields = [f for f in df.schema.fields if isinstance(f.dataType, kind)]
+        if not fields:
+            return None
+        table = FeatureTable(
+            df.select(
+                F.lit(0).alias("row_id"),
+                F.lit(0).alias("label"),
+                F.array(*[quoted(f.name).cast(as_type) for f in fields]).alias("values"),
+            ),
+            tuple(f.name for f in fields),
         )
-    )
+        whole = as_type == "bigint"
+        low, high, none = F.col("lo"), F.col("hi"), F.lit(None)
+        types = F.lit([f.dataType.simpleString() for f in fields])
+        return per_feature(table, {"lo": F.min, "hi": F.max}).select(
+            table.name_of().alias("column"),
+            F.get(types, F.col("feature_idx")).alias("data_type"),
+            (low if whole else none).cast("bigint").alias("low_int"),
+            (high if whole else none).cast("bigint").alias("high_int"),
+            (none if whole else low).cast("double").alias("low"),
+            (none if whole else high).cast("double").alias("high"),
+        )
+
+    parts = [part(T.IntegralType, "bigint"), part(T.FractionalType, "double")]
+    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
 def narrow_plan(df: DataFrame) -> DataFrame:

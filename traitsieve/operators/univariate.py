@@ -140,8 +140,9 @@ def mutual_information(
     place, edges = _slicing(cells, table.width, rows, rows_per_slice)
 
     points = cells.groupBy("feature_idx", "label", "value").agg(F.count(F.lit(1)).alias("copies"))
-    sizes = cells.groupBy("feature_idx", "label").agg(F.count(F.lit(1)).alias("n_class"))
-    # One row per feature and class.  Classes of a single sample carry no distance.
+    # One row per feature and class, summed from the merged points rather than the
+    # rows.  Classes of a single sample carry no distance.
+    sizes = points.groupBy("feature_idx", "label").agg(F.sum("copies").alias("n_class"))
     points = points.join(sizes.filter("n_class > 1"), ["feature_idx", "label"])
     points = with_slice(points, place("value"), edges)
     marked = _with_border_rows(points, neighbours) if edges else points.withColumn("guest", F.lit(False))
@@ -231,21 +232,21 @@ def binned_mutual_information(
     if rows is None:
         rows = table.df.count()
     place, edges = _slicing(cells, table.width, rows, rows_per_slice)
-    by_value = cells.groupBy("feature_idx", "value").agg(F.count(F.lit(1)).alias("copies"))
-    totals = cells.groupBy("feature_idx").agg(F.count(F.lit(1)).alias("n"))
-    placed = (
+    # Rows meet once, as counts per value and class; all else is built from those.
+    by_class = cells.groupBy("feature_idx", "value", "label").agg(F.count(F.lit(1)).alias("c"))
+    by_value = by_class.groupBy("feature_idx", "value").agg(
+        F.sum("c").alias("copies"), F.collect_list(F.struct("label", "c")).alias("classes")
+    )
+    totals = by_class.groupBy("feature_idx").agg(F.sum("c").alias("n"))
+    grid = (
         running_totals(by_value, ["feature_idx"], "value", {"copies": "upto"}, edges, place=place("value"))
         .join(totals, "feature_idx")
         .select(
             "feature_idx",
-            "value",
             "n",
             F.floor((F.col("upto") - F.col("copies")) * bins / F.col("n")).alias("bin"),
+            F.inline("classes"),
         )
-    )
-    by_class = cells.groupBy("feature_idx", "value", "label").agg(F.count(F.lit(1)).alias("c"))
-    grid = (
-        by_class.join(placed, ["feature_idx", "value"])
         .groupBy("feature_idx", "n", "bin", "label")
         .agg(F.sum("c").alias("c"))
     )

@@ -186,7 +186,7 @@ def impute_zero(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def standardise_train_test(spark: SparkSession, sf: str) -> DataFrame:
     table = fx.flawed(spark, sf)
-    train, _ = split.train_test(table)
+    train, _ = split.train_test(table, eager=True)
     return cells(prep.standardise(table, fit_on=train, complete=True))
 
 
@@ -210,7 +210,7 @@ def decode_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def preprocess_train_test(spark: SparkSession, sf: str) -> DataFrame:
-    train, test = prep.preprocess(*split.train_test(fx.miss(spark, sf)))
+    train, test = prep.preprocess(*split.train_test(fx.miss(spark, sf), eager=True))
     both = train.with_df(compare.concat_rows(
         train.df.withColumn("part", F.lit("train")), test.df.withColumn("part", F.lit("test"))
     ))
