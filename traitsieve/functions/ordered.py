@@ -8,6 +8,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traitsieve.functions.session import broadcast_if_small
+
 ROWS_PER_SLICE = 2_000_000
 
 
@@ -106,9 +108,9 @@ def running_totals(
 
 
 def exact_quantile(
-    df: DataFrame, key: str, value: str, share: float, accuracy: int = 10_000
+    df: DataFrame, key: str, value: str, share: float, n_keys: int, accuracy: int = 10_000
 ) -> DataFrame:
-    """Linear-interpolated quantile per key: ``key, quantile``.
+    """Linear-interpolated quantile for each of ``n_keys`` keys: ``key, quantile``.
 
     A sketch brackets the wanted rank, rows outside the bracket are only counted,
     and the few distinct values inside it are ranked exactly.  If the bracket ever
@@ -120,8 +122,7 @@ def exact_quantile(
         F.count(value).alias("_n"),
         F.percentile_approx(value, shares, accuracy).alias("_b"),
     )
-    # One row per key (a feature), so its size is bounded by the table's width.
-    placed = df.join(F.broadcast(bracket), key).withColumn(
+    placed = df.join(broadcast_if_small(bracket, n_keys), key).withColumn(
         "_zone",
         F.when(F.col(value) < F.col("_b")[0], -1).when(F.col(value) > F.col("_b")[1], 1).otherwise(0),
     )

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,6 +24,14 @@ def shared_folder(spark: SparkSession) -> str:
     return known.rstrip("/") if known else tempfile.mkdtemp(prefix="traitsieve-")
 
 
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows_at_most: int) -> DataFrame:
+    """Broadcast a side whose row count is known to be small; else let Spark choose."""
+    return F.broadcast(df) if rows_at_most <= MAX_BROADCAST_ROWS else df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 

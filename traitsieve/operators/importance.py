@@ -31,7 +31,7 @@ def top_features(
     if weights is not None:
         return ranking(samples, weights, n)
     if with_data:
-        return ranked(mutual_information(samples.table, rows=samples.n_rows), n)
+        return ranked(mutual_information(samples.table, rows=samples.n_rows, classes=samples.n_classes), n)
     return ranking(samples, np.ones(len(samples.names)), n)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from traitsieve.table import FeatureTable
 
 NEIGHBOURS = 5
-BLOCK_ROWS = 1024
+BLOCK_NUMBERS = 1_000_000
 ROWS_PER_PIVOT = 2048
 MAX_PIVOTS = 256
 PIVOT_NUMBERS = 2_000_000
@@ -46,13 +46,16 @@ def nearest_neighbours(
     k: int = NEIGHBOURS,
     p: int = 2,
     pivots: int | None = None,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """``row_id, position, neighbour_id, neighbour_label, distance``, k per query.
 
     Equal distances go to the smaller neighbour key.
     """
     width = train.width
+    if block_rows is None:
+        # A block is one row of a few megabytes, however wide the table.
+        block_rows = max(16, min(1024, BLOCK_NUMBERS // width))
     n_train, n_queries = train.df.count(), queries.df.count()
     count = _pivot_count(n_train, width) if pivots is None else min(pivots, n_train)
     # Pivots and group figures are capped in number, whatever the data size.

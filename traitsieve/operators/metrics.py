@@ -188,8 +188,8 @@ def roc_curve(
     """``threshold, fpr, tpr`` at every distinct score, optionally with (0, 0)."""
     counts = _score_counts(pred, positive, keys, rows, rows_per_slice)
     totals = _class_totals(pred, positive, keys)
-    # One row per model.
-    curve = counts.join(totals, list(keys)).select(
+    # One row per model: broadcast, since a model's scores must not meet in one task.
+    curve = counts.join(F.broadcast(totals), list(keys)).select(
         *keys,
         (-F.col("down")).alias("threshold"),
         ratio(F.col("cum_neg"), F.col("n_neg")).alias("fpr"),

@@ -35,12 +35,15 @@ def per_feature(
     columns = [
         F.struct(
             F.lit(i).alias("feature_idx"),
-            *[make(F.get(F.col("values"), F.lit(i))).alias(n) for n, make in aggregates.items()],
+            *[make(F.col(f"_v{i}")).alias(n) for n, make in aggregates.items()],
         )
         for i in range(table.width)
     ]
+    # Taken out in a projection of their own, the values fold back into plain columns.
+    values = [F.get(F.col("values"), F.lit(i)).alias(f"_v{i}") for i in range(table.width)]
     return (
-        table.df.groupBy(*by)
+        table.df.select(*by, *values)
+        .groupBy(*by)
         .agg(F.array(*columns).alias("_stats"))
         .select(*by, F.explode("_stats").alias("_s"))
         .select(*by, "_s.*")

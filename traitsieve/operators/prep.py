@@ -59,7 +59,7 @@ def impute(table: FeatureTable, strategy: str = "mean", fit_on: FeatureTable | N
     if strategy == "mean":
         fill = per_feature_array(feature_moments(source), F.col("mean"), table.width)
     elif strategy == "median":
-        medians = exact_quantile(source.long(), "feature_idx", "value", 0.5)
+        medians = exact_quantile(source.long(), "feature_idx", "value", 0.5, table.width)
         fill = per_feature_array(medians, F.col("quantile"), table.width)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -191,7 +191,7 @@ def _fill_and_scale(train: FeatureTable, missing: str) -> Column:
         {"n": F.count, "all": lambda v: F.count(F.lit(1)), "mean": F.avg, "variance": F.var_samp},
     )
     if missing == "median":
-        medians = exact_quantile(train.long(), "feature_idx", "value", 0.5)
+        medians = exact_quantile(train.long(), "feature_idx", "value", 0.5, train.width)
         stats = stats.join(medians.withColumnRenamed("quantile", "fill"), "feature_idx", "left")
     elif missing == "mean":
         stats = stats.withColumn("fill", F.col("mean"))

@@ -123,7 +123,7 @@ def default_selectors(samples: Samples, k: int, small: bool = False) -> dict[str
     return {
         "univariate_f_test": lambda: ranked(anova_f(samples.table, complete=True), k),
         "mutual_information": lambda: ranked(
-            mutual_information(samples.table, rows=samples.n_rows), k
+            mutual_information(samples.table, rows=samples.n_rows, classes=samples.n_classes), k
         ),
         "random_forest_importance": lambda: by_importance(samples, forest, k),
         "rfe_random_forest": lambda: recursive_elimination(

@@ -16,6 +16,7 @@ from traitsieve.functions.ordered import (
     slice_edges,
     with_slice,
 )
+from traitsieve.functions.session import broadcast_if_small
 from traitsieve.operators.moments import feature_moments
 from traitsieve.table import FeatureTable
 
@@ -124,6 +125,7 @@ def mutual_information(
     table: FeatureTable,
     neighbours: int = NEIGHBOURS,
     rows: int | None = None,
+    classes: int | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Nearest-neighbour estimate of MI(feature; class): ``feature_idx, feature, score``.
@@ -135,15 +137,17 @@ def mutual_information(
     so no task has to hold a whole feature.
     """
     cells = table.long().select("feature_idx", "label", "value")
-    if rows is None:
-        rows = table.df.count()
+    if rows is None or classes is None:
+        rows, classes = table.df.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
     place, edges = _slicing(cells, table.width, rows, rows_per_slice)
 
     points = cells.groupBy("feature_idx", "label", "value").agg(F.count(F.lit(1)).alias("copies"))
     # One row per feature and class, summed from the merged points rather than the
-    # rows.  Classes of a single sample carry no distance.
+    # rows.  Classes of a single sample carry no distance.  Broadcast when small: a
+    # large class must not pull its points into one task.
     sizes = points.groupBy("feature_idx", "label").agg(F.sum("copies").alias("n_class"))
-    points = points.join(sizes.filter("n_class > 1"), ["feature_idx", "label"])
+    sizes = broadcast_if_small(sizes.filter("n_class > 1"), 2 * table.width * classes)
+    points = points.join(sizes, ["feature_idx", "label"])
     points = with_slice(points, place("value"), edges)
     marked = _with_border_rows(points, neighbours) if edges else points.withColumn("guest", F.lit(False))
 
@@ -240,7 +244,7 @@ def binned_mutual_information(
     totals = by_class.groupBy("feature_idx").agg(F.sum("c").alias("n"))
     grid = (
         running_totals(by_value, ["feature_idx"], "value", {"copies": "upto"}, edges, place=place("value"))
-        .join(totals, "feature_idx")
+        .join(broadcast_if_small(totals, table.width), "feature_idx")
         .select(
             "feature_idx",
             "n",
