@@ -58,9 +58,10 @@ def test_lasso_search_and_balance(pair):
         lambda s: ml.ada_boost(8),
         lambda s: ml.logistic_regression(s.n_rows),
         lambda s: ml.linear_svm(s.n_rows, max_iter=20),
+        lambda s: ml.k_nearest(15, "distance"),
         lambda s: ml.rbf_svm(s.n_rows, len(s.names), max_iter=20),
     ],
-    ids=["forest", "boosting", "ada", "logistic", "linear_svm", "rbf_svm"],
+    ids=["forest", "boosting", "ada", "logistic", "linear_svm", "knn", "rbf_svm"],
 )
 def test_models_beat_chance_and_reload(spark, pair, build):
     train, test = pair

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from traitsieve.functions.session import stable_layout
 from traitsieve.operators.adaboost import AdaBoost
 from traitsieve.operators.fourier import FourierFeatures
+from traitsieve.operators.knn import NEIGHBOURS
+from traitsieve.operators.knn_model import KNearest
 from traitsieve.operators.metrics import (
     accuracy,
     model_metrics,
@@ -152,6 +154,10 @@ def linear_svm(n_rows: int, c: float = 1.0, max_iter: int = 50, n_classes: int =
     return Pipeline(stages=[svm, *_calibration()])
 
 
+def k_nearest(k: int = NEIGHBOURS, weights: str = "uniform", p: int = 2) -> Estimator:
+    return KNearest(k=k, weights=weights, p=p)
+
+
 def _calibration() -> list:
     return [
         VectorSlicer(inputCol="margin", outputCol="margin_1", indices=[1]),
@@ -329,6 +335,7 @@ def default_models(samples: Samples, size: str = "default") -> dict[str, Estimat
         "SVM": rbf_svm(n, width) if k == 2 else linear_svm(n, n_classes=k),
         "LinearSVM": linear_svm(n, n_classes=k),
         "LogisticRegression": logistic_regression(n),
+        "KNN": k_nearest(),
     }
     return models
 

@@ -445,14 +445,19 @@ def weighted_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_doubles(metrics.weighted_metrics(fx.by_class(spark, sf)))
 
 
+def _n_pred(spark: SparkSession, sf: str) -> int:
+    """Rows of the prediction table: two rules per labelled document."""
+    return 2 * fx.read(spark, sf, "labels").count()
+
+
 @query
 def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(metrics.roc_curve(fx.pred(spark, sf), 1, origin=False))
+    return rounded_doubles(metrics.roc_curve(fx.pred(spark, sf), 1, origin=False, rows=_n_pred(spark, sf)))
 
 
 @query
 def auc(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(metrics.auc(fx.pred(spark, sf), 1))
+    return rounded_doubles(metrics.auc(fx.pred(spark, sf), 1, rows=_n_pred(spark, sf)))
 
 
 @query
@@ -467,20 +472,27 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_scoreboard(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(metrics.scoreboard(metrics.model_metrics(fx.pred(spark, sf), 1)))
+    return rounded_doubles(
+        metrics.scoreboard(metrics.model_metrics(fx.pred(spark, sf), 1, rows=_n_pred(spark, sf)))
+    )
 
 
 @query
 def feature_set_comparison(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.pred(spark, sf)
-    full = metrics.model_metrics(rows.filter("model = 'letters'").drop("model").withColumn("model", F.lit("rule")), 1)
-    top = metrics.model_metrics(rows.filter("model = 'calm'").drop("model").withColumn("model", F.lit("rule")), 1)
-    return rounded_doubles(metrics.compare_feature_sets(full, top))
+    figures = metrics.model_metrics(rows, 1, rows=_n_pred(spark, sf))
+
+    def of(rule: str) -> DataFrame:
+        return figures.filter(F.col("model") == rule).withColumn("model", F.lit("rule"))
+
+    return rounded_doubles(metrics.compare_feature_sets(of("letters"), of("calm")))
 
 
 @query
 def cross_validated_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(metrics.cross_validated(fx.pred(spark, sf, folds=3), 1))
+    return rounded_doubles(
+        metrics.cross_validated(fx.pred(spark, sf, folds=3), 1, rows=_n_pred(spark, sf))
+    )
 
 
 # --- exploration -------------------------------------------------------------------
@@ -635,6 +647,11 @@ def rbf_svm_model(spark: SparkSession, sf: str) -> DataFrame:
     return _fitted(spark, sf, "SVM", lambda s: ml.rbf_svm(s.n_rows, len(s.names)))
 
 
+@query
+def k_nearest_model(spark: SparkSession, sf: str) -> DataFrame:
+    return _fitted(spark, sf, "KNN", lambda s: ml.k_nearest())
+
+
 @query
 def model_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     samples = _planted(spark, sf, folds=3)

@@ -489,6 +489,22 @@ ORACLE: dict[str, str] = {
         JOIN emb t ON t.feature_idx = q.feature_idx JOIN bin_test b ON b.row_id = t.row_id AND NOT b.is_test
         GROUP BY ALL)""",
     ),
+    "k_nearest_model": _sql(
+        f"""SELECT 'KNN' AS model, row_id, CAST(label AS DOUBLE) AS label,
+        CAST(score > CAST(0.5 AS DOUBLE) AS DOUBLE) AS prediction, {_r('score')} FROM (
+        SELECT row_id, any_value(own) AS label, avg(label) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, neighbour_id) AS pos FROM dist)
+        WHERE pos <= 5 GROUP BY row_id)""",
+        """, bin_test AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|42'))
+        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS is_test FROM bin_label),
+        scaled AS (SELECT feature_idx, avg(value) AS m, stddev_pop(value) AS s FROM emb JOIN bin_test USING (row_id)
+        WHERE NOT is_test GROUP BY feature_idx),
+        dist AS (SELECT q.row_id, a.label AS own, t.row_id AS neighbour_id, b.label,
+        sum(power((q.value - t.value) / s.s, 2)) AS d
+        FROM emb q JOIN bin_test a ON a.row_id = q.row_id AND a.is_test
+        JOIN emb t ON t.feature_idx = q.feature_idx JOIN bin_test b ON b.row_id = t.row_id AND NOT b.is_test
+        JOIN scaled s ON s.feature_idx = q.feature_idx GROUP BY ALL)""",
+    ),
     "load_csv_table": _sql(_cells("miss")),
     "load_train_test_pair": _sql(
         f"""SELECT row_id, label, {_r('total')} FROM (SELECT row_id, label, total,

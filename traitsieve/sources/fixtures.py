@@ -58,10 +58,11 @@ def flawed(spark: SparkSession, folder: str) -> FeatureTable:
 
 def doc_wide(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with a quality label and seven figures of their whole text."""
-    letters = F.length(F.regexp_replace("text", r"[^A-Za-z]", "")).cast("double")
-    digits = F.length(F.regexp_replace("text", r"[^0-9]", "")).cast("double")
-    upper = F.length(F.regexp_replace("text", r"[^A-Z]", "")).cast("double")
-    spaces = F.length(F.regexp_replace("text", r"[^ \n]", "")).cast("double")
+    def left_of(kept: str):
+        """Number of characters of a class: what is left when all runs of others go."""
+        return F.length(F.regexp_replace("text", f"[^{kept}]+", "")).cast("double")
+
+    letters, digits, upper, spaces = (left_of(c) for c in ("A-Za-z", "0-9", "A-Z", r" \n"))
     size = F.greatest(F.length("text"), F.lit(1)).cast("double")
     words = spaces + 1.0
     figures = read(spark, folder, "documents").select(
@@ -70,7 +71,7 @@ def doc_wide(spark: SparkSession, folder: str) -> DataFrame:
         "source",
         F.col("n_chars").cast("double").alias("n_chars"),
         words.alias("n_words"),
-        (F.length(F.regexp_replace("text", r"[^\n]", "")) + 1).cast("double").alias("n_lines"),
+        (left_of(r"\n") + 1).alias("n_lines"),
         (digits / size).alias("digit_share"),
         (1.0 - letters / size).alias("non_letter_share"),
         (upper / size).alias("upper_share"),
