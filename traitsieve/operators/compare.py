@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from traitsieve.functions.columns import ratio
+
 
 def combined_features(selection: DataFrame) -> DataFrame:
     """Distinct union of all lists, sorted by name and ranked."""
@@ -18,38 +20,35 @@ def combined_features(selection: DataFrame) -> DataFrame:
 
 
 def pairwise_overlap(selection: DataFrame) -> DataFrame:
-    """``method_a, method_b, n_common, jaccard`` for every pair of methods."""
-    lists = selection.select("method", "feature").distinct()
-    sizes = lists.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
-    shared = (
-        lists.withColumnRenamed("method", "method_a")
-        .join(lists.withColumnRenamed("method", "method_b"), "feature")
-        .groupBy("method_a", "method_b")
-        .agg(F.count(F.lit(1)).alias("n_common"))
+    """``method_a, method_b, n_common, jaccard`` for every pair of methods.
+
+    The lists are read once: a feature votes for each pair of the few methods that
+    chose it, and a method paired with itself gives its own size.
+    """
+    chosen = selection.groupBy("feature").agg(F.collect_set("method").alias("ms"))
+    common = (
+        chosen.select(F.explode("ms").alias("a"), "ms")
+        .select("a", F.explode("ms").alias("b"))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    # One row per method: the list of methods unfolds into all pairs.
-    everything = sizes.agg(F.collect_list(F.struct("method", "n")).alias("ms"))
-    pairs = everything.select(F.explode("ms").alias("a"), "ms").select("a", F.explode("ms").alias("b"))
-    common = F.coalesce("n_common", F.lit(0))
-    return (
-        pairs.select(
-            F.col("a.method").alias("method_a"),
-            F.col("b.method").alias("method_b"),
-            F.col("a.n").alias("n_a"),
-            F.col("b.n").alias("n_b"),
-        )
-        .join(shared, ["method_a", "method_b"], "left")
-        .select(
-            "method_a",
-            "method_b",
-            common.alias("n_common"),
-            F.coalesce(
-                F.try_divide(
-                    common.cast("double"), (F.col("n_a") + F.col("n_b") - common).cast("double")
-                ),
-                F.lit(0.0),
-            ).alias("jaccard"),
-        )
+    # One row per pair of methods; disjoint pairs are filled in from the sizes.
+    own = F.when(F.col("a") == F.col("b"), F.struct(F.col("a").alias("method"), "n"))
+    tally = common.agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("a", "b"), "n"))).alias("counts"),
+        F.collect_list(own).alias("sizes"),
+    )
+    pairs = tally.select("counts", "sizes", F.explode("sizes").alias("x")).select(
+        "counts", "x", F.explode("sizes").alias("y")
+    )
+    key = F.struct(F.col("x.method").alias("a"), F.col("y.method").alias("b"))
+    shared = F.coalesce(F.try_element_at("counts", key), F.lit(0))
+    union = F.col("x.n") + F.col("y.n") - F.col("n_common")
+    return pairs.select("x", "y", shared.alias("n_common")).select(
+        F.col("x.method").alias("method_a"),
+        F.col("y.method").alias("method_b"),
+        "n_common",
+        ratio(F.col("n_common"), union).alias("jaccard"),
     )
 
 

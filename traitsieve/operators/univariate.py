@@ -57,24 +57,35 @@ def anova_f(table: FeatureTable, complete: bool = False) -> DataFrame:
     return sums.select("feature_idx", table.name_of().alias("feature"), score.alias("score"))
 
 
-def _kth_distance(neighbours: int, centre: Column, k: Column) -> Column:
-    """Struct (distance, side, other) of the k-th nearest of same-class values.
+def _with_radius(points: DataFrame, neighbours: int) -> DataFrame:
+    """Add ``radius, lower, upper``: the k-th nearest distance and the bounds it sets.
 
-    The point's own value (its other copies) and up to ``neighbours`` distinct
-    values on each side are spread by their multiplicity and sorted by distance.
+    At most ``neighbours`` distinct values on each side, and the copies of the value
+    itself, can be among the k nearest.  The radius is the smallest of those gaps
+    that has k values within it.  A neighbour's own value is the bound on its side,
+    because value +- radius may round past it.
     """
-    def spread(distance: Column, side: int, value: Column, copies: Column) -> Column:
-        entry = F.struct(
-            distance.alias("distance"), F.lit(side).alias("side"), value.alias("other")
+    sides = [(s, i) for s in ("below", "above") for i in range(1, neighbours + 1)]
+    gaps = [F.abs(F.col("value") - F.col(f"{s}_{i}")).alias(f"gap_{s}_{i}") for s, i in sides]
+
+    def within(gap: str) -> str:
+        return " + ".join(
+            ["copies - 1", *[f"IF(gap_{s}_{i} <= {gap}, {s}_n{i}, 0)" for s, i in sides]]
         )
-        times = F.least(F.coalesce(copies, F.lit(0)), F.lit(neighbours)).cast("int")
-        return F.array_repeat(entry, times)
 
-    parts = [spread(F.lit(0.0), 0, centre, F.col("copies") - 1)]
-    for i in range(1, neighbours + 1):
-        parts.append(spread(centre - F.col(f"below_{i}"), -1, F.col(f"below_{i}"), F.col(f"below_n{i}")))
-        parts.append(spread(F.col(f"above_{i}") - centre, 1, F.col(f"above_{i}"), F.col(f"above_n{i}")))
-    return F.get(F.array_sort(F.concat(*parts)), k - 1)
+    each = [f"gap_{s}_{i}" for s, i in sides]
+    radius = ", ".join(["IF(copies - 1 >= k, 0D, NULL)", *[f"IF({within(g)} >= k, {g}, NULL)" for g in each]])
+
+    def bound(side: str, otherwise: str) -> str:
+        known = " ".join(f"WHEN gap_{side}_{i} = radius THEN {side}_{i}" for i in range(1, neighbours + 1))
+        return f"CASE {known} ELSE {otherwise} END"
+
+    return (
+        points.select("*", *gaps)
+        .withColumn("radius", F.expr(f"least({radius})"))
+        .withColumn("lower", F.expr(bound("below", "value - radius")))
+        .withColumn("upper", F.expr(bound("above", "value + radius")))
+    )
 
 
 def _slicing(
@@ -161,17 +172,11 @@ def mutual_information(
             F.lead("copies", i).over(order).alias(f"above_n{i}"),
         ]
     k = F.least(F.col("n_class") - 1, F.lit(neighbours)).cast("int")
-    local = (
-        marked.select("*", *around)
-        .filter(~F.col("guest"))
-        .withColumn("k", k)
-        .withColumn("near", _kth_distance(neighbours, F.col("value"), F.col("k")))
+    local = _with_radius(
+        marked.select("*", *around).filter(~F.col("guest")).withColumn("k", k), neighbours
     )
-    value, near = F.col("value"), F.col("near")
-    # The neighbour's own value is the bound on its side: v + r may round past it.
-    lower = F.when(near["side"] == -1, near["other"]).otherwise(value - near["distance"])
-    upper = F.when(near["side"] == 1, near["other"]).otherwise(value + near["distance"])
-    zero = near["distance"] == 0
+    value, lower, upper = F.col("value"), F.col("lower"), F.col("upper")
+    zero = F.col("radius") == 0
 
     # Three events per point: it adds its copies, its upper bound reads the count
     # below it and its lower bound the count up to it.  At equal value the order is
