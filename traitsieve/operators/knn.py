@@ -68,7 +68,15 @@ def nearest_neighbours(
         cell = d.argmin(1)
         return pd.DataFrame({"cell": cell.astype("int32"), "reach": d[np.arange(len(d)), cell]})
 
-    placed = train.df.select("row_id", "label", "values", place("values").alias("at")).select(
+    # Of equal rows only the k smallest keys can be among anyone's k nearest; each
+    # task drops the others before the shuffle, so a crowd of copies stays small.
+    copy = F.row_number().over(Window.partitionBy("values").orderBy("row_id"))
+    useful = (
+        train.df.select("row_id", "label", "values", copy.alias("_copy"))
+        .filter(F.col("_copy") <= k)
+        .drop("_copy")
+    )
+    placed = useful.select("row_id", "label", "values", place("values").alias("at")).select(
         "row_id", "label", "values", "at.cell", "at.reach"
     )
     sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("reach").alias("radius")).collect()

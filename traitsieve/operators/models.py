@@ -98,7 +98,7 @@ def prepare(
         coded = with_fold(coded, folds, eager=True)
     ready = scaled.with_df(coded)
     keep = ["row_id", "label", "features", *(["fold"] if folds else [])]
-    rows = stable_layout(ready.vectors().select(*keep), n_rows)
+    rows = stable_layout(ready.vectors().select(*keep), n_rows, table.width)
     return Samples(
         rows, table.names, n_rows, len(sizes), _from_cache(ready, rows), positive=0 if pair else 1
     )
