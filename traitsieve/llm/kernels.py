@@ -173,3 +173,10 @@ def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     at = np.searchsorted(sorted_set, values)
     at[at == len(sorted_set)] = 0
     return sorted_set[at] == values
+
+
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2, ... of some 64-bit values, wrapping round."""
+    out = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values, out=out[1:])
+    return out

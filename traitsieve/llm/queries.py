@@ -5,17 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from traitsieve.llm import substring_dedup
+from traitsieve.llm import mixing, ngram_join, packing, quality, substring_dedup
 from traitsieve.llm.tables import table
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select(
+        "doc_id",
+        "source",
+        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.col("mix_block").alias("block"),
+        F.col("mix_place").alias("place"),
+        F.col("mix_slot").alias("slot"),
+    )
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_mil": op1_quality_mil,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_pfair_mixing": op7_pfair_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 
 ORACLE: dict[str, str] = {}

@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from traitsieve.llm import kernels as K
 from traitsieve.llm.packets import Outbox, bucket_count, joined, per_document, to_buckets, unpack
@@ -195,57 +196,79 @@ def _row_hashes(rows: np.ndarray) -> np.ndarray:
     return K.mix(out)
 
 
-def _apply(window: int, with_text: bool):
+def _kept_words(batch: pa.RecordBatch, window: int):
+    """For each row: its text as bytes, its words' spans, and which words stay."""
+    copies = batch.column("copy").to_numpy(zero_copy_only=False)
+    lists = batch.column("windows").to_pylist()
+    for texts in K.slices(batch.column("text")):
+        words = K.Words(texts, K.SPACES)
+        codes = None
+        for d in range(len(texts)):
+            a, b = words.bounds[d], words.bounds[d + 1]
+            count = int(b - a)
+            keep = np.ones(count, dtype=bool)
+            if count >= window and copies[texts.first + d]:
+                keep[:] = False
+            elif count >= window and lists[texts.first + d]:
+                if codes is None:
+                    codes = _codes(texts, words)
+                gone = np.sort(joined(lists[texts.first + d]))
+                hit = K.member(K.gram_hashes(codes[a:b], window), gone)
+                keep = ~K.covered(np.flatnonzero(hit), window, count)
+            low, high = texts.offsets[d], texts.offsets[d + 1]
+            raw = texts.data[low:high].tobytes()
+            yield raw, words.starts[a:b] - low, words.ends[a:b] - low, keep
+
+
+def _digests(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, digests, outs = [], [], [], []
-            copies = batch.column("copy").to_numpy(zero_copy_only=False)
-            lists = batch.column("windows").to_pylist()
-            for texts in K.slices(batch.column("text")):
-                words = K.Words(texts, K.SPACES)
-                codes = None
-                raw = texts.data
-                for d in range(len(texts)):
-                    a, b = words.bounds[d], words.bounds[d + 1]
-                    count = int(b - a)
-                    blobs = lists[texts.first + d]
-                    keep = np.ones(count, dtype=bool)
-                    if count >= window and copies[texts.first + d]:
-                        keep[:] = False
-                    elif count >= window and blobs:
-                        if codes is None:
-                            codes = _codes(texts, words)
-                        hit = K.member(K.gram_hashes(codes[a:b], window), np.sort(joined(blobs)))
-                        keep = ~K.covered(np.flatnonzero(hit), window, count)
-                    pieces = [raw[s:e].tobytes() for s, e in zip(words.starts[a:b][keep], words.ends[a:b][keep])]
-                    text = b" ".join(pieces)
-                    n_words.append(count)
-                    n_removed.append(count - len(pieces))
-                    digests.append(hashlib.sha256(text).hexdigest())
-                    outs.append(text if with_text else None)
-            columns = {
-                "rid": batch.column("rid"),
-                "n_words": pa.array(n_words, pa.int64()),
-                "n_removed": pa.array(n_removed, pa.int64()),
-                "kept_sha256": pa.array(digests, pa.string()),
-            }
-            if with_text:
-                columns["kept"] = pa.array(outs, pa.binary())
-            yield pa.RecordBatch.from_pydict(columns)
+            n_words, n_removed, digests = [], [], []
+            for raw, starts, ends, keep in _kept_words(batch, window):
+                pieces = [raw[s:e] for s, e in zip(starts[keep].tolist(), ends[keep].tolist())]
+                n_words.append(len(keep))
+                n_removed.append(len(keep) - len(pieces))
+                digests.append(hashlib.sha256(b" ".join(pieces)).hexdigest())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "rid": batch.column("rid"),
+                    "n_words": pa.array(n_words, pa.int64()),
+                    "n_removed": pa.array(n_removed, pa.int64()),
+                    "kept_sha256": pa.array(digests, pa.string()),
+                }
+            )
 
     return run
 
 
-def dedup_substrings(
-    docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP, with_text: bool = False
-) -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256 and, ``with_text``, the kept words as ``text``."""
+def _cut(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for raw, starts, ends, keep in _kept_words(batch, window):
+                if keep.all():
+                    kept.append(raw)
+                    continue
+                # a kept run goes up to the start of the next word, so spacing inside it stays
+                edge = np.flatnonzero(np.diff(np.r_[False, keep, False].astype(np.int8)))
+                kept.append(b" ".join(raw[starts[i] : ends[j - 1]] for i, j in zip(edge[::2], edge[1::2])))
+            texts = pa.array(kept, pa.binary()).cast(pa.string())
+            nulls = batch.column("text").is_null().to_numpy(zero_copy_only=False)
+            texts = pa.array([None if z else t for z, t in zip(nulls, texts.to_pylist())], pa.string()) if nulls.any() else texts
+            names = [c for c in batch.schema.names if c not in ("copy", "windows")]
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names)
+
+    return run
+
+
+def _removal(docs: DataFrame, window: int, gram: int, group: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """rid, text, other columns, whether the row is a later copy, and the windows to remove."""
     n = bucket_count(docs.sparkSession)
     span = window + (window - gram)
     fields = {"words": ("<u4", (span,)), "starts": "u1", "rid": "<i8"}
-    texts = keyed_texts(docs, n)
+    texts = keyed_texts(docs, n, others)
     copies = later_copies(docs)
-    base = texts.join(copies, "rid", "left").select("rid", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    base = texts.join(copies, "rid", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     named = base.where("not copy").select("rid", "text").mapInArrow(
         _name_anchors(n, window, gram), Outbox(n, ANCHOR).schema()
     )
@@ -267,7 +290,20 @@ def dedup_substrings(
         .groupBy("rid")
         .agg(F.collect_list("packed").alias("windows"))
     )
-    schema = "rid long, n_words long, n_removed long, kept_sha256 string" + (", kept binary" if with_text else "")
-    out = base.join(windows, "rid", "left").mapInArrow(_apply(window, with_text), schema)
-    kept = [F.decode("kept", "UTF-8").alias("text")] if with_text else []
-    return out.select(doc_id_of(), "n_words", "n_removed", "kept_sha256", *kept)
+    return base.join(windows, "rid", "left")
+
+
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by spaces)."""
+    rows = _removal(docs, window, gram, group).select("rid", "text", "copy", "windows")
+    out = rows.mapInArrow(_digests(window), "rid long, n_words long, n_removed long, kept_sha256 string")
+    return out.select(doc_id_of(), "n_words", "n_removed", "kept_sha256")
+
+
+def cut_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``docs`` with the repeated words cut out of ``text``; the text between other words is unchanged."""
+    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    rows = _removal(docs, window, gram, group, others).select("rid", "text", *others, "copy", "windows")
+    kept = StructType([f for f in rows.schema.fields if f.name not in ("copy", "windows")])
+    out = rows.mapInArrow(_cut(window), kept)
+    return out.select(*[doc_id_of() if c == "doc_id" else c for c in docs.columns])

@@ -13,13 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed_texts(docs: DataFrame, partitions: int) -> DataFrame:
-    """``rid`` and ``text``, dealt out by ``rid``; a missing doc_id ranks after all others.
+def keyed_texts(docs: DataFrame, partitions: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """``rid``, ``text`` and other columns, dealt out by ``rid``; a missing doc_id ranks after all others.
 
     Plans that use this more than once shuffle the texts once: Spark reuses the exchange.
     """
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(rid.alias("rid"), F.col("text")).repartition(partitions, "rid")
+    return docs.select(rid.alias("rid"), "text", *others).repartition(partitions, "rid")
 
 
 def doc_id_of(rid: str = "rid") -> "F.Column":
