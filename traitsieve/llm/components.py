@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,22 @@ def components(edges: DataFrame) -> DataFrame:
         if after.where("new <> label").isEmpty():
             return labels.select("node", F.col("label").alias("component"))
         labels = after.select("node", F.col("new").alias("label"))
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, parent: np.ndarray, edges: list) -> None:
+    """Add links to a spanning forest: by rounds of labels, without a step per link."""
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        if not len(a):
+            return
+        high, low = np.maximum(ra, rb), np.minimum(ra, rb)
+        _, first = np.unique(high, return_index=True)
+        edges.extend(zip(a[first].tolist(), b[first].tolist()))
+        parent[high[first]] = low[first]
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent[:] = up

@@ -180,3 +180,8 @@ def running(values: np.ndarray) -> np.ndarray:
     out = np.zeros(len(values) + 1, dtype=np.uint64)
     np.cumsum(values, out=out[1:])
     return out
+
+
+def lowered(texts: Texts) -> Texts:
+    """The texts with A-Z in lower case."""
+    return Texts(LOWER[texts.data], texts.offsets, texts.first)
