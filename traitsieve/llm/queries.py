@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traitsieve.llm import mixing, ngram_join, packing, quality, substring_dedup
+from traitsieve.llm import (
+    license_scan,
+    mixing,
+    neighbours,
+    ngram_join,
+    packing,
+    quality,
+    substring_dedup,
+    token_files,
+    vector_dedup,
+)
 from traitsieve.llm.tables import table
 
 
@@ -23,6 +33,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(
@@ -35,16 +53,28 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), token_files.session_vocabulary(spark))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_pfair_mixing": op7_pfair_mixing,
+    "op8_token_files": op8_token_files,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLE: dict[str, str] = {}
