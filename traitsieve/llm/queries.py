@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitsieve.llm import (
+    byte_dedup,
     license_scan,
     mixing,
     neighbours,
@@ -33,6 +34,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_dedup.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_mil": op1_quality_mil,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_byte_dedup": op4_byte_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_pfair_mixing": op7_pfair_mixing,
