@@ -13,7 +13,9 @@ METHODS = ("univariate_f_test", "mutual_information", "lasso_regularization")
 
 
 def small_selectors(samples, k):
-    return selection.default_selectors(samples, k, small=True)
+    return selection.default_selectors(
+        samples, k, ml.random_forest(20, 5), ml.gradient_boosting(5, 3), step=0.5, grids={}
+    )
 
 
 def small_models(samples):

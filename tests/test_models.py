@@ -120,7 +120,7 @@ def test_grid_search_prefers_the_better_point(spark, pair):
     scores = [r["score"] for r in ml.search_scores(found, spark).orderBy("point").collect()]
     assert scores[1] > scores[0]
     assert found.bestModel.getOrDefault("regParam") == 0.01
-    assert len(ml.param_maps(ml.random_forest(), ml.SMALL_FOREST_GRID)) == 4
+    assert len(ml.param_maps(ml.random_forest(), ml.FOREST_GRID)) == 4
 
 
 def test_method_evaluation_ranks_signal_over_noise(pair):
@@ -160,7 +160,7 @@ def test_multiclass_models_report_every_class(spark, sf):
 
 
 def test_components_are_centred_and_signed(spark, sf):
-    scores, ratio = explore.principal_components(fx.flawed(spark, sf), max_features=40)
+    scores, ratio = explore.principal_components(fx.flawed(spark, sf))
     shares = [r["explained_variance_ratio"] for r in ratio.orderBy("component").collect()]
     assert shares[0] >= shares[1] > 0
     means = scores.agg(F.avg("pc1"), F.avg("pc2"), F.corr("pc1", "pc2")).first()
@@ -170,3 +170,32 @@ def test_components_are_centred_and_signed(spark, sf):
 def test_untrained_set_refuses_to_predict(pair):
     with pytest.raises(ValueError):
         ml.ModelSet().predict(pair[1].rows)
+
+
+def test_components_without_a_covariance_are_the_same(spark, sf):
+    table = fx.emb(spark, sf)
+    direct, shares = explore.principal_components(table)
+    passes, other = explore.principal_components(table, covariance_features=8)
+    gap = direct.join(passes.select("row_id", F.col("pc1").alias("o1"), F.col("pc2").alias("o2")), "row_id")
+    worst = gap.agg(F.max(F.abs(F.col("pc1") - F.col("o1"))), F.max(F.abs(F.col("pc2") - F.col("o2")))).first()
+    assert max(worst) < 1e-3
+    pairs = zip(shares.orderBy("component").collect(), other.orderBy("component").collect())
+    assert all(abs(a[1] - b[1]) < 1e-6 for a, b in pairs)
+
+
+def test_several_classes_are_searched_by_auc(spark, sf):
+    table = fx.doc(spark, sf)
+    samples = ml.prepare(table.with_df(table.df.withColumn("label", F.col("lang"))), folds=2)
+    model = ml.logistic_regression(samples.n_rows, max_iter=20)
+    found = ml.grid_search(samples, model, [{model.regParam: 0.01}], folds=2, metric="roc_auc")
+    assert isinstance(found.getEvaluator(), ml.OneVsRestAuc) and 0.5 < found.avgMetrics[0] <= 1
+    kernel = ml.rbf_svm(samples.n_rows, len(samples.names), max_iter=5, components=64, n_classes=samples.n_classes)
+    pred = ml.predict_table(kernel.fit(samples.rows), samples.rows, "SVM")
+    assert pred.filter(~F.col("score").between(0, 1)).count() == 0
+
+
+def test_neighbours_refuse_missing_cells(spark, sf):
+    from traitsieve.operators import knn
+
+    with pytest.raises(Exception, match="impute before"):
+        knn.nearest_neighbours(fx.emb(spark, sf), fx.miss(spark, sf), k=3).collect()

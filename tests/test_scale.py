@@ -169,3 +169,27 @@ def test_doubling_rows_keeps_accuracy_and_auc(spark, sf):
         values(metrics.accuracy(pred), ["model"], "accuracy"),
         values(metrics.accuracy(twice), ["model"], "accuracy"),
     )
+
+
+@pytest.mark.parametrize("width", [40, 41])
+def test_narrow_and_wide_tables_give_the_same_answers(spark, width):
+    from traitsieve.operators import moments
+
+    rows = [(i, i % 2, [float(i * j % 7) for j in range(width)]) for i in range(6)]
+    table = FeatureTable(spark.createDataFrame(rows, "row_id long, label int, values array<double>"), tuple(f"f{j}" for j in range(width)))
+    empty = table.filter(F.lit(False))
+    assert moments.feature_moments(empty).count() == 0
+    assert moments.feature_moments(empty, complete=True).count() == 0
+    holed = table.with_values(F.transform("values", lambda v, j: F.when(j != 3, v)))
+    with pytest.raises(Exception):
+        moments.feature_moments(holed, complete=True).collect()
+
+
+def test_selecting_reads_only_the_chosen_columns(spark, tmp_path):
+    wide = spark.range(20).select("id", (F.col("id") % 2).alias("label"), *[(F.col("id") * i).alias(f"c{i}") for i in range(1000)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    table = FeatureTable.from_wide(spark.read.parquet(str(tmp_path / "wide")), "id", "label").select([7, 3])
+    plan = table.df._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.index("ReadSchema:"):].split("\n")[0]
+    assert "c7:" in read and "c3:" in read and "c8:" not in read and "c500:" not in read
+    assert table.df.orderBy("row_id").first()["values"] == [0.0, 0.0]

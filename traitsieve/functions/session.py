@@ -45,13 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def stable_layout(
-    df: DataFrame, rows: int, width: int, key: str = "row_id", numbers_per_task: int = 16_000_000
+    df: DataFrame, rows: int, width: int, key: str = "row_id", numbers_per_task: int = 1_000_000
 ) -> DataFrame:
     """Fixed partitioning and order for seeded fits, cached for their many passes.
 
     Seeded tree fits draw per partition, so equal rows must meet in equal
-    partitions.  The partition count follows the table's size, not the input files.
+    partitions: rows go by the hash of their key into partitions whose number
+    follows the table's size, not the input files.
     """
-    tasks = max(1, -(-rows * width // numbers_per_task))
-    laid_out = df.repartition(tasks, key) if tasks > 1 else df.coalesce(1)
+    tasks = max(2, -(-rows * width // numbers_per_task))
+    laid_out = df.repartition(tasks, key)
     return laid_out.sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)

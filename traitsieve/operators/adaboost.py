@@ -1,8 +1,8 @@
 """AdaBoost (SAMME) over decision stumps.
 
-A fitted round is five numbers, so row weights after any number of rounds are one
-expression over the original row: no round adds lineage, and a lost executor
-recomputes its rows from the source.
+The row weights are a column that each round multiplies by one factor, so a round costs
+the same however many came before; every few rounds the rows are checkpointed, which
+bounds what a lost executor has to recompute.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitsieve.functions.session import cut_lineage
+
+ROUNDS_TO_CUT = 10
+
 
 def _stump_array(stumps: list[tuple]) -> Column:
     names = ("feature", "threshold", "left", "right", "alpha")
@@ -46,38 +50,38 @@ class AdaBoost(Estimator, DefaultParamsReadable, DefaultParamsWritable):
 
     def _fit(self, dataset: DataFrame) -> AdaBoostModel:
         classes = int(dataset.agg(F.max("label")).first()[0]) + 1
-        rows = dataset.select("label", "features", vector_to_array("features").alias("_values"))
+        rows = dataset.select(
+            "label", "features", vector_to_array("features").alias("_values"), F.lit(1.0).alias("_weight")
+        )
         tree = DecisionTreeClassifier(
             maxDepth=1, weightCol="_weight", seed=self.getOrDefault("seed")
         )
         stumps: list[tuple] = []
-        log_total = 0.0
-        for _ in range(self.getOrDefault("rounds")):
-            weight = F.lit(1.0)
-            if stumps:
-                lost = F.aggregate(
-                    _stump_array(stumps),
-                    F.lit(0.0),
-                    lambda acc, s: acc
-                    + F.when(_vote(F.col("_values"), s) == F.col("label"), 0.0).otherwise(s["alpha"]),
-                )
-                weight = F.exp(lost - log_total)
-            weighted = rows.withColumn("_weight", weight)
-            stump = self._numbers(tree.fit(weighted))
+        rows = rows.persist()
+        for done in range(self.getOrDefault("rounds")):
+            stump = self._numbers(tree.fit(rows))
             wrong = _vote(F.col("_values"), _struct(stump)) != F.col("label")
-            sums = weighted.agg(
+            sums = rows.agg(
                 F.sum("_weight").alias("total"),
                 F.sum(F.when(wrong, F.col("_weight")).otherwise(0.0)).alias("missed"),
             ).first()
             error = sums["missed"] / sums["total"]
-            log_total += math.log(sums["total"])
             if error <= 0:
                 stumps.append((*stump, 1.0))
                 break
             if error >= 1 - 1 / classes:
                 break
             alpha = math.log((1 - error) / error) + math.log(max(1, classes - 1))
-            stumps.append((*stump, self.getOrDefault("learningRate") * alpha))
+            alpha *= self.getOrDefault("learningRate")
+            stumps.append((*stump, alpha))
+            grown = F.col("_weight") * F.when(wrong, math.exp(alpha)).otherwise(1.0) / F.lit(sums["total"])
+            weighted = rows.withColumn("_weight", grown)
+            # each round reads the weights of the one before; every few rounds they are written
+            weighted = cut_lineage(weighted) if done % ROUNDS_TO_CUT == ROUNDS_TO_CUT - 1 else weighted.persist()
+            weighted.count()
+            rows.unpersist()
+            rows = weighted
+        rows.unpersist()
         if not stumps:
             raise ValueError("no stump beats chance on these rows")
         return AdaBoostModel(json.dumps(stumps), classes)

@@ -74,7 +74,7 @@ class KNearestModel(Model, _NeighbourParams, MLReadable, MLWritable):
         every = F.sequence(F.lit(0), F.lit(self.getOrDefault("classes") - 1))
         share = F.transform(every, lambda c: F.round(F.coalesce(F.try_element_at("_m", c), F.lit(0.0)), 12))
         return (
-            dataset.join(shares, "row_id")
+            dataset.join(shares, "row_id", "left")
             .withColumn("_shares", share)
             .withColumn("probability", array_to_vector("_shares"))
             .withColumn("rawPrediction", F.col("probability"))

@@ -22,6 +22,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import (
     BinaryClassificationEvaluator,
+    Evaluator,
     MulticlassClassificationEvaluator,
 )
 from pyspark.ml.feature import VectorSlicer
@@ -45,13 +46,17 @@ from traitsieve.operators.prep import (
     NEGATIVE_OF_PAIR,
     POSITIVE_OF_PAIR,
     encode_labels,
+    min_max_scores,
     standardise,
 )
+from traitsieve.operators.stages import LabelNames, PreparedFeatures
 from traitsieve.operators.split import SEED, with_fold
 from traitsieve.table import FeatureTable
 
 UNLIMITED_DEPTH = 30
 GRID_FOLDS = 3
+#: A label with more values than this is not a class.
+CLASSES_MOST = 10_000
 
 
 @dataclass(frozen=True)
@@ -64,6 +69,8 @@ class Samples:
     n_classes: int
     table: FeatureTable
     positive: int = 1
+    preparation: PreparedFeatures | None = None
+    labels: LabelNames | None = None
 
     def select(self, indices: Sequence[int]) -> Samples:
         indices = [int(i) for i in indices]
@@ -74,6 +81,7 @@ class Samples:
             rows=chosen,
             names=tuple(self.names[i] for i in indices),
             table=self.table.select(indices),
+            preparation=self.preparation.chosen(indices) if self.preparation else None,
         )
 
     def release(self) -> None:
@@ -85,11 +93,18 @@ def prepare(
     fit_on: FeatureTable | None = None,
     scale: bool = True,
     folds: int | None = None,
+    missing: str = "mean",
 ) -> Samples:
-    """Standardise, encode and lay out a complete table for repeated fits."""
+    """Standardise, encode and lay out a complete table for repeated fits.
+
+    ``missing`` is the rule by which the fitted pipeline fills cells of raw rows.
+    """
     source = table if fit_on is None else fit_on
     # One row per class comes back.
-    sizes = {r["label"]: r["n"] for r in table.df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = table.df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(CLASSES_MOST + 1)
+    sizes = {r["label"]: r["n"] for r in counted.collect()}
+    if len(sizes) > CLASSES_MOST:
+        raise ValueError(f"the label has more than {CLASSES_MOST} values")
     n_rows, pair = sum(sizes.values()), {str(c) for c in sizes} == {POSITIVE_OF_PAIR, NEGATIVE_OF_PAIR}
     scaled = standardise(table, fit_on=source, complete=True) if scale else table
     coded = encode_labels(scaled.df, fit_on=source.df)
@@ -100,7 +115,9 @@ def prepare(
     keep = ["row_id", "label", "features", *(["fold"] if folds else [])]
     rows = stable_layout(ready.vectors().select(*keep), n_rows, table.width)
     return Samples(
-        rows, table.names, n_rows, len(sizes), _from_cache(ready, rows), positive=0 if pair else 1
+        rows, table.names, n_rows, len(sizes), _from_cache(ready, rows), positive=0 if pair else 1,
+        preparation=PreparedFeatures.fitted(source, missing=missing, scale=scale) if fit_on is None else None,
+        labels=LabelNames.fitted(source.df) if fit_on is None else None,
     )
 
 
@@ -167,9 +184,10 @@ def _calibration() -> list:
 
 def rbf_svm(
     n_rows: int, width: int, c: float = 1.0, gamma: float | None = None, components: int = 1024,
-    max_iter: int = 50, seed: int = SEED,
+    max_iter: int = 50, seed: int = SEED, n_classes: int = 2,
 ) -> Estimator:
-    """Two-class SVM with an RBF kernel, approximated by random Fourier features.
+    """SVM with an RBF kernel, approximated by random Fourier features; one against the rest
+    for more than two classes.
 
     ``gamma`` defaults to 1 / width, which is right for standardised features.
     """
@@ -179,15 +197,16 @@ def rbf_svm(
     )
     svm = LinearSVC(
         featuresCol="lifted", regParam=1.0 / (c * n_rows), maxIter=max_iter, standardization=False,
-        rawPredictionCol="margin",
+        rawPredictionCol="rawPrediction" if n_classes > 2 else "margin",
     )
+    if n_classes > 2:
+        return Pipeline(stages=[lifted, OneVsRest(classifier=svm, featuresCol="lifted")])
     return Pipeline(stages=[lifted, svm, *_calibration()])
 
 
 # --- grids -------------------------------------------------------------------------
 
-# Full parameter grids per model family (fixed values).  They are opt-in: the
-# default grids below keep a search to four points.
+# Full parameter grids per model family (fixed values).
 FULL_GRIDS = {
     "forest": {
         "numTrees": [100, 200, 300],
@@ -208,7 +227,8 @@ FULL_GRIDS = {
     "knn": {"k": [3, 5, 7, 9, 11, 15], "weights": ["uniform", "distance"], "p": [1, 2]},
 }
 
-SMALL_FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [UNLIMITED_DEPTH, 10]}
+# The grid of the elimination's and the judge's forest (fixed values).
+FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [UNLIMITED_DEPTH, 10]}
 
 
 def param_maps(estimator: Estimator, grid: dict[str, Sequence]) -> list[dict]:
@@ -220,11 +240,28 @@ def param_maps(estimator: Estimator, grid: dict[str, Sequence]) -> list[dict]:
     return maps
 
 
+class OneVsRestAuc(Evaluator):
+    """Macro mean of the exact one-vs-rest AUCs, for any number of classes."""
+
+    def __init__(self, n_classes: int) -> None:
+        super().__init__()
+        self.n_classes = n_classes
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        pred = dataset.select(F.lit("m").alias("model"), "label", class_scores(dataset).alias("scores"))
+        return one_vs_rest_auc(pred, [float(c) for c in range(self.n_classes)]).first()["auc"]
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
 def evaluator(metric: str, n_classes: int):
-    """``roc_auc`` (exact, two classes) or ``accuracy``; multi-class uses accuracy."""
+    """``roc_auc`` (exact; one against the rest for several classes) or ``accuracy``."""
     if metric == "roc_auc" and n_classes == 2:
         return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0)
-    if metric in ("roc_auc", "accuracy"):
+    if metric == "roc_auc":
+        return OneVsRestAuc(n_classes)
+    if metric == "accuracy":
         return MulticlassClassificationEvaluator(metricName="accuracy")
     raise ValueError(f"unknown metric {metric!r}")
 
@@ -266,16 +303,21 @@ def search_scores(found: CrossValidatorModel, spark) -> DataFrame:
 # --- training and prediction -------------------------------------------------------
 
 
+def class_scores(scored: DataFrame):
+    """Array of a model's probabilities, or of its margins where it gives none."""
+    return vector_to_array(next(c for c in ("probability", "rawPrediction") if c in scored.columns))
+
+
 def predict_table(model: Model, rows: DataFrame, name: str, positive: int = 1) -> DataFrame:
     """``model, row_id, label, prediction, score, scores`` for any fitted model.
 
-    ``score`` belongs to the positive class; ``scores`` has one entry per class.
+    ``score`` belongs to the positive class; ``scores`` has one entry per class.  A
+    model without probabilities gives margins; its ``score`` is then scaled to 0..1.
     """
     scored = model.transform(rows)
-    source = next(c for c in ("probability", "rawPrediction") if c in scored.columns)
-    scores = vector_to_array(source)
+    scores = class_scores(scored)
     keep = [c for c in ("fold",) if c in scored.columns]
-    return scored.select(
+    table = scored.select(
         F.lit(name).alias("model"),
         "row_id",
         F.col("label").cast("double").alias("label"),
@@ -284,6 +326,7 @@ def predict_table(model: Model, rows: DataFrame, name: str, positive: int = 1) -
         F.get(scores, F.lit(positive)).alias("score"),
         scores.alias("scores"),
     )
+    return table if "probability" in scored.columns else min_max_scores(table)
 
 
 def importances(model: Model) -> np.ndarray | None:
@@ -308,11 +351,20 @@ def importances(model: Model) -> np.ndarray | None:
 
 @dataclass
 class ModelSet:
-    """Fitted models by name, their predictions and the name of the best."""
+    """Fitted models by name, their predictions and the name of the best.
+
+    ``searched`` has the cross-validated score and the chosen parameters of models
+    that a grid was searched for.  With ``preparation`` and ``labels`` a model goes
+    out as a whole pipeline, from raw rows to label names.
+    """
 
     models: dict[str, Model] = field(default_factory=dict)
     predictions: DataFrame | None = None
     best: str | None = None
+    positive: int = 1
+    searched: dict[str, tuple[float, str]] = field(default_factory=dict)
+    preparation: PreparedFeatures | None = None
+    labels: LabelNames | None = None
 
     @property
     def best_model(self) -> Model:
@@ -321,18 +373,24 @@ class ModelSet:
         return self.models[self.best]
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return predict_table(self.best_model, rows, self.best)
+        """Prediction table of the best model for prepared rows."""
+        return predict_table(self.best_model, rows, self.best, self.positive)
+
+    def pipeline(self, name: str | None = None) -> PipelineModel:
+        """Preparation, model and label names as one model over raw rows."""
+        model = self.models[name] if name else self.best_model
+        before = [self.preparation] if self.preparation else []
+        return PipelineModel(stages=[*before, model, *([self.labels] if self.labels else [])])
 
 
-def default_models(samples: Samples, size: str = "default") -> dict[str, Estimator]:
-    """The model set by name; ``small`` trims the ensembles for trial runs."""
+def default_models(samples: Samples) -> dict[str, Estimator]:
+    """The model set by name."""
     n, k, width = samples.n_rows, samples.n_classes, len(samples.names)
-    trees, rounds = (100, 100) if size == "default" else (10, 5)
     models = {
-        "RandomForest": random_forest(trees),
-        "GradientBoosting": gradient_boosting(rounds, depth=5 if size == "default" else 3, n_classes=k),
-        "AdaBoost": ada_boost(rounds),
-        "SVM": rbf_svm(n, width) if k == 2 else linear_svm(n, n_classes=k),
+        "RandomForest": random_forest(),
+        "GradientBoosting": gradient_boosting(n_classes=k),
+        "AdaBoost": ada_boost(),
+        "SVM": rbf_svm(n, width, n_classes=k),
         "LinearSVM": linear_svm(n, n_classes=k),
         "LogisticRegression": logistic_regression(n),
         "KNN": k_nearest(),
@@ -348,15 +406,20 @@ def train_models(
     A model may come with a grid, which is then searched first.  Equal accuracies
     go to the model named first.
     """
-    result = ModelSet()
+    result = ModelSet(positive=train.positive, preparation=train.preparation, labels=train.labels)
     tables = []
     for name, model in models.items():
         if isinstance(model, tuple):
-            result.models[name] = grid_search(train, *model, metric="accuracy").bestModel
+            found = grid_search(train, *model, metric="accuracy")
+            result.models[name] = found.bestModel
+            at = int(np.argmax(found.avgMetrics))
+            chosen = found.getEstimatorParamMaps()[at]
+            said = ", ".join(f"{p.name}={v}" for p, v in sorted(chosen.items(), key=lambda e: e[0].name))
+            result.searched[name] = (float(found.avgMetrics[at]), said)
         else:
             result.models[name] = model.fit(train.rows)
         tables.append(predict_table(result.models[name], test.rows, name, train.positive))
-    result.predictions = reduce(DataFrame.unionByName, tables)
+    result.predictions = reduce(DataFrame.unionByName, tables).persist()
     # One row per model.
     scores = {r["model"]: r["accuracy"] for r in accuracy(result.predictions).collect()}
     result.best = max(models, key=lambda m: scores.get(m, 0.0))
@@ -368,24 +431,28 @@ def model_folder(name: str) -> str:
     return name.replace(" ", "_").lower() + "_model"
 
 
-def test_report(pred: DataFrame, samples: Samples) -> DataFrame:
-    """Figures per model: the six binary ones, or weighted ones for more classes."""
+def test_report(pred: DataFrame, samples: Samples, models: int = 1) -> DataFrame:
+    """Figures per model: the six binary ones, or weighted ones for more classes.
+
+    ``samples`` are the rows that the ``models`` predicted.
+    """
+    rows = samples.n_rows * models
     if samples.n_classes == 2:
-        return model_metrics(pred, float(samples.positive), rows=samples.n_rows)
+        return model_metrics(pred, float(samples.positive), rows=rows)
     classes = [float(c) for c in range(samples.n_classes)]
     return (
         accuracy(pred)
-        .join(one_vs_rest_auc(pred, classes, rows=samples.n_rows), "model")
+        .join(one_vs_rest_auc(pred, classes, rows=rows * len(classes)), "model")
         .join(weighted_metrics(pred), "model")
     )
 
 
 def save_models(found: ModelSet, folder: str) -> dict[str, str]:
-    """Write every model and the best one; each is a complete fitted pipeline."""
+    """Write every model and the best one, each with its preparation and label names."""
     paths = {}
     for name, model in found.models.items():
         paths[name] = f"{folder}/{model_folder(name)}"
-        wrapped = model if isinstance(model, PipelineModel) else PipelineModel(stages=[model])
+        wrapped = found.pipeline(name)
         wrapped.write().overwrite().save(paths[name])
         if name == found.best:
             paths["best"] = f"{folder}/best_model"

@@ -19,13 +19,16 @@ def per_feature(
     table: FeatureTable,
     aggregates: dict[str, Callable[[Column], Column]],
     by: Sequence[str] = (),
+    complete: bool = False,
 ) -> DataFrame:
     """``[by,] feature_idx`` and one column per aggregate; missing cells are null.
 
     A narrow table is aggregated in place: the array never materialises and only
     the columns needed are read.  A wide one is exploded into cells, so the plan
     does not grow with its width; both combine inside each task before the shuffle.
+    An empty table has no rows either way; with ``complete`` a missing cell fails the query.
     """
+    missing = F.raise_error(F.lit("missing cell in a table said to be complete")).cast("double")
     if table.width > NARROW_WIDTH:
         return (
             table.long(keep_missing=True)
@@ -40,11 +43,13 @@ def per_feature(
         for i in range(table.width)
     ]
     # Taken out in a projection of their own, the values fold back into plain columns.
-    values = [F.get(F.col("values"), F.lit(i)).alias(f"_v{i}") for i in range(table.width)]
+    values = [F.get(F.col("values"), F.lit(i)) for i in range(table.width)]
+    values = [(F.coalesce(v, missing) if complete else v).alias(f"_v{i}") for i, v in enumerate(values)]
     return (
         table.df.select(*by, *values)
         .groupBy(*by)
-        .agg(F.array(*columns).alias("_stats"))
+        .agg(F.array(*columns).alias("_stats"), F.count(F.lit(1)).alias("_rows"))
+        .filter("_rows > 0")
         .select(*by, F.explode("_stats").alias("_s"))
         .select(*by, "_s.*")
     )
@@ -61,7 +66,7 @@ def feature_moments(
     by = ["label"] if by_label else []
     if not complete or table.width <= NARROW_WIDTH:
         moments = per_feature(
-            table, {"n": F.count, "mean": F.avg, "variance": F.var_samp}, by
+            table, {"n": F.count, "mean": F.avg, "variance": F.var_samp}, by, complete
         )
         return moments.filter(F.col("n") > 0)
     summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.col("values")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from traitsieve.functions.columns import classes_of
 from traitsieve.functions.ordered import exact_quantile
+from traitsieve.functions.session import broadcast_if_small
 from traitsieve.operators.moments import feature_moments, per_feature
 from traitsieve.table import FeatureTable
 
@@ -24,14 +25,12 @@ SCORE_EPSILON = 1e-8
 
 def per_feature_array(stats: DataFrame, value: Column, width: int) -> Column:
     """Scalar subquery: array over all features of ``value`` (null where absent)."""
-    entries = F.map_from_entries(F.collect_list(F.struct(F.col("feature_idx"), value)))
+    known = stats.select(F.col("feature_idx"), value.alias("v"))
+    every = stats.sparkSession.range(width).select(F.col("id").cast("int").alias("feature_idx"))
+    entries = F.array_sort(F.collect_list(F.struct("feature_idx", "v")))
     return (
-        stats.agg(entries.alias("m"))
-        .select(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.try_element_at("m", i)
-            ).alias("a")
-        )
+        every.join(broadcast_if_small(known, width), "feature_idx", "left")
+        .agg(F.transform(entries, lambda e: e["v"]).alias("a"))
         .scalar()
     )
 
@@ -126,8 +125,12 @@ def with_binary_target(
     return df.withColumn("target", (F.col(label).cast("string") == chosen).cast("int"))
 
 
-def min_max_scores(df: DataFrame, score: str = "score") -> DataFrame:
-    """Scale a score column to 0..1 by its own range."""
+def min_max_scores(df: DataFrame, score: str = "score", by: str | None = None) -> DataFrame:
+    """Scale a score column to 0..1 by its own range, or by its range within each ``by``."""
+    if by is not None:
+        ranges = df.groupBy(by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+        scaled = (F.col(score) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(SCORE_EPSILON))
+        return df.join(ranges, by).withColumn(score, scaled).drop("_lo", "_hi")
     span = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi")).alias("s")).scalar()
     lo, hi = F.col("_span.lo"), F.col("_span.hi")
     scaled = (F.col(score) - lo) / (hi - lo + F.lit(SCORE_EPSILON))
@@ -180,6 +183,12 @@ def preprocess(
     return done[0], done[1] if test is not None else None
 
 
+def fitted_figures(train: FeatureTable, missing: str = "mean") -> list:
+    """Fill value, mean and deviation of every feature, on the driver (three numbers each)."""
+    row = train.df.sparkSession.range(1).select(_fill_and_scale(train, missing).alias("s")).first()
+    return [s if s is not None else {"fill": 0.0, "mean": 0.0, "spread": 1.0} for s in row["s"]]
+
+
 def _fill_and_scale(train: FeatureTable, missing: str) -> Column:
     """Per feature the fill value and the mean and deviation after filling.
 

@@ -22,7 +22,15 @@ from traitsieve.operators.univariate import (
 )
 
 N_FEATURES = 100
+# Grids that the selectors search by default (fixed values).
+SELECTOR_GRIDS: dict = {
+    "random_forest_importance": ml.FOREST_GRID,
+    "rfe_random_forest": ml.FOREST_GRID,
+    "lasso_regularization": ml.FULL_GRIDS["lasso_c"],
+    "gradient_boosting_importance": {"maxIter": [50, 100], "stepSize": [0.05, 0.1]},
+}
 LASSO_FLOOR = 1e-5
+# Names and order of the methods (fixed values; ties go by the order).
 METHODS = (
     "univariate_f_test",
     "mutual_information",
@@ -115,22 +123,37 @@ def lasso(
     return ranking(samples, size, k, kept)
 
 
-def default_selectors(samples: Samples, k: int, small: bool = False) -> dict[str, Callable[[], DataFrame]]:
-    """The six methods by name; ``small`` trims the ensembles for trial runs."""
-    trees, rounds, depth = (20, 5, 5) if small else (100, 100, 10)
-    forest = ml.random_forest(trees, depth)
-    boosting = ml.gradient_boosting(rounds, depth=3, n_classes=samples.n_classes)
+def default_selectors(
+    samples: Samples,
+    k: int,
+    forest: Estimator | None = None,
+    boosting: Estimator | None = None,
+    step: int | float = 0.1,
+    grids: dict[str, dict | Sequence[float]] | None = None,
+) -> dict[str, Callable[[], DataFrame]]:
+    """The six methods by name; the model-based ones search their grids first.
+
+    ``grids`` (``SELECTOR_GRIDS`` by default) has a grid by method; ``{}`` fits as given.
+    """
+    grids = SELECTOR_GRIDS if grids is None else grids
+    forest = ml.random_forest() if forest is None else forest
+    if boosting is None:
+        boosting = ml.gradient_boosting(depth=3, n_classes=samples.n_classes)
     return {
         "univariate_f_test": lambda: ranked(anova_f(samples.table, complete=True), k),
         "mutual_information": lambda: ranked(
             mutual_information(samples.table, rows=samples.n_rows, classes=samples.n_classes), k
         ),
-        "random_forest_importance": lambda: by_importance(samples, forest, k),
+        "random_forest_importance": lambda: by_importance(
+            samples, forest, k, grids.get("random_forest_importance")
+        ),
         "rfe_random_forest": lambda: recursive_elimination(
-            samples, forest, k, step=0.5 if small else 0.1
+            samples, forest, k, step, grids.get("rfe_random_forest")
+        ),
+        "lasso_regularization": lambda: lasso(samples, k, grid_c=grids.get("lasso_regularization", ())),
+        "gradient_boosting_importance": lambda: by_importance(
+            samples, boosting, k, grids.get("gradient_boosting_importance") if samples.n_classes == 2 else None
         ),
-        "lasso_regularization": lambda: lasso(samples, k),
-        "gradient_boosting_importance": lambda: by_importance(samples, boosting, k),
     }
 
 

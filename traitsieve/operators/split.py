@@ -113,11 +113,12 @@ def with_fold(
         )
 
     cuts = _class_cuts(df, F.col("label"), ends, seed, prefix, eager)
-    passed = F.size(F.filter("_cuts", lambda c: c < row_hash(seed)))
+    passed = F.size(F.filter("_cuts", lambda c: c < F.col("_hash")))
     return (
         df.withColumn("_cuts", F.try_element_at(cuts, F.col("label")))
+        .withColumn("_hash", row_hash(seed))
         .withColumn("fold", F.greatest(passed, F.lit(0)).cast("int"))
-        .drop("_cuts")
+        .drop("_cuts", "_hash")
     )
 
 

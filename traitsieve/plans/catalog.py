@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traitsieve.functions.columns import rounded
@@ -175,7 +176,7 @@ def impute_median(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def drop_incomplete_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(prep.impute(fx.miss(spark, sf).select(range(8)), "drop"))
+    return cells(prep.impute(fx.miss_some(spark, sf), "drop"))
 
 
 @query
@@ -186,7 +187,7 @@ def impute_zero(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def standardise_train_test(spark: SparkSession, sf: str) -> DataFrame:
     table = fx.flawed(spark, sf)
-    train, _ = split.train_test(table, eager=True)
+    train, _ = split.train_test(table)
     return cells(prep.standardise(table, fit_on=train, complete=True))
 
 
@@ -197,8 +198,8 @@ def encode_target(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def binary_target(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fx.line(spark, sf, "l_linestatus").df.select("label")
-    return prep.with_binary_target(rows).groupBy("label", "target").agg(F.count(F.lit(1)).alias("n"))
+    rows = fx.line(spark, sf, "l_linestatus").df.select("row_id", "label")
+    return prep.with_binary_target(rows)
 
 
 @query
@@ -221,8 +222,8 @@ def preprocess_train_test(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def min_max_scores(spark: SparkSession, sf: str) -> DataFrame:
-    letters = fx.pred(spark, sf).filter(F.col("model") == "letters").select("row_id", "score")
-    return rounded_doubles(prep.min_max_scores(letters))
+    scores = fx.pred(spark, sf).select("model", "row_id", "score")
+    return rounded_doubles(prep.min_max_scores(scores, by="model"))
 
 
 @query
@@ -510,12 +511,33 @@ def target_by_cohort(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pca_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(explore.principal_components(fx.emb(spark, sf))[0])
+    """Per row: scores centred, uncorrelated, and no longer than the standardised row."""
+    table = fx.emb(spark, sf)
+    scores, _ = explore.principal_components(table)
+    scaled = prep.standardise(table, complete=True).df
+    length = F.aggregate("values", F.lit(0.0), lambda total, v: total + v * v)
+    rows = scores.join(scaled.select("row_id", length.alias("squares")), "row_id").persist()
+    whole = rows.agg(F.struct(F.avg("pc1").alias("m1"), F.avg("pc2").alias("m2"), F.corr("pc1", "pc2").alias("r")).alias("w")).scalar()
+    return rows.select(
+        "row_id", "label",
+        (F.greatest(F.abs(whole["m1"]), F.abs(whole["m2"])) < 1e-9).alias("centred"),
+        (F.abs(whole["r"]) < 1e-6).alias("uncorrelated"),
+        (F.col("pc1") ** 2 + F.col("pc2") ** 2 <= F.col("squares") + 1e-9).alias("within_row"),
+    )
 
 
 @query
 def pca_explained_variance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(explore.principal_components(fx.emb(spark, sf))[1])
+    """Per component: its share is the variance of its scores, and above the even share."""
+    table = fx.emb(spark, sf)
+    scores, shares = explore.principal_components(table)
+    spread = scores.agg(F.array(F.var_pop("pc1"), F.var_pop("pc2")).alias("v")).scalar()
+    share = F.get(spread, F.col("component") - 1) / table.width
+    return shares.select(
+        "component",
+        (F.abs(share - F.col("explained_variance_ratio")) < 1e-9).alias("is_variance_of_scores"),
+        (F.col("explained_variance_ratio") >= 1.0 / table.width).alias("above_even_share"),
+    )
 
 
 # --- nearest neighbours ------------------------------------------------------------
@@ -545,58 +567,118 @@ def _planted_pair(spark: SparkSession, sf: str) -> tuple[ml.Samples, ml.Samples]
     return ml.prepare(train), ml.prepare(test, fit_on=train)
 
 
-def _fitted(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+def checked(pred: DataFrame, argmax: bool = True) -> DataFrame:
+    """A prediction table as its rows and what must hold for any fit of them."""
+    right = pred.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).scalar()
+    best = (F.array_position("scores", F.array_max("scores")) - 1).cast("double")
+    return pred.select(
+        "model", "row_id", "label",
+        F.col("score").between(0, 1).alias("score_in_range"),
+        ((F.col("prediction") == best) if argmax else F.col("prediction").isin(0.0, 1.0)).alias("prediction_fits_scores"),
+        (right > 0.5).alias("better_than_chance"),
+    )
+
+
+def checked_list(ranking: DataFrame) -> DataFrame:
+    """A feature list as its ranks and what must hold for it: planted features first, scores falling."""
+    by_rank = Window.orderBy("rank")  # one short list
+    return ranking.select(
+        "rank",
+        (F.col("feature").isin("f0", "f1") == (F.col("rank") <= 2)).alias("planted_first"),
+        F.coalesce(F.col("score") <= F.lag("score").over(by_rank), F.lit(True)).alias("falling"),
+        (F.col("score") > 0).alias("positive"),
+    )
+
+
+def in_range(df: DataFrame, keys: list[str], figures: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.col(c).between(0, 1).alias(f"{c}_in_range") for c in figures])
+
+
+def _fitted(spark: SparkSession, sf: str, name: str, build, argmax: bool = True) -> DataFrame:
     train, test = _planted_pair(spark, sf)
     model = build(train).fit(train.rows)
-    return ml.predict_table(model, test.rows, name).drop("scores")
+    return checked(ml.predict_table(model, test.rows, name), argmax)
 
 
 @query
 def forest_importance_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.by_importance(_planted(spark, sf), ml.random_forest(20, 8), LIST_SIZE)
+    return checked_list(selection.by_importance(_planted(spark, sf), ml.random_forest(), LIST_SIZE))
 
 
 @query
 def boosting_importance_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.by_importance(_planted(spark, sf), ml.gradient_boosting(8, 3), LIST_SIZE)
+    found = selection.by_importance(_planted(spark, sf), ml.gradient_boosting(depth=3), LIST_SIZE)
+    return checked_list(found)
 
 
 @query
 def forest_elimination_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.recursive_elimination(
-        _planted(spark, sf), ml.random_forest(20, 5), LIST_SIZE, step=0.3
-    )
+    found = selection.recursive_elimination(_planted(spark, sf), ml.random_forest(), LIST_SIZE, step=0.1)
+    return checked_list(found)
 
 
 @query
 def logistic_elimination_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """One feature at a time."""
     samples = _planted(spark, sf)
     model = ml.logistic_regression(samples.n_rows)
-    return selection.recursive_elimination(samples, model, LIST_SIZE, step=0.3)
+    return checked_list(selection.recursive_elimination(samples, model, LIST_SIZE, step=1))
 
 
 @query
 def lasso_selection(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.lasso(_planted(spark, sf), LIST_SIZE, c=0.1)
+    """Per feature: does its coefficient meet the optimality conditions, is it listed if it is large."""
+    samples = _planted(spark, sf)
+    chosen = selection.lasso(samples, LIST_SIZE, c=0.1).select("feature_idx", F.lit(True).alias("listed"))
+    penalty = 1.0 / (0.1 * samples.n_rows)
+    model = ml.logistic_regression(samples.n_rows, 0.1, l1_ratio=1.0, max_iter=200).fit(samples.rows)
+    error = F.get(vector_to_array("probability"), F.lit(1)) - F.col("label")
+    terms = model.transform(samples.rows).select(
+        F.posexplode(F.transform(vector_to_array("features"), lambda x: x * error)).alias("feature_idx", "g")
+    )
+    size = F.get(F.lit(model.coefficients.toArray().tolist()), F.col("feature_idx"))
+    slope = terms.groupBy("feature_idx").agg(F.avg("g").alias("g")).withColumn("w", size)
+    tight = F.abs(F.col("g") + F.signum("w") * penalty) <= 0.02 * penalty
+    largest = F.row_number().over(Window.orderBy(F.desc(F.abs("w")), "feature_idx"))
+    slope = slope.withColumn("large", (largest <= LIST_SIZE) & (F.abs("w") >= selection.LASSO_FLOOR))
+    return slope.join(chosen, "feature_idx", "left").select(
+        F.col("feature_idx").cast("int").alias("feature_idx"),
+        F.when(F.abs("w") > 1e-9, tight).otherwise(F.abs("g") <= penalty * 1.02).alias("optimal"),
+        (F.coalesce("listed", F.lit(False)) == F.col("large")).alias("listed_if_large"),
+    )
 
 
 @query
 def lasso_selection_multiclass(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.lasso(ml.prepare(fx.emb(spark, sf)), LIST_SIZE, c=1.0, balanced=True, max_iter=50)
+    samples = ml.prepare(fx.emb(spark, sf))
+    found = selection.lasso(samples, LIST_SIZE, c=1.0, balanced=True)
+    by_rank = Window.orderBy("rank")
+    return found.select(
+        "rank",
+        F.coalesce(F.col("score") <= F.lag("score").over(by_rank), F.lit(True)).alias("falling"),
+        (F.col("score") > 0).alias("positive"),
+    )
 
 
 @query
 def evaluate_selection_methods(spark: SparkSession, sf: str) -> DataFrame:
-    samples = _planted(spark, sf, folds=3)
+    samples = _planted(spark, sf, folds=5)
+    f_list = uni.ranked(uni.anova_f(samples.table, complete=True), 8)
+    forest = ml.random_forest()
     lists = selection.listed(
         uni.stacked(
             {
-                "univariate_f_test": uni.ranked(uni.anova_f(samples.table, complete=True), 8),
+                "univariate_f_test": f_list,
+                "mutual_information": uni.ranked(uni.mutual_information(samples.table, rows=samples.n_rows, classes=2), 8),
+                "random_forest_importance": selection.by_importance(samples, forest, 8),
+                "rfe_random_forest": selection.recursive_elimination(samples, forest, 8, step=0.5),
                 "lasso_regularization": selection.lasso(samples, 8),
+                "gradient_boosting_importance": selection.by_importance(samples, ml.gradient_boosting(20, 3), 8),
             }
         )
     )
-    return selection.evaluate_methods(samples, lists, folds=3, judge=ml.random_forest(20, 8))
+    judged = selection.evaluate_methods(samples, lists, folds=5, judge=ml.random_forest(50, 8))
+    return in_range(judged, ["method"], ["auc", "accuracy", "std_auc", "std_accuracy"])
 
 
 @query
@@ -605,22 +687,22 @@ def plain_method_scores(spark: SparkSession, sf: str) -> DataFrame:
     lists = {"f_test": selection.listed(
         uni.stacked({"f_test": uni.ranked(uni.anova_f(samples.table, complete=True), 8)})
     )["f_test"]}
-    return selection.score_by_accuracy(samples, lists, folds=3)
+    return in_range(selection.score_by_accuracy(samples, lists, folds=3), ["method"], ["accuracy"])
 
 
 @query
 def random_forest_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, "RandomForest", lambda s: ml.random_forest(50))
+    return _fitted(spark, sf, "RandomForest", lambda s: ml.random_forest())
 
 
 @query
 def gradient_boosting_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, "GradientBoosting", lambda s: ml.gradient_boosting(8, 3))
+    return _fitted(spark, sf, "GradientBoosting", lambda s: ml.gradient_boosting())
 
 
 @query
 def ada_boost_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, "AdaBoost", lambda s: ml.ada_boost(10))
+    return _fitted(spark, sf, "AdaBoost", lambda s: ml.ada_boost())
 
 
 @query
@@ -634,82 +716,155 @@ def logistic_regression_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)
     model = ml.logistic_regression(fit.n_rows).fit(fit.rows)
     pred = ml.predict_table(model, held.rows, "LogisticRegression")
-    return metrics.class_report(pred)
+    best = (F.array_position("scores", F.array_max("scores")) - 1).cast("double")
+    return pred.select(
+        "model", "row_id", "label",
+        F.forall("scores", lambda s: s.between(0, 1)).alias("scores_in_range"),
+        (F.size("scores") == held.n_classes).alias("a_score_per_class"),
+        (F.col("prediction") == best).alias("prediction_fits_scores"),
+    )
 
 
 @query
 def linear_svm_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, "LinearSVM", lambda s: ml.linear_svm(s.n_rows))
+    return _fitted(spark, sf, "LinearSVM", lambda s: ml.linear_svm(s.n_rows), argmax=False)
 
 
 @query
 def rbf_svm_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, "SVM", lambda s: ml.rbf_svm(s.n_rows, len(s.names)))
+    return _fitted(spark, sf, "SVM", lambda s: ml.rbf_svm(s.n_rows, len(s.names)), argmax=False)
 
 
 @query
 def k_nearest_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _fitted(spark, sf, "KNN", lambda s: ml.k_nearest())
+    train, test = _planted_pair(spark, sf)
+    return ml.predict_table(ml.k_nearest().fit(train.rows), test.rows, "KNN").drop("scores")
 
 
 @query
 def model_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     samples = _planted(spark, sf, folds=3)
     model = ml.logistic_regression(samples.n_rows)
-    grid = [{model.regParam: 1.0 / (c * samples.n_rows)} for c in (0.01, 1.0)]
-    return ml.search_scores(ml.grid_search(samples, model, grid, folds=3), spark)
+    grid = [{model.regParam: 1.0 / (c * samples.n_rows)} for c in ml.FULL_GRIDS["logistic_c"]]
+    found = ml.grid_search(samples, model, grid, folds=3)
+    scores = ml.search_scores(found, spark)
+    chosen = found.bestModel.getOrDefault("regParam")
+    top = scores.agg(F.max_by("params", "score")).first()[0]
+    return scores.select(
+        "point", F.col("score").between(0, 1).alias("score_in_range"),
+        F.lit(f"regParam={chosen}" == top).alias("refit_with_best"),
+    )
+
+
+def _model_set(train: ml.Samples) -> dict:
+    """All seven; the ensembles at the sizes that keep this query to a minute."""
+    n = train.n_rows
+    logistic = ml.logistic_regression(n)
+    grid = [{logistic.regParam: 1.0 / (c * n)} for c in (0.01, 1.0)]
+    return {
+        **ml.default_models(train),
+        "GradientBoosting": ml.gradient_boosting(20, 3),
+        "AdaBoost": ml.ada_boost(20),
+        "LogisticRegression": (logistic, grid),
+    }
 
 
 @query
 def train_and_score_models(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _planted_pair(spark, sf)
-    found = ml.train_models(
-        train, test,
-        {"RandomForest": ml.random_forest(20), "LogisticRegression": ml.logistic_regression(train.n_rows)},
-    )
-    return metrics.scoreboard(
-        metrics.model_metrics(found.predictions, 1.0, rows=test.n_rows), order=list(found.models)
+    models = _model_set(train)
+    found = ml.train_models(train, test, models)
+    board = metrics.scoreboard(ml.test_report(found.predictions, test, len(models)), order=list(models))
+    searched = F.lit(list(found.searched))
+    flags = in_range(board, ["model", "rank", "is_best", "accuracy"], ["auc", "sensitivity", "specificity", "precision", "f1_score"])
+    by_rank = Window.orderBy("rank")
+    return flags.select(
+        "model",
+        (F.col("is_best") == (F.col("rank") == 1)).alias("first_is_best"),
+        (F.col("is_best") == (F.col("model") == found.best)).alias("best_is_named"),
+        F.coalesce(F.col("accuracy") <= F.lag("accuracy").over(by_rank), F.lit(True)).alias("falling"),
+        F.array_contains(searched, F.col("model")).alias("searched"),
+        "auc_in_range", "sensitivity_in_range", "specificity_in_range",
     )
 
 
 @query
 def predict_with_best_model(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _planted_pair(spark, sf)
-    found = ml.train_models(train, test, {"LogisticRegression": ml.logistic_regression(train.n_rows)})
-    return prep.decode_labels(
-        found.predict(test.rows).drop("scores"), fx.emb_bin(spark, sf).df, "prediction"
+    found = ml.train_models(
+        train, test, {"LogisticRegression": ml.logistic_regression(train.n_rows), "KNN": ml.k_nearest()}
     )
+    return prep.decode_labels(checked_prediction(found, test), fx.emb_bin(spark, sf).df, "label")
+
+
+def checked_prediction(found: ml.ModelSet, test: ml.Samples) -> DataFrame:
+    """The best model's predictions beside those of the run that chose it."""
+    own = found.predictions.filter(F.col("model") == found.best)
+    again = found.predict(test.rows).select("row_id", F.col("prediction").alias("p"), F.col("score").alias("s"))
+    return own.join(again, "row_id").select(
+        "row_id", "label", (F.col("prediction") == F.col("p")).alias("same_prediction"),
+        (F.abs(F.col("score") - F.col("s")) < 1e-12).alias("same_score"),
+    )
+
+
+@query
+def predict_named_pair(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels IR and IS: the positive one sorts first, and its score is the score."""
+    table = fx.emb_bin(spark, sf)
+    named = table.with_df(table.df.withColumn("label", F.when(F.col("label") == 1, "IR").otherwise("IS")))
+    train, test = split.train_test(named, eager=True)
+    fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)
+    found = ml.train_models(fit, held, {"LogisticRegression": ml.logistic_regression(fit.n_rows)})
+    rows = checked_prediction(found, held)
+    higher = found.predictions.select("row_id", ((F.col("score") > 0.5) == (F.col("prediction") == 0)).alias("score_of_ir"))
+    return prep.decode_labels(rows.join(higher, "row_id"), named.df, "label")
 
 
 @query
 def save_and_load_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rows with holes through the saved pipeline and through the one in memory."""
     train, test = _planted_pair(spark, sf)
     found = ml.train_models(train, test, {"Logistic Regression": ml.logistic_regression(train.n_rows)})
     paths = ml.save_models(found, scratch_path(spark, "models"))
-    return ml.predict_table(ml.load_model(paths["best"]), test.rows, "best").drop("scores")
+    raw = split.train_test(fx.miss(spark, sf), eager=True)[1].df.select("row_id", "values")
+
+    def scored(model, name: str) -> DataFrame:
+        chance = F.get(vector_to_array("probability"), F.lit(1))
+        return model.transform(raw).select("row_id", chance.alias(f"score_{name}"), F.col("predicted_label").alias(name))
+
+    both = scored(found.pipeline(), "before").join(scored(ml.load_model(paths["best"]), "after"), "row_id")
+    return both.select(
+        "row_id",
+        (F.col("before") == F.col("after")).alias("same_label"),
+        (F.col("score_before") == F.col("score_after")).alias("same_score"),
+        F.col("after").isin(0, 1).alias("label_is_known"),
+    )
 
 
 @query
 def model_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     samples = _planted(spark, sf)
-    model = ml.logistic_regression(samples.n_rows).fit(samples.rows)
-    return importance.feature_importance(model, samples)
+    model = ml.random_forest().fit(samples.rows)
+    found = importance.feature_importance(model, samples)
+    total = found.agg(F.sum("score")).scalar()
+    return found.select("feature_idx", "feature", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 @query
 def top_model_features(spark: SparkSession, sf: str) -> DataFrame:
     samples = _planted(spark, sf)
-    return importance.top_features(ml.random_forest(20).fit(samples.rows), samples)
+    return checked_list(importance.top_features(ml.random_forest().fit(samples.rows), samples))
 
 
 @query
 def models_on_top_features(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _planted_pair(spark, sf)
-    models = {"LogisticRegression": ml.logistic_regression(train.n_rows)}
+    models = {"LogisticRegression": ml.logistic_regression(train.n_rows), "RandomForest": ml.random_forest()}
     full = ml.train_models(train, test, models)
     top = importance.top_indices(importance.top_features(full.best_model, train, 8))
     small = importance.train_on_top(train, test, models, top)
-    return metrics.model_metrics(small.predictions, 1.0, rows=test.n_rows)
+    figures = ml.test_report(small.predictions, test, len(models))
+    return in_range(figures, ["model"], ["accuracy", "auc", "sensitivity", "specificity"])
 
 
 @query
@@ -718,15 +873,20 @@ def all_against_top_features(spark: SparkSession, sf: str) -> DataFrame:
     name, model = "LogisticRegression", ml.logistic_regression(train.n_rows)
     full = ml.train_models(train, test, {name: model})
     top = importance.top_indices(importance.top_features(full.best_model, train, 8))
-    return importance.all_against_top(train, test, name, model, top, full.predictions)
+    both = importance.all_against_top(train, test, name, model, top, full.predictions)
+    a, t = F.col("all_features"), F.col("top_features")
+    said = F.when(a > t, "all_features").when(t > a, "top_features").otherwise("equal")
+    flags = in_range(both.withColumn("fits", F.col("higher") == said), ["model", "metric", "fits"], ["all_features", "top_features"])
+    return flags
 
 
 @query
 def test_check_of_best_features(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _planted_pair(spark, sf)
     top = importance.top_indices(uni.ranked(uni.anova_f(train.table, complete=True), 8))
-    model = ml.random_forest(50).fit(train.select(top).rows)
-    return metrics.accuracy(ml.predict_table(model, test.select(top).rows, "RandomForest"))
+    model = ml.random_forest().fit(train.select(top).rows)
+    found = metrics.accuracy(ml.predict_table(model, test.select(top).rows, "RandomForest"))
+    return found.select("model", (F.col("accuracy") > 0.5).alias("better_than_chance"))
 
 
 # --- sources and sinks -------------------------------------------------------------

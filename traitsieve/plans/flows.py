@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -56,6 +57,15 @@ class ModelRun:
     paths: dict[str, str]
 
 
+def check_pair(train: FeatureTable, test: FeatureTable) -> None:
+    """Warn of few common features and of labels that only the test part has."""
+    row = profile.compatibility(train, test).first()
+    if row["warn_few_common"]:
+        warnings.warn(f"only {row['n_common']} of {row['n_train_features']} features are common", stacklevel=2)
+    if row["n_unknown_classes"]:
+        warnings.warn(f"labels only in the test part: {row['unknown_classes']}", stacklevel=2)
+
+
 def split_table(
     table: FeatureTable, split_column: str | None, share: float, seed: int
 ) -> tuple[FeatureTable, FeatureTable]:
@@ -91,11 +101,12 @@ def run_feature_selection(
     """
     profile.validate(table)
     train, test = split_table(table, split_column, test_share, seed)
-    if table.width > top_variance:
-        source = table if variance_on == "all" else train
-        best = top_by_variance(feature_variance(source), top_variance)
-        keep = sorted(r["feature_idx"] for r in best.select("feature_idx").collect())
-        train, test = train.select(keep), test.select(keep)
+    check_pair(train, test)
+    source = table if variance_on == "all" else train
+    best = top_by_variance(feature_variance(source), top_variance)
+    keep = sorted(r["feature_idx"] for r in best.select("feature_idx").collect())
+    dropped = [n for i, n in enumerate(train.names) if i not in set(keep)]
+    train, test = train.select(keep), test.select(keep)
     test = impute(test, missing, fit_on=train)
     train = impute(train, missing)
 
@@ -126,6 +137,7 @@ def run_feature_selection(
             F.lit(held.n_rows).alias("test_rows"),
             F.lit(table.width).alias("features"),
             F.lit(train.width).alias("features_after_variance_filter"),
+            F.lit(dropped).cast("array<string>").alias("features_dropped_by_variance"),
         ),
         best_method=best_name,
         selected=F.lit(names),
@@ -151,19 +163,20 @@ def run_models(
     """Train all models, pick the best, repeat on its top features, compare, export."""
     train, test = align_features(train, test)
     profile.validate(train)
+    check_pair(train, test)
     test = impute(test, missing, fit_on=train)
     train = impute(train, missing)
     fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)
 
     chosen = models(fit)
     full = ml.train_models(fit, held, chosen)
-    figures = ml.test_report(full.predictions, fit)
+    figures = ml.test_report(full.predictions, held, len(chosen))
     ranking = importance.top_features(full.best_model, fit, min(top_n, train.width))
     top = importance.top_indices(ranking)
     names = [train.names[i] for i in top]
     # The model set is rebuilt for the narrower input: some models depend on its width.
     small = ml.train_models(fit.select(top), held.select(top), models(fit.select(top)))
-    small_figures = ml.test_report(small.predictions, fit)
+    small_figures = ml.test_report(small.predictions, held, len(chosen))
     comparison = None
     if fit.n_classes == 2:
         best = F.col("model") == full.best

@@ -9,6 +9,8 @@ CTES = {
     "bin_label": """SELECT vec_id AS row_id,
         CAST(CAST(embedding[1] AS DOUBLE) + CAST(embedding[2] AS DOUBLE) > 0 AS INTEGER) AS label
         FROM embeddings""",
+    "bin_test": """SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|42'))
+        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS is_test FROM bin_label""",
     "emb_bin": "SELECT e.row_id, b.label, e.feature_idx, e.value FROM emb e JOIN bin_label b USING (row_id)",
     "miss": """SELECT row_id, label, feature_idx,
         CASE WHEN row_id % 17 <> feature_idx % 17 THEN value END AS value FROM emb""",
@@ -278,8 +280,7 @@ ORACLE: dict[str, str] = {
         JOIN (SELECT feature_idx, median(value) AS med FROM miss GROUP BY 1) q USING (feature_idx))""")
     ),
     "drop_incomplete_rows": _sql(
-        _cells("""miss WHERE feature_idx < 8 AND row_id NOT IN
-        (SELECT row_id FROM miss WHERE feature_idx < 8 AND value IS NULL)""")
+        _cells("(SELECT e.* FROM emb e WHERE row_id % 3 <> 0 OR row_id NOT IN (SELECT row_id FROM miss WHERE value IS NULL))")
     ),
     "impute_zero": _sql(_cells("miss", "coalesce(value, 0)")),
     "standardise_train_test": _sql(
@@ -290,8 +291,8 @@ ORACLE: dict[str, str] = {
     "encode_target": _sql(
         """SELECT row_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM cust"""
     ),
-    "binary_target": """SELECT l_linestatus AS label, CAST(l_linestatus =
-        (SELECT max(l_linestatus) FROM lineitem) AS INTEGER) AS target, count(*) AS n FROM lineitem GROUP BY ALL""",
+    "binary_target": _sql("""SELECT row_id, l_linestatus AS label, CAST(l_linestatus =
+        (SELECT max(l_linestatus) FROM lineitem) AS INTEGER) AS target FROM line"""),
     "decode_predictions": _sql(
         "SELECT row_id, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code, label AS code_label FROM cust"
     ),
@@ -305,8 +306,9 @@ ORACLE: dict[str, str] = {
         FROM miss JOIN emb_test USING (row_id)) f WINDOW w AS (PARTITION BY feature_idx))"""
     ),
     "min_max_scores": _sql(
-        f"""SELECT row_id, {_r('(score - lo) / (hi - lo + CAST(1e-8 AS DOUBLE))', 'score')} FROM (
-        SELECT row_id, score, min(score) OVER () AS lo, max(score) OVER () AS hi FROM pred WHERE model = 'letters')"""
+        f"""SELECT model, row_id, {_r('(score - lo) / (hi - lo + CAST(1e-8 AS DOUBLE))', 'score')} FROM (
+        SELECT model, row_id, score, min(score) OVER (PARTITION BY model) AS lo,
+        max(score) OVER (PARTITION BY model) AS hi FROM pred)"""
     ),
     "balanced_class_weights": _sql(
         f"""SELECT doc_id AS row_id, quality AS label, {_r('n / (k * nc)', 'weight')} FROM (
@@ -482,9 +484,7 @@ ORACLE: dict[str, str] = {
         SELECT DISTINCT row_id, label, sum(1 / d) OVER (PARTITION BY row_id, label) / sum(1 / d) OVER (PARTITION BY row_id) AS share
         FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, neighbour_id) AS pos FROM dist)
         WHERE pos <= 7)) WHERE place = 1""",
-        """, bin_test AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|42'))
-        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS is_test FROM bin_label),
-        dist AS (SELECT q.row_id, t.row_id AS neighbour_id, b.label, sum(abs(q.value - t.value)) AS d
+        """, dist AS (SELECT q.row_id, t.row_id AS neighbour_id, b.label, sum(abs(q.value - t.value)) AS d
         FROM emb q JOIN bin_test a ON a.row_id = q.row_id AND a.is_test
         JOIN emb t ON t.feature_idx = q.feature_idx JOIN bin_test b ON b.row_id = t.row_id AND NOT b.is_test
         GROUP BY ALL)""",
@@ -495,9 +495,7 @@ ORACLE: dict[str, str] = {
         SELECT row_id, any_value(own) AS label, avg(label) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, neighbour_id) AS pos FROM dist)
         WHERE pos <= 5 GROUP BY row_id)""",
-        """, bin_test AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|42'))
-        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS is_test FROM bin_label),
-        scaled AS (SELECT feature_idx, avg(value) AS m, stddev_pop(value) AS s FROM emb JOIN bin_test USING (row_id)
+        """, scaled AS (SELECT feature_idx, avg(value) AS m, stddev_pop(value) AS s FROM emb JOIN bin_test USING (row_id)
         WHERE NOT is_test GROUP BY feature_idx),
         dist AS (SELECT q.row_id, a.label AS own, t.row_id AS neighbour_id, b.label,
         sum(power((q.value - t.value) / s.s, 2)) AS d
@@ -531,3 +529,92 @@ ORACLE: dict[str, str] = {
         CAST(42 AS BIGINT) AS seed, 'label' AS target"""
     ),
 }
+
+
+# --- fits: the rows they must give, and what holds for any right fit ----------------
+
+
+def _fits(model: str) -> str:
+    return _sql(
+        f"""SELECT '{model}' AS model, row_id, CAST(label AS DOUBLE) AS label, TRUE AS score_in_range,
+        TRUE AS prediction_fits_scores, TRUE AS better_than_chance FROM bin_test WHERE is_test"""
+    )
+
+
+def _ranks(*flags: str, size: int = 20) -> str:
+    said = "".join(f", TRUE AS {f}" for f in flags)
+    return f"SELECT CAST(i AS INTEGER) AS rank{said} FROM range(1, {size + 1}) AS r(i)"
+
+
+def _names(column: str, names: list[str], *flags: str) -> str:
+    values = ", ".join(f"('{n}')" for n in names)
+    return f"SELECT {column}{''.join(f', TRUE AS {f}' for f in flags)} FROM (VALUES {values}) AS v({column})"
+
+
+_SELECTORS = [
+    "univariate_f_test", "mutual_information", "random_forest_importance", "rfe_random_forest",
+    "lasso_regularization", "gradient_boosting_importance",
+]
+_MODELS = ["RandomForest", "GradientBoosting", "AdaBoost", "SVM", "LinearSVM", "LogisticRegression", "KNN"]
+_FIGURES = ["accuracy", "auc", "sensitivity", "specificity", "precision", "f1_score"]
+
+ORACLE |= {
+    "random_forest_model": _fits("RandomForest"),
+    "gradient_boosting_model": _fits("GradientBoosting"),
+    "ada_boost_model": _fits("AdaBoost"),
+    "logistic_regression_model": _fits("LogisticRegression"),
+    "linear_svm_model": _fits("LinearSVM"),
+    "rbf_svm_model": _fits("SVM"),
+    "logistic_regression_multiclass": _sql(
+        """SELECT 'LogisticRegression' AS model, row_id,
+        CAST((SELECT count(DISTINCT label) FROM embeddings e WHERE e.label < t.label) AS DOUBLE) AS label,
+        TRUE AS scores_in_range, TRUE AS a_score_per_class, TRUE AS prediction_fits_scores
+        FROM emb_test t WHERE is_test"""
+    ),
+    "forest_importance_selection": _ranks("planted_first", "falling", "positive"),
+    "boosting_importance_selection": _ranks("planted_first", "falling", "positive"),
+    "forest_elimination_selection": _ranks("planted_first", "falling", "positive"),
+    "logistic_elimination_selection": _ranks("planted_first", "falling", "positive"),
+    "top_model_features": _ranks("planted_first", "falling", "positive"),
+    "lasso_selection_multiclass": _ranks("falling", "positive"),
+    "lasso_selection": "SELECT CAST(i AS INTEGER) AS feature_idx, TRUE AS optimal, TRUE AS listed_if_large FROM range(64) AS r(i)",
+    "model_feature_importance": """SELECT CAST(i AS INTEGER) AS feature_idx, 'f' || i AS feature,
+        TRUE AS sums_to_one FROM range(64) AS r(i)""",
+    "pca_scores": """SELECT vec_id AS row_id, label, TRUE AS centred, TRUE AS uncorrelated, TRUE AS within_row
+        FROM embeddings""",
+    "pca_explained_variance": """SELECT CAST(i AS INTEGER) AS component, TRUE AS is_variance_of_scores,
+        TRUE AS above_even_share FROM range(1, 3) AS r(i)""",
+    "evaluate_selection_methods": _names(
+        "method", _SELECTORS, "auc_in_range", "accuracy_in_range", "std_auc_in_range", "std_accuracy_in_range"
+    ),
+    "plain_method_scores": _names("method", ["f_test"], "accuracy_in_range"),
+    "model_grid_search": """SELECT CAST(i AS INTEGER) AS point, TRUE AS score_in_range, TRUE AS refit_with_best
+        FROM range(6) AS r(i)""",
+    "train_and_score_models": "SELECT *, model = 'LogisticRegression' AS searched FROM ("
+    + _names(
+        "model", _MODELS, "first_is_best", "best_is_named", "falling", "auc_in_range",
+        "sensitivity_in_range", "specificity_in_range",
+    )
+    + ")",
+    "predict_with_best_model": _sql(
+        """SELECT row_id, CAST(label AS DOUBLE) AS label, TRUE AS same_prediction, TRUE AS same_score,
+        label AS label_label FROM bin_test WHERE is_test"""
+    ),
+    "predict_named_pair": _sql(
+        """SELECT row_id, CAST(label = 'IS' AS DOUBLE) AS label, TRUE AS same_prediction, TRUE AS same_score,
+        TRUE AS score_of_ir, label AS label_label FROM pair_test WHERE is_test""",
+        """, pair_test AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(row_id || '|42'))
+        <= round(CAST(0.2 AS DOUBLE) * count(*) OVER (PARTITION BY label)) AS is_test
+        FROM (SELECT row_id, CASE WHEN label = 1 THEN 'IR' ELSE 'IS' END AS label FROM bin_label))""",
+    ),
+    "save_and_load_models": _sql(
+        """SELECT row_id, TRUE AS same_label, TRUE AS same_score, TRUE AS label_is_known FROM emb_test WHERE is_test"""
+    ),
+    "models_on_top_features": _names(
+        "model", ["LogisticRegression", "RandomForest"], "accuracy_in_range", "auc_in_range",
+        "sensitivity_in_range", "specificity_in_range",
+    ),
+    "all_against_top_features": "SELECT 'LogisticRegression' AS model, * FROM ("
+    + _names("metric", _FIGURES, "fits", "all_features_in_range", "top_features_in_range") + ")",
+    "test_check_of_best_features": _names("model", ["RandomForest"], "better_than_chance"),
+}

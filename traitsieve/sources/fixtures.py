@@ -48,6 +48,15 @@ def miss(spark: SparkSession, folder: str, every: int = 17) -> FeatureTable:
     return table.with_values(holed)
 
 
+def miss_some(spark: SparkSession, folder: str) -> FeatureTable:
+    """As ``miss``, but only every third row has holes."""
+    table = miss(spark, folder)
+    whole = emb(spark, folder).df.select("row_id", F.col("values").alias("_whole"))
+    rows = table.df.join(whole, "row_id")
+    values = F.when(F.col("row_id") % 3 == 0, F.col("values")).otherwise(F.col("_whole"))
+    return table.with_df(rows.withColumn("values", values).drop("_whole"))
+
+
 def flawed(spark: SparkSession, folder: str) -> FeatureTable:
     """Embeddings plus a constant and a low-variance feature derived from f0."""
     table = emb(spark, folder)

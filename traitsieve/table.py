@@ -111,12 +111,14 @@ class FeatureTable:
 
     def select(self, indices: Sequence[int]) -> FeatureTable:
         """Project onto features by position, in the given order."""
-        picks = F.lit([int(i) for i in indices])
+        # Taken out in a projection of their own, the picks fold back into the columns of
+        # a wide table, so only the chosen ones are read.
+        picks = [F.get(F.col("values"), F.lit(int(i))).alias(f"_p{k}") for k, i in enumerate(indices)]
+        others = [quoted(c) for c in self.df.columns if c != "values"]
+        made = F.array(*[F.col(f"_p{k}") for k in range(len(picks))]) if picks else F.array().cast("array<double>")
         return replace(
             self,
-            df=self.df.withColumn(
-                "values", F.transform(picks, lambda i: F.get(F.col("values"), i))
-            ),
+            df=self.df.select(*others, *picks).select(*others, made.alias("values")),
             names=tuple(self.names[i] for i in indices),
         )
 
