@@ -118,13 +118,15 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block:
     ranges = max(1, -(-most // RANGE_DOCS))
     key = F.xxhash64("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    placed = docs.withColumns({"mix_key": key, "mix_size": size}).withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 40), F.lit(ranges)))
+    packed = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("0"), *docs.columns).alias("mix_row"))
+    placed = packed.withColumns({"mix_key": key, "mix_size": size}).withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 40), F.lit(ranges)))
     sums = placed.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("mix_sum"))
     before = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = written(
         sums.select("source", "mix_range", F.coalesce(F.sum("mix_sum").over(before), F.lit(0)).alias("mix_before")), "ranges"
     )
-    return _slotted(placed, sums, lengths, weights, block, frame, spark)
+    rows = _slotted(placed, sums, lengths, weights, block, frame, spark)
+    return rows.select(*[F.col("mix_row")[c].alias(c) for c in docs.columns], "mix_block", "mix_slot", "mix_place")
 
 
 def _slotted(placed, sums, lengths, weights, block, frame, spark) -> DataFrame:

@@ -302,8 +302,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, gr
 
 def cut_texts(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``docs`` with the repeated words cut out of ``text``; the text between other words is unchanged."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    rows = _removal(docs, window, gram, group, others).select("rid", "text", *others, "copy", "windows")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("0"), *[F.col(c) for c in others]).alias("others"))
+    rows = _removal(packed, window, gram, group, ("others",)).select("rid", "text", "others", "copy", "windows")
     kept = StructType([f for f in rows.schema.fields if f.name not in ("copy", "windows")])
     out = rows.mapInArrow(_cut(window), kept)
-    return out.select(*[doc_id_of() if c == "doc_id" else c for c in docs.columns])
+    own = {"doc_id": doc_id_of(), "text": F.col("text")}
+    return out.select(*[own.get(c, F.col("others")[c].alias(c)) for c in docs.columns])
