@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,6 +173,15 @@ def compatibility(train: FeatureTable, test: FeatureTable) -> DataFrame:
     )
 
 
+def check_pair(train: FeatureTable, test: FeatureTable) -> None:
+    """Warn of few common features and of labels that only the test part has."""
+    row = compatibility(train, test).first()
+    if row["warn_few_common"]:
+        warnings.warn(f"only {row['n_common']} of {row['n_train_features']} features are common", stacklevel=2)
+    if row["n_unknown_classes"]:
+        warnings.warn(f"labels only in the test part: {row['unknown_classes']}", stacklevel=2)
+
+
 def quality_report(table: FeatureTable) -> DataFrame:
     """Long report ``section, item, value`` from one feature pass and one label pass."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -57,15 +56,6 @@ class ModelRun:
     paths: dict[str, str]
 
 
-def check_pair(train: FeatureTable, test: FeatureTable) -> None:
-    """Warn of few common features and of labels that only the test part has."""
-    row = profile.compatibility(train, test).first()
-    if row["warn_few_common"]:
-        warnings.warn(f"only {row['n_common']} of {row['n_train_features']} features are common", stacklevel=2)
-    if row["n_unknown_classes"]:
-        warnings.warn(f"labels only in the test part: {row['unknown_classes']}", stacklevel=2)
-
-
 def split_table(
     table: FeatureTable, split_column: str | None, share: float, seed: int
 ) -> tuple[FeatureTable, FeatureTable]:
@@ -101,7 +91,7 @@ def run_feature_selection(
     """
     profile.validate(table)
     train, test = split_table(table, split_column, test_share, seed)
-    check_pair(train, test)
+    profile.check_pair(train, test)
     source = table if variance_on == "all" else train
     best = top_by_variance(feature_variance(source), top_variance)
     keep = sorted(r["feature_idx"] for r in best.select("feature_idx").collect())
@@ -163,7 +153,7 @@ def run_models(
     """Train all models, pick the best, repeat on its top features, compare, export."""
     train, test = align_features(train, test)
     profile.validate(train)
-    check_pair(train, test)
+    profile.check_pair(train, test)
     test = impute(test, missing, fit_on=train)
     train = impute(train, missing)
     fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from traitsieve.operators.compare import concat_rows
+from traitsieve.operators.profile import check_pair, validate
 from traitsieve.operators.shape import align_features
 from traitsieve.operators.split import train_test
 from traitsieve.table import METADATA_COLUMNS, FeatureTable, numeric_columns, quoted
@@ -78,9 +79,13 @@ def load_table(
     row_id: str | None = None,
     exclude: tuple[str, ...] = METADATA_COLUMNS,
     extra: tuple[str, ...] = (),
+    schema: T.StructType | str | None = None,
 ) -> FeatureTable:
-    """Labelled table; the first column is the row key unless ``row_id`` names one."""
-    raw = read_table(spark, path)
+    """Labelled table; the first column is the row key unless ``row_id`` names one.
+
+    With ``schema`` a CSV file is read once, when it is used.
+    """
+    raw = read_table(spark, path, schema)
     key = raw.columns[0] if row_id is None else row_id
     return FeatureTable.from_wide(raw, key, target, exclude, extra)
 
@@ -92,11 +97,20 @@ def load_pair(
     target: str,
     row_id: str,
     use_predefined_split: bool = True,
+    schema: T.StructType | str | None = None,
+    check: bool = True,
     **split_options,
 ) -> tuple[FeatureTable, FeatureTable]:
-    """Train and test table on their common features, or both pooled and split anew."""
-    train = load_table(spark, train_path, target, row_id, exclude=())
-    test = load_table(spark, test_path, target, row_id, exclude=())
+    """Train and test table on their common features, or both pooled and split anew.
+
+    ``check`` runs the gates: either table may fail its own, and the pair is compared.
+    """
+    train = load_table(spark, train_path, target, row_id, exclude=(), schema=schema)
+    test = load_table(spark, test_path, target, row_id, exclude=(), schema=schema)
+    if check:
+        for part in (train, test):
+            validate(part)
+        check_pair(train, test)
     train, test = align_features(train, test)
     if use_predefined_split:
         return train, test
