@@ -75,7 +75,7 @@ def feature_moments(
         vector_to_array(F.col("s.variance")).alias("variance"),
     )
     return (
-        table.df.groupBy(*by)
+        table.df.groupBy(*by, F.lit(0).alias("_all"))  # a key, so that an empty table has no group
         .agg(F.count(F.lit(1)).alias("n"), summary.alias("s"))
         .select(*by, "n", F.posexplode(cells).alias("feature_idx", "cell"))
         .select(

@@ -49,11 +49,16 @@ def missing_to_null(value: Column) -> Column:
 
 @dataclass(frozen=True)
 class FeatureTable:
-    """``df`` holds ``row_id, label, values`` and the columns named in ``extra``."""
+    """``df`` holds ``row_id, label, values`` and the columns named in ``extra``.
+
+    A table just read from plain columns knows them as ``wide`` (``row_id, label``, extra and
+    one column per feature, ``_0, _1, ...``), so that a choice of features reads only those.
+    """
 
     df: DataFrame
     names: tuple[str, ...]
     extra: tuple[str, ...] = ()
+    wide_df: DataFrame | None = None
 
     @classmethod
     def from_wide(
@@ -70,16 +75,13 @@ class FeatureTable:
         features = numeric_columns(df, {row_id, label, *exclude, *extra})
         if not features:
             raise ValueError("the table has no numeric feature column")
-        values = F.array(*[missing_to_null(quoted(c)) for c in features])
+        head = [quoted(row_id).alias("row_id"), quoted(label).alias("label"), *[quoted(c) for c in extra]]
+        values = [missing_to_null(quoted(c)) for c in features]
         return cls(
-            df.select(
-                quoted(row_id).alias("row_id"),
-                quoted(label).alias("label"),
-                *[quoted(c) for c in extra],
-                values.alias("values"),
-            ),
+            df.select(*head, F.array(*values).alias("values")),
             tuple(features),
             tuple(extra),
+            df.select(*head, *[v.alias(f"_{i}") for i, v in enumerate(values)]),
         )
 
     @classmethod
@@ -101,7 +103,7 @@ class FeatureTable:
         return len(self.names)
 
     def with_df(self, df: DataFrame) -> FeatureTable:
-        return replace(self, df=df)
+        return replace(self, df=df, wide_df=None)
 
     def with_values(self, values: Column) -> FeatureTable:
         return self.with_df(self.df.withColumn("values", values))
@@ -111,14 +113,17 @@ class FeatureTable:
 
     def select(self, indices: Sequence[int]) -> FeatureTable:
         """Project onto features by position, in the given order."""
-        # Taken out in a projection of their own, the picks fold back into the columns of
-        # a wide table, so only the chosen ones are read.
-        picks = [F.get(F.col("values"), F.lit(int(i))).alias(f"_p{k}") for k, i in enumerate(indices)]
         others = [quoted(c) for c in self.df.columns if c != "values"]
-        made = F.array(*[F.col(f"_p{k}") for k in range(len(picks))]) if picks else F.array().cast("array<double>")
+        if self.wide_df is None:
+            picks, source = [F.get(F.col("values"), F.lit(int(i))) for i in indices], self.df
+        else:
+            picks, source = [F.col(f"_{int(i)}") for i in indices], self.wide_df
+        made = F.array(*picks) if picks else F.array().cast("array<double>")
+        wide = self.wide_df and source.select(*others, *[p.alias(f"_{k}") for k, p in enumerate(picks)])
         return replace(
             self,
-            df=self.df.select(*others, *picks).select(*others, made.alias("values")),
+            df=source.select(*others, made.alias("values")),
+            wide_df=wide,
             names=tuple(self.names[i] for i in indices),
         )
 
