@@ -32,7 +32,7 @@ from traitsieve.llm.tables import written
 FRAME = 1_000
 BLOCK = 65_536
 #: Documents of a source that one task adds up.
-RANGE_DOCS = 20_000
+RANGE_DOCS = 2_000
 #: More sources than this are refused: the frame is scheduled on the driver.
 SOURCES_MOST = 10_000
 
