@@ -6,8 +6,9 @@ their first ``s - ceil(0.8 s) + c`` share at least ``c`` (or all common ones, if
 
 * Light sets enumerate all subsets of ``SUBSET`` shingles of that leading part; one
   equal subset makes a candidate.
-* Heavy sets put their leading part for ``OVERLAP`` common shingles into inverted lists;
-  scanning a list counts common shingles per pair, and ``OVERLAP`` make a candidate.
+* Heavy sets put their leading part for ``overlap(s)`` common shingles into inverted lists;
+  scanning the lists counts common shingles per pair, and a pair of sizes s and t is a candidate
+  with as many as any link of these sizes has there (``_common_needed``).
 * The boundary is the size at which the records of both kinds are fewest, from the
   histogram of sizes.  Sets near below it do both, for their heavier partners.
 
@@ -15,9 +16,13 @@ The order puts shingles seen often first in no list: they rank last, the others
 Which shingles count as frequent changes the cost, never the result.
 
 Equal sets are one class, held by its smallest document.  A list of up to ``SMALL``
-classes gives all its pairs.  From longer lists, pairs with one centre are checked first; then
-only pairs that are not yet in one component: all pairs are never listed for a large group of
-near copies.  Candidates are verified on whole sets; shingles are compared by 63-bit hashes.
+classes gives all its pairs; they are verified on whole sets once enough lists have named them.
+A longer list gives none: its sets join the group of the list's centre, the set that most
+others share shingles with.  A set is written as its difference from the centre, and the
+task of a group compares differences: sets that link with the centre are one component
+already, so only the others are compared with all.  Groups of more than ``GROUP_SETS``
+are cut into pairs of blocks.  Tasks give spanning forests of the links, so no list
+of pairs grows with the square of a group.  Shingles are compared by 63-bit hashes.
 
 Defined results: null or empty texts and texts of separators have no shingles and link with
 nothing; rows without doc_id link with nothing and have no component; rows that share a
@@ -29,23 +34,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitsieve.functions.session import cut_lineage
 from traitsieve.llm import kernels as K
-from traitsieve.llm.components import components
+from traitsieve.llm.components import components, spanning_forest
 from traitsieve.llm.packets import Outbox, bucket_count, to_buckets, unpack
 from traitsieve.llm.tables import written
 
 SHINGLE = 5
 PERCENT = 80
 SUBSET = 2
-OVERLAP = 8
-SMALL = 24
-#: Sets of a long list whose pairs are made together.
-ROWS_AT_ONCE = 128
+#: Common shingles that leading parts are made for: a few, and a share of the set, so that a
+#: passage that two long texts share is not enough to make them a candidate.
+OVERLAP_LEAST = 8
+OVERLAP_SHARE = 16
+SMALL = 8
+#: Sets of a group that one task compares, in two blocks.
+GROUP_SETS = 3_000
+#: Sets of all groups in a bucket, about.
+BUCKET_SETS = 10_000
+#: Sets compared with their group together.
+ROWS_AT_ONCE = 256
+#: Weight of an equal subset, which needs no second witness.
+SURE = 1 << 20
+#: Bits of the map of texts whose sets are wanted (8 MB).
+BITS = 1 << 26
 #: Largest light size that is considered.
 LIGHT_MOST = 64
 #: Frequent shingles that are named to all tasks, at most (8 bytes each).
@@ -84,6 +101,11 @@ def _needed(size):
     return -(-PERCENT * size // 100)
 
 
+def overlap(size):
+    """Common shingles for which a heavy set of this size lists its leading part."""
+    return OVERLAP_LEAST + size // OVERLAP_SHARE
+
+
 def _sizes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +176,7 @@ def light_boundary(sizes: dict[int, int]) -> int:
     best, cost = 0, None
     for x in range(LIGHT_MOST + 1):
         records = sum(n * subsets(s) for s, n in sizes.items() if 2 <= s <= x)
-        records += sum(n * min(s, s - _needed(s) + OVERLAP) for s, n in sizes.items() if s > x or s >= _needed(x + 1))
+        records += sum(n * min(s, s - _needed(s) + overlap(s)) for s, n in sizes.items() if s > x or s >= _needed(x + 1))
         if cost is None or records < cost:
             best, cost = x, records
     return best
@@ -174,7 +196,7 @@ def _post(n: int, k: int, boundary: int, frequent):
                 grams = grams[order]
                 place = np.arange(len(grams)) - bounds[docs]
                 own = sizes[docs]
-                heavy = ((own > boundary) | (own >= _needed(boundary + 1))) & (place < own - _needed(own) + OVERLAP)
+                heavy = ((own > boundary) | (own >= _needed(boundary + 1))) & (place < own - _needed(own) + overlap(own))
                 key = K.mix(grams[heavy]) << K.U64(1)
                 box.add(K.mix(key) % K.U64(n), key=key, rid=rids[texts.first + docs[heavy]], size=own[heavy])
                 for s in range(2, boundary + 1):
@@ -209,7 +231,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     prints = K.mix(sums[ends] - sums[at])
     lengths = ends - at
     keep = np.flatnonzero(lengths > 1)
-    weight = np.where(key[at] & K.U64(1), OVERLAP, 1)
+    weight = np.where(key[at] & K.U64(1), SURE, 1)
     found: dict[tuple[int, int], list[int]] = {}
     for g in keep:
         entry = found.setdefault((int(prints[g]), int(lengths[g])), [g, 0])
@@ -229,62 +251,30 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _windows_of(size: np.ndarray) -> np.ndarray:
-    """For sets sorted by size: end of the ones each could link with."""
-    return np.searchsorted(size, size.astype(np.int64) * 100 // PERCENT, side="right")
-
-
-def _pairs(mode: str):
-    """Pairs of a list: ``all`` of a small one, else those with a centre, or of different components."""
-
-    def of(rid: np.ndarray, size: np.ndarray, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ends = _windows_of(size)
-        n = len(rid)
-        if mode == "centre" and n > SMALL:
-            i = 0
-            while i < n:  # each centre takes the sets its size can link with
-                second = np.arange(i + 1, ends[i])
-                yield np.full(len(second), i), second
-                i = max(int(ends[i]), i + 1)
-            return
-        for low in range(0, n, ROWS_AT_ONCE):
-            rows = np.arange(low, min(low + ROWS_AT_ONCE, n))
-            counts = ends[rows] - rows - 1
-            a = np.repeat(rows, counts)
-            b = np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts) + a + 1
-            if part is not None:
-                apart = part[a] != part[b]
-                a, b = a[apart], b[apart]
-            yield a, b
+def _common_needed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shingles of both leading parts that a link of sets of these sizes has at least."""
+    link = -(-PERCENT * (x + y) // (100 + PERCENT))
+    beyond = [np.maximum(_needed(s) - overlap(s), 0) for s in (x, y)]
+    return link - np.maximum(*beyond)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rids, sizes = batch.column("rids").to_pylist(), batch.column("sizes").to_pylist()
-            weights = batch.column("weight").to_pylist()
-            parts = batch.column("parts").to_pylist() if "parts" in batch.schema.names else None
-            for k, (r, s, w) in enumerate(zip(rids, sizes, weights)):
-                rid, size = np.frombuffer(r, "<i8"), np.frombuffer(s, "<u4")
-                if parts is not None:
-                    order = np.lexsort((rid, size))
-                    rid, size, part = rid[order], size[order], np.array(parts[k])[order]
-                else:
-                    part = None
-                for a, b in of(rid, size, part):
-                    total = size[a].astype(np.int64) + size[b]
-                    need = np.minimum(OVERLAP, -(-PERCENT * total // (100 + PERCENT)))
-                    x, y = rid[a], rid[b]
-                    for q in range(0, len(a), 100_000):
-                        cut = slice(q, q + 100_000)
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "a": pa.array(np.minimum(x, y)[cut]),
-                                "b": pa.array(np.maximum(x, y)[cut]),
-                                "weight": pa.array(np.full(len(x[cut]), w, dtype=np.int64)),
-                                "need": pa.array(need[cut]),
-                            }
-                        )
 
-    return run
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of short lists whose sizes allow a link."""
+    for batch in batches:
+        for r, s, w in zip(*(batch.column(c).to_pylist() for c in ("rids", "sizes", "weight"))):
+            rid, size = np.frombuffer(r, "<i8"), np.frombuffer(s, "<u4").astype(np.int64)
+            a, b = np.triu_indices(len(rid), 1)
+            near = 100 * np.minimum(size[a], size[b]) >= PERCENT * np.maximum(size[a], size[b])
+            a, b = a[near], b[near]
+            x, y = rid[a], rid[b]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "a": pa.array(np.minimum(x, y)),
+                    "b": pa.array(np.maximum(x, y)),
+                    "weight": pa.array(np.full(len(x), w, dtype=np.int64)),
+                    "need": pa.array(_common_needed(size[a], size[b])),
+                }
+            )
 
 
 PAIRS = "a long, b long, weight long, need long"
@@ -295,9 +285,14 @@ def _candidates(found: DataFrame) -> DataFrame:
     return summed.where("weight >= need").select("a", "b")
 
 
-def _whole_sets(k: int):
+def _whole_sets(k: int, bits):
+    """Sets of the texts whose bit is set; the bits hold all that are asked for, and a few others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.column("bit").to_numpy()
+            asked = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            batch = batch.filter(pa.array(asked))
             out = []
             for texts in K.slices(batch.column("text")):
                 grams, bounds = shingle_sets(texts, k)
@@ -307,27 +302,147 @@ def _whole_sets(k: int):
     return run
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """rid, grams of the texts that ``ids`` names, without a shuffle of texts.
+
+    A map of ``BITS`` bits, the same size whatever the input, goes to all tasks and keeps
+    texts that are not asked for from being worked on; the joins drop those it lets through.
+    """
+    spark = texts.sparkSession
+    bit = F.pmod(F.xxhash64("rid"), F.lit(BITS))
+    parts = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part"))
+    held = np.zeros(BITS // 8 + 4096, dtype=np.uint8)
+    for row in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toLocalIterator():
+        # bucket 1 begins at value 1; bucket 0 holds the value 0 alone
+        start = (row["part"] - 1) * 32_768 + 1 if row["part"] else 0
+        values = np.flatnonzero(np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")) + start
+        np.bitwise_or.at(held, values >> 3, (1 << (values & 7)).astype(np.uint8))
+    bits = spark.sparkContext.broadcast(held)
+    made = texts.withColumn("bit", bit).mapInArrow(_whole_sets(k, bits), "rid long, grams binary")
+    return written(made, "sets").dropDuplicates(["rid"])
+
+
+def _links(both, x, y):
+    return 100 * both >= PERCENT * (x + y - both)
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, dtype=bool)
         for i, (x, y) in enumerate(zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist())):
             x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
             small, large = (x, y) if len(x) < len(y) else (y, x)
-            both = int(K.member(small, large).sum())
-            keep[i] = 100 * both >= PERCENT * (len(x) + len(y) - both)
+            keep[i] = _links(int(K.member(small, large).sum()), len(x), len(y))
         yield batch.filter(pa.array(keep)).select(["a", "b"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs whose whole sets link; sets are taken from the texts that pairs name."""
-    ids = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct()
-    sets = written(
-        texts.join(ids, "rid").select("rid", "text").mapInArrow(_whole_sets(k), "rid long, grams binary")
-        .dropDuplicates(["rid"]), "sets"
-    )
+DIFFERENCES = "z long, rid long, size long, within binary, beyond binary, linked boolean"
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A set as the centre's shingles that it has (bits) and its others."""
+    for batch in batches:
+        size, within, beyond, linked = [], [], [], []
+        for x, z in zip(batch.column("grams_b").to_pylist(), batch.column("grams_a").to_pylist()):
+            x, z = np.frombuffer(x, "<u8"), np.frombuffer(z, "<u8")
+            has = K.member(z, x)
+            size.append(len(x))
+            within.append(np.packbits(has).tobytes())
+            beyond.append(x[~K.member(x, z)].tobytes())
+            linked.append(bool(_links(int(has.sum()), len(x), len(z))))
+        yield pa.RecordBatch.from_pydict(
+            {
+                "z": batch.column("a"),
+                "rid": batch.column("b"),
+                "size": pa.array(size, pa.int64()),
+                "within": pa.array(within, pa.binary()),
+                "beyond": pa.array(beyond, pa.binary()),
+                "linked": pa.array(linked),
+            }
+        )
+
+
+def _shared_beyond(left: list[bytes], right: list[bytes], out: np.ndarray) -> None:
+    """Add to ``out`` the common shingles of every two rows, outside the centre."""
+    a, b = (np.frombuffer(b"".join(rows), "<u8") for rows in (left, right))
+    of_a, of_b = (np.repeat(np.arange(len(rows)), [len(r) // 8 for r in rows]) for rows in (left, right))
+    order = np.argsort(b, kind="stable")
+    b, of_b = b[order], of_b[order]
+    low, high = np.searchsorted(b, a, side="left"), np.searchsorted(b, a, side="right")
+    for q in range(0, len(a), 4096):
+        counts = (high - low)[q : q + 4096]
+        rows = np.repeat(of_a[q : q + 4096], counts)
+        within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        np.add.at(out, (rows, of_b[np.repeat(low[q : q + 4096], counts) + within]), 1)
+
+
+def _group_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Spanning forests of the links in a bucket's groups (z, i, j): block i with block j."""
+    found = [np.zeros((0, 2), dtype=np.int64)]
+    for (_, i, j), group in rows.groupby(["z", "i", "j"], sort=False):
+        rid, size = group["rid"].to_numpy(), group["size"].to_numpy()
+        out, block = ~group["linked"].to_numpy(), group["block"].to_numpy()
+        beyond = group["beyond"].tolist()
+        bits = np.unpackbits(np.frombuffer(b"".join(group["within"]), np.uint8).reshape(len(group), -1), axis=1)
+        bits = bits.astype(np.float32)
+        parent, edges = np.arange(len(group)), []
+        for first, second in ((i, j), (j, i)) if i != j else ((i, j),):
+            left, right = np.flatnonzero(out & (block == first)), np.flatnonzero(block == second)
+            others = [beyond[r] for r in right]
+            for q in range(0, len(left), ROWS_AT_ONCE):
+                some = left[q : q + ROWS_AT_ONCE]
+                both = bits[some] @ bits[right].T
+                _shared_beyond([beyond[r] for r in some], others, both)
+                a, b = np.nonzero(_links(both, size[some][:, None], size[right][None, :]))
+                a, b = some[a], right[b]
+                apart = a != b
+                spanning_forest(a[apart], b[apart], parent, edges)
+        if edges:
+            found.append(rid[np.array(edges, dtype=np.int64)])
+    ends = np.concatenate(found)
+    return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]})
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     with_b = pairs.join(sets.select(F.col("rid").alias("b"), F.col("grams").alias("grams_b")), "b")
-    with_both = with_b.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("grams_a")), "a")
-    return with_both.mapInArrow(_linked, "a long, b long")
+    return with_b.join(sets.select(F.col("rid").alias("a"), F.col("grams").alias("grams_a")), "a")
+
+
+def least_needed(size):
+    """Lower bound of ``_common_needed`` over all partners of a set of this size."""
+    return np.minimum(overlap(size) - 2, _needed(size))
+
+
+def _groups(lists: DataFrame) -> DataFrame:
+    """(a, b): a is the centre of a long list, b one of its sets.
+
+    A set whose lists together are fewer than any link needs has no link.
+    """
+    members = lists.mapInArrow(_exploded, "print long, n long, weight long, rid long, least long")
+    known = members.groupBy("rid").agg(
+        F.sum("weight").alias("shared"),
+        F.sum(F.least("weight", F.lit(OVERLAP_LEAST)) * (F.col("n") - 1)).alias("met"),
+        F.max("least").alias("least"),
+    )
+    known = known.where("shared >= least").select("rid", "met")
+    long_lists = members.where(F.col("n") > SMALL).select(F.xxhash64("print", "n").alias("list"), "rid")
+    long_lists = long_lists.join(known, "rid")
+    centres = long_lists.groupBy("list").agg(F.max_by("rid", F.struct("met", -F.col("rid"))).alias("a"))
+    return long_lists.select("list", "rid").join(centres, "list").select("a", F.col("rid").alias("b")).distinct()
+
+
+def _in_groups(differences: DataFrame) -> DataFrame:
+    """Links of the groups: with the centre, and those of sets that do not link with it."""
+    counts = differences.groupBy("z").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("outside"))
+    counts = counts.where("outside > 0").withColumn("blocks", F.ceil(F.col("n") * 2 / GROUP_SETS))
+    rows = differences.join(counts, "z").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
+    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    rows = rows.withColumn("other", F.explode(other))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks", "n", "outside")
+    buckets = max(1, -(-(differences.count()) // BUCKET_SETS))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("z", "i", "j"), F.lit(buckets)))
+    inner = rows.groupBy("bucket").applyInPandas(_group_links, "a long, b long")
+    return inner.union(differences.where("linked and z <> rid").select(F.col("z").alias("a"), F.col("rid").alias("b")))
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -363,22 +478,14 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         .agg(F.sum("weight").alias("weight"), F.first("rids").alias("rids"), F.first("sizes").alias("sizes")),
         "lists",
     )
-    pairs = cut_lineage(_candidates(lists.select("rids", "sizes", "weight").mapInArrow(_pairs("centre"), PAIRS)))
-    edges = cut_lineage(copies.union(_verify(pairs, dealt, k)))
-    found = components(edges)
-    long_lists = lists.where(F.col("n") > SMALL)
-    ranked = long_lists.mapInArrow(_exploded, "print long, n long, weight long, rid long, size long")
-    rest = (
-        ranked.join(found, ranked.rid == found.node, "left")
-        .withColumn("part", F.coalesce("component", "rid"))
-        .groupBy("print", "n", "weight")
-        .agg(F.count_distinct("part").alias("apart"), F.collect_list(F.struct("rid", "size", "part")).alias("of"))
-        .where("apart > 1")
-        .mapInArrow(_repacked, "weight long, rids binary, sizes binary, parts array<long>")
-    )
-    more = cut_lineage(_candidates(rest.mapInArrow(_pairs("apart"), PAIRS)).join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = components(cut_lineage(edges.union(_verify(more, dealt, k))))
+    short = lists.where(F.col("n") <= SMALL).select("rids", "sizes", "weight")
+    pairs = cut_lineage(_candidates(short.mapInArrow(_pairs, PAIRS)))
+    groups = cut_lineage(_groups(lists))
+    both = pairs.union(groups)
+    sets = _sets_of(both.select(F.col("a").alias("rid")).union(both.select(F.col("b").alias("rid"))), texts, k)
+    linked = _with_sets(pairs, sets).mapInArrow(_linked, "a long, b long")
+    differences = written(_with_sets(groups, sets).mapInArrow(_differences, DIFFERENCES), "differences")
+    found = components(cut_lineage(copies.union(linked).union(_in_groups(differences))))
     out = sized.join(found, sized.rid == found.node, "left")
     return out.select(
         F.col("rid").alias("doc_id"),
@@ -389,27 +496,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for p, n, w, r, s in zip(*(batch.column(c).to_pylist() for c in ("print", "n", "weight", "rids", "sizes"))):
-            rid = np.frombuffer(r, "<i8")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "print": pa.array(np.full(len(rid), p)),
-                    "n": pa.array(np.full(len(rid), n)),
-                    "weight": pa.array(np.full(len(rid), w)),
-                    "rid": pa.array(rid),
-                    "size": pa.array(np.frombuffer(s, "<u4").astype(np.int64)),
-                }
-            )
-
-
-def _repacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("of").to_pylist()
+        rids, sizes = batch.column("rids").to_pylist(), batch.column("sizes").to_pylist()
+        lengths = [len(r) // 8 for r in rids]
+        out = {c: np.repeat(batch.column(c).to_numpy(), lengths) for c in ("print", "n", "weight")}
+        size = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
         yield pa.RecordBatch.from_pydict(
-            {
-                "weight": batch.column("weight"),
-                "rids": pa.array([np.array([x["rid"] for x in o], "<i8").tobytes() for o in lists], pa.binary()),
-                "sizes": pa.array([np.array([x["size"] for x in o], "<u4").tobytes() for o in lists], pa.binary()),
-                "parts": pa.array([[x["part"] for x in o] for o in lists], pa.list_(pa.int64())),
-            }
+            {k: pa.array(v) for k, v in out.items()}
+            | {"rid": pa.array(np.frombuffer(b"".join(rids), "<i8")), "least": pa.array(least_needed(size))}
         )
