@@ -42,6 +42,10 @@ LENGTH = 400
 GRAM = 32
 GROUP = 4_000
 CUT = 32
+#: Bytes of text whose anchors are found together (a dozen arrays of 8 bytes each).
+SLICE = 500_000
+#: Stretches of a bucket that are sorted together.
+PART_BYTES = 1_000_000
 #: Bits of an anchor's order that are its place; the others are its hash.
 PLACE_BITS = 31
 
@@ -76,7 +80,7 @@ def _name_anchors(n: int, length: int, gram: int):
         box = Outbox(n, ANCHOR)
         for batch in batches:
             rids, tids = batch.column("rid").to_numpy(), batch.column("tid").to_numpy()
-            for texts in K.slices(batch.column("text")):
+            for texts in K.slices(batch.column("text"), SLICE):
                 places, hashes, ok = _anchors(texts, length, gram)
                 at = np.flatnonzero(ok)
                 at = at[np.r_[True, places[at[1:]] != places[at[:-1]]]] if len(at) else at
@@ -134,15 +138,16 @@ class _Stretches:
         self.parts: list[tuple] = []
         self.held = 0
 
-    def add(self, bucket, text, starts, rid, tid, at) -> None:
-        if len(bucket):
-            self.parts.append((bucket, text, starts, rid, tid, at))
+    def add(self, key, text, starts, rid, tid, at) -> None:
+        if len(key):
+            bucket, sub = key % K.U64(self.box.n), (key >> K.U64(40)).astype(np.uint8)
+            self.parts.append((bucket, sub, text, starts, rid, tid, at))
             self.held += text.nbytes
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.parts:
             return
-        bucket, text, starts, rid, tid, at = (np.concatenate(x) for x in zip(*self.parts))
+        bucket, sub, text, starts, rid, tid, at = (np.concatenate(x) for x in zip(*self.parts))
         self.parts, self.held = [], 0
         print_ = _prints(text)
         order = np.lexsort((starts, print_, bucket))
@@ -155,10 +160,10 @@ class _Stretches:
         run = np.cumsum(~same) - 1
         several = np.bincount(run)[run] > 1
         first = order[~same]
-        self.box.add(bucket[first], text=text[first], starts=starts[first], several=several[~same], rid=rid[first], tid=tid[first], at=at[first])
+        self.box.add(bucket[first], text=text[first], sub=sub[first], starts=starts[first], several=several[~same], rid=rid[first], tid=tid[first], at=at[first])
         rest = order[several]
         # decided: only the range travels, in the same bucket rows
-        self.box.add(bucket[rest], text=np.uint8(0), starts=starts[rest], several=np.uint8(2), rid=rid[rest], tid=tid[rest], at=at[rest])
+        self.box.add(bucket[rest], text=np.uint8(0), sub=sub[rest], starts=starts[rest], several=np.uint8(2), rid=rid[rest], tid=tid[rest], at=at[rest])
         yield from self.box.flush()
 
 
@@ -172,7 +177,7 @@ def _prints(text: np.ndarray) -> np.ndarray:
 
 def _fields(length: int, gram: int) -> dict:
     span = -(-(2 * length - gram) // 8) * 8
-    return {"text": ("u1", (span,)), "starts": "<u2", "several": "u1", "rid": "<i8", "tid": "<i8", "at": "<i8"}
+    return {"text": ("u1", (span,)), "sub": "u1", "starts": "<u2", "several": "u1", "rid": "<i8", "tid": "<i8", "at": "<i8"}
 
 
 def _ship(n: int, length: int, gram: int, cut: int):
@@ -184,7 +189,7 @@ def _ship(n: int, length: int, gram: int, cut: int):
         for batch in batches:
             rids, tids = batch.column("rid").to_numpy(), batch.column("tid").to_numpy()
             lists = batch.column("anchors").to_pylist()
-            for texts in K.slices(batch.column("text")):
+            for texts in K.slices(batch.column("text"), SLICE):
                 places, hashes, ok = _anchors(texts, length, gram)
                 if not len(places):
                     continue
@@ -206,25 +211,25 @@ def _ship(n: int, length: int, gram: int, cut: int):
                         joint[1:] |= (places[at[1:]] - at[1:]) // cut != (places[at[:-1]] - at[:-1]) // cut
                     heads = at[joint]
                     sizes = np.diff(np.r_[np.flatnonzero(joint), len(at)])
-                    bucket = (kept[heads] >> K.U64(1)) % K.U64(n)
+                    key = kept[heads] >> K.U64(1)
                     if kind == 2:
                         # the widest string that all starts of this cut have, whether they are here or not
                         offset = places[heads] - heads
                         core = heads - (cut - 1 - offset % cut)
                         low = np.maximum(core + cut - 1, 0)
                         high = np.minimum(core + length, len(texts.data))
-                        bucket = K.span_hashes(K.prefix_hashes(texts.data), low, np.maximum(high, low)) % K.U64(n)
-                    for q in range(0, len(heads), 8192):
-                        some, size = heads[q : q + 8192], sizes[q : q + 8192]
+                        key = K.span_hashes(K.prefix_hashes(texts.data), low, np.maximum(high, low))
+                    for q in range(0, len(heads), 1024):
+                        some, size = heads[q : q + 1024], sizes[q : q + 1024]
                         place = some[:, None] + np.arange(span)
                         text = texts.data[np.minimum(place, len(texts.data) - 1)]
                         text[np.arange(span) >= (size + length - 1)[:, None]] = 0
                         rows = _rows_of(texts, some)
                         out.add(
-                            bucket[q : q + 8192], text, size.astype("<u2"), rids[texts.first + rows],
+                            key[q : q + 1024], text, size.astype("<u2"), rids[texts.first + rows],
                             tids[texts.first + rows], some - texts.offsets[rows],
                         )
-                        if out.held > 16_000_000:
+                        if out.held > 4_000_000:
                             yield from out.flush()
         yield from out.flush()
 
@@ -236,7 +241,17 @@ def _repeats(length: int, gram: int):
     fields = _fields(length, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = unpack(batches, fields)
+        bucket = unpack(batches, fields)
+        # strings that are equal have one sub-bucket, so the bucket is worked on in small parts
+        order = np.argsort(bucket["sub"], kind="stable")
+        ends = np.searchsorted(bucket["sub"][order], np.arange(256), side="right")
+        low = 0
+        for k, high in enumerate(ends):
+            if high > low and (k == 255 or (ends[k + 1] - low) * fields["text"][1][0] > PART_BYTES):
+                yield part({name: v[order[low:high]] for name, v in bucket.items()})
+                low = high
+
+    def part(got: dict[str, np.ndarray]) -> pa.RecordBatch:
         starts, several = got["starts"].astype(np.int64), got["several"]
         decided = np.flatnonzero(several == 2)
         live = np.flatnonzero(several < 2)
@@ -251,20 +266,24 @@ def _repeats(length: int, gram: int):
         if len(first):
             body, counts = text[first], counts[first]
             sizes = counts + length - 1
-            keep = np.arange(body.shape[1]) < sizes[:, None]
             # symbols: 0 ends the whole, 1 ends a stretch, bytes follow
-            flat = np.full(int(sizes.sum()) + len(sizes) + 1, 1, dtype=np.int16)
+            place = np.arange(body.shape[1] + 1)
+            cells = np.ones((len(body), len(place)), dtype=np.int16)
+            cells[:, :-1] = body
+            cells[:, :-1] += 2
+            cells[np.arange(len(body)), sizes] = 1
+            flat = np.append(cells[place <= sizes[:, None]], np.int16(0))
+            del cells
             begins = np.cumsum(sizes + 1) - (sizes + 1)
-            inside = np.repeat(begins, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            flat[inside] = body[keep].astype(np.int16) + 2
-            flat[-1] = 0
             order = suffix_array(flat, 258, length)
             owner = np.full(len(flat), -1, dtype=np.int32)
             of = np.repeat(np.arange(len(counts)), counts)
             offset = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
             owner[begins[of] + offset] = of
             order = order[owner[order] >= 0]
-            sums = K.running(K.mix(flat.astype(np.uint64) + K.U64(7)) * K.powers(K.BASE, len(flat)))
+            sums = K.mix(np.arange(7, 265, dtype=np.uint64))[flat]
+            sums *= K.powers(K.BASE, len(flat))
+            sums = K.running(sums)
             prefix = (sums[order + length] - sums[order]) * K.powers(K.BASE_INVERSE, len(flat))[order]
             same = np.r_[False, prefix[1:] == prefix[:-1]]
             node = np.cumsum(~same) - 1
@@ -279,7 +298,7 @@ def _repeats(length: int, gram: int):
                 rows = live[first[who[fresh]]]
                 ranges.append(_ranges(got, rows, (heads - begins[who])[fresh], long[fresh], length))
         rid, tid, spans = (np.concatenate(x) for x in zip(*ranges))
-        yield _per_row(rid, tid, spans)
+        return _per_row(rid, tid, spans)
 
     return run
 
@@ -304,7 +323,7 @@ def _apply(length: int):
             n_bytes, n_removed, n_spans, digests, kept = [], [], [], [], []
             whole = batch.column("whole").to_numpy(zero_copy_only=False)
             lists = batch.column("spans").to_pylist()
-            for texts in K.slices(batch.column("text")):
+            for texts in K.slices(batch.column("text"), SLICE):
                 for d in range(len(texts)):
                     raw = texts.data[texts.offsets[d] : texts.offsets[d + 1]]
                     blobs = lists[texts.first + d]

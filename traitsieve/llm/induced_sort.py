@@ -75,10 +75,11 @@ def small_types(text: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last, the smallest symbol, is."""
     n = len(text)
     step = np.zeros(n, dtype=np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
+    step[:-1] = (text[1:] > text[:-1]).view(np.int8) - (text[1:] < text[:-1]).view(np.int8)
     step[-1] = 1
     # equal neighbours take the type of the run's end
-    last = np.where(step != 0, np.arange(n), n)
+    last = np.arange(n, dtype=np.int32 if n < 2**31 - 1 else np.int64)
+    last[step == 0] = n
     last = np.minimum.accumulate(last[::-1])[::-1]
     return step[last] > 0
 
@@ -163,10 +164,13 @@ def _sorted(text: np.ndarray, sigma: int, depth: int, memory: int, folder: str)
     ends = np.full(len(text), len(text) - 1, dtype=kind)
     ends[seeds[:-1]] = seeds[1:]
     sums = np.zeros(len(text) + 1, dtype=np.uint64)
-    np.cumsum(mix(text.astype(np.uint64) + U64(1)) * powers(BASE, len(text)), out=sums[1:])
+    np.take(mix(np.arange(1, sigma + 1, dtype=np.uint64)), text, out=sums[1:])
+    sums[1:] *= powers(BASE, len(text))
+    np.cumsum(sums[1:], out=sums[1:])
     inverse = powers(pow(BASE, -1, 1 << 64), len(text))
     high = ends[ranked] + 1
     print_ = (sums[high] - sums[ranked]) * inverse[ranked]
+    del sums, inverse, ends
     length = high - ranked
     fresh = np.r_[True, (print_[1:] != print_[:-1]) | (length[1:] != length[:-1])]
     names = np.empty(len(text), dtype=kind)
