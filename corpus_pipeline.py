@@ -41,8 +41,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins."""
-    return packing.pack(docs.select(*COLUMNS))
+    """The pieces of all documents with their bins, packed range by range of the mixing schedule.
+
+    Row order does not survive a table, so the slots are taken again from the same rows.
+    """
+    return packing.pack(mixing.mix(docs.select(*COLUMNS)), slot="mix_slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,12 +1,14 @@
 """The pipeline beside its stages in plain Python, and the queries' registration."""
 
+from collections import Counter
+
 import pytest
 from helpers import jaccard_components, without_repeated_words
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from traitsieve.llm import quality, queries
+from traitsieve.llm import mixing, packing, quality, queries
 
 
 @pytest.fixture(scope="module")
@@ -55,6 +57,22 @@ def test_mixing_and_packing_keep_everything(stages):
     assert {r["doc_id"]: r["n"] for r in packed} == cut
 
 
+def test_bins_follow_the_schedule(stages, spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 8)
+    mixed = stages["source_mixing"]
+    packed = corpus_pipeline.best_fit_packing(spark, mixed, sf).collect()
+    slots = {r["doc_id"]: r["mix_slot"] for r in mixing.mix(mixed).collect()}
+    assert all(r["mix_slot"] == slots[r["doc_id"]] for r in packed) and {r["doc_id"] for r in packed} == set(slots)
+    per_slot = Counter(r["mix_slot"] for r in packed)
+    assert len(per_slot) > 1 and max(per_slot.values()) > 8  # slots that are cut, too
+    shards = {}
+    for r in packed:
+        shards.setdefault(int(r["bin_id"].split("-")[0]), []).append(r["mix_slot"])
+    ordered = [shards[k] for k in sorted(shards)]
+    assert len(ordered) > 3 and all(max(a) <= min(b) for a, b in zip(ordered, ordered[1:]))
+    assert max(len(s) for s in ordered) <= 32
+
+
 def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
     for n in range(1, 11):
