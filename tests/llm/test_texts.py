@@ -100,6 +100,26 @@ def test_byte_strings(docs, rows, group, cut, length):
     assert got == sorted(without_repeated_bytes(rows, length), key=repr)
 
 
+def test_frequent_strings_meet_without_their_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    made = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = made(430)
+    some = [(i, made(rng.randint(0, 300)) + passage + made(rng.randint(0, 300))) for i in range(120)]
+    monkeypatch.setattr(byte_dedup, "STRINGS_AT_ONCE", 5_000)
+    docs = frame(spark, some)
+    got = plain(byte_dedup.dedup_bytes(docs, group=10).drop("kept"))
+    assert got == sorted(without_repeated_bytes(some), key=repr)
+    raw = [t.encode() for _, t in some]
+    box, parts = byte_dedup.Outbox(4, byte_dedup.STRING), []
+    for i, b in enumerate(raw):  # one string in all texts: one record goes to its bucket
+        at = b.index(passage.encode()) + np.arange(2)
+        parts.append((np.array([7, 9], np.uint64), np.array([1, 0], np.uint16), np.full(2, i), np.full(2, i), at))
+    byte_dedup._compared(box, parts)
+    records = np.concatenate([r for _, r in box.parts])
+    assert (records["mark"] == 1).sum() == 2 and (records["starts"][records["mark"] == 2] == 2).sum() == len(raw) - 1
+    assert records.dtype.itemsize < 64
+
+
 def test_byte_strings_of_repeated_rows(spark, rows):
     some = rows[:20] + [rows[1], (rows[2][0], rows[3][1]), (None, rows[4][1]), (None, rows[4][1])]
     got = plain(byte_dedup.dedup_bytes(frame(spark, some)).drop("kept"))

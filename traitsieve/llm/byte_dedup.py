@@ -6,9 +6,10 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else
    it.  Equal strings have equal anchors, so strings whose anchor stands once cannot repeat.
 2. The strings that share an anchor's place, one after the other, are one stretch of text.
    Stretches go to the bucket of their anchor, so all places of a string meet in one bucket;
-   equal stretches are merged within each map task already.  Stretches of an anchor with more
-   than ``GROUP`` places are cut to ``CUT`` starts and go by the bytes that all of
-   these strings have in common, which are most of each.
+   equal stretches are merged within each map task already.  An anchor with more than
+   ``GROUP`` places ships no text: each of its strings goes by its own hash, with its anchor's offset.
+   Within ``STRINGS_AT_ONCE`` strings of a map task equal ones are decided, and leave as ranges to
+   any bucket; one stands for them, so no bucket gets all places of a string.
 3. A bucket's stretches are one text, whose suffixes are sorted by induction (see
    ``induced_sort``: bucket queues that spill to disk).  Neighbours that agree for
    LENGTH bytes are the repeats.  Prefixes in common are compared by hash of LENGTH bytes,
@@ -42,6 +43,10 @@ LENGTH = 400
 GRAM = 32
 GROUP = 4_000
 CUT = 32
+#: Strings of frequent anchors that a map task compares before it ships them.
+STRINGS_AT_ONCE = 1_000_000
+#: Buckets of strings for each bucket of stretches.
+STRING_BUCKETS = 4
 #: Bytes of text whose anchors are found together (a dozen arrays of 8 bytes each).
 SLICE = 500_000
 #: Stretches of a bucket that are sorted together.
@@ -180,7 +185,19 @@ def _fields(length: int, gram: int) -> dict:
     return {"text": ("u1", (span,)), "sub": "u1", "starts": "<u2", "several": "u1", "rid": "<i8", "tid": "<i8", "at": "<i8"}
 
 
-def _ship(n: int, length: int, gram: int, cut: int):
+def _kinds(texts: K.Texts, lists: list, kept: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Per start: 0 if its anchor stands once, 1 if it repeats, 2 or more if it is frequent."""
+    state = np.zeros(len(kept), dtype=np.int8)
+    for d in range(len(texts)):
+        if lists[texts.first + d]:
+            mine = np.unique(joined(lists[texts.first + d]))
+            a, b = texts.offsets[d], min(texts.offsets[d + 1], len(kept))
+            state[a:b] = K.member(kept[a:b], mine) + 2 * K.member(kept[a:b] | K.U64(1), mine)
+    state[~ok] = 0
+    return state
+
+
+def _ship(n: int, length: int, gram: int):
     fields = _fields(length, gram)
     span = fields["text"][1][0]
 
@@ -194,48 +211,115 @@ def _ship(n: int, length: int, gram: int, cut: int):
                 if not len(places):
                     continue
                 kept = hashes & ~K.U64(1)
-                state = np.zeros(len(places), dtype=np.int8)
-                for d in range(len(texts)):
-                    if lists[texts.first + d]:
-                        mine = np.unique(joined(lists[texts.first + d]))
-                        a, b = texts.offsets[d], min(texts.offsets[d + 1], len(places))
-                        state[a:b] = K.member(kept[a:b], mine) + 2 * K.member(kept[a:b] | K.U64(1), mine)
-                state[~ok] = 0
-                for kind in (1, 2):
-                    at = np.flatnonzero(state >= 2 if kind == 2 else state == 1)
-                    if not len(at):
-                        continue
-                    joint = np.ones(len(at), dtype=bool)
-                    joint[1:] = (np.diff(at) != 1) | (places[at[1:]] != places[at[:-1]])
-                    if kind == 2:  # cut where the anchor's offset in the string is a multiple of CUT
-                        joint[1:] |= (places[at[1:]] - at[1:]) // cut != (places[at[:-1]] - at[:-1]) // cut
-                    heads = at[joint]
-                    sizes = np.diff(np.r_[np.flatnonzero(joint), len(at)])
-                    key = kept[heads] >> K.U64(1)
-                    if kind == 2:
-                        # the widest string that all starts of this cut have, whether they are here or not
-                        offset = places[heads] - heads
-                        core = heads - (cut - 1 - offset % cut)
-                        low = np.maximum(core + cut - 1, 0)
-                        high = np.minimum(core + length, len(texts.data))
-                        key = K.span_hashes(K.prefix_hashes(texts.data), low, np.maximum(high, low))
-                    for q in range(0, len(heads), 1024):
-                        some, size = heads[q : q + 1024], sizes[q : q + 1024]
-                        place = some[:, None] + np.arange(span)
-                        text = texts.data[np.minimum(place, len(texts.data) - 1)]
-                        text[np.arange(span) >= (size + length - 1)[:, None]] = 0
-                        rows = _rows_of(texts, some)
-                        out.add(
-                            key[q : q + 1024], text, size.astype("<u2"), rids[texts.first + rows],
-                            tids[texts.first + rows], some - texts.offsets[rows],
-                        )
-                        if out.held > 4_000_000:
-                            yield from out.flush()
+                state = _kinds(texts, lists, kept, ok)
+                at = np.flatnonzero(state == 1)
+                if not len(at):
+                    continue
+                joint = np.ones(len(at), dtype=bool)
+                joint[1:] = (np.diff(at) != 1) | (places[at[1:]] != places[at[:-1]])
+                heads = at[joint]
+                sizes = np.diff(np.r_[np.flatnonzero(joint), len(at)])
+                key = kept[heads] >> K.U64(1)
+                for q in range(0, len(heads), 1024):
+                    some, size = heads[q : q + 1024], sizes[q : q + 1024]
+                    place = some[:, None] + np.arange(span)
+                    text = texts.data[np.minimum(place, len(texts.data) - 1)]
+                    text[np.arange(span) >= (size + length - 1)[:, None]] = 0
+                    rows = _rows_of(texts, some)
+                    out.add(
+                        key[q : q + 1024], text, size.astype("<u2"), rids[texts.first + rows],
+                        tids[texts.first + rows], some - texts.offsets[rows],
+                    )
+                    if out.held > 4_000_000:
+                        yield from out.flush()
         yield from out.flush()
 
     return run
 
 
+STRING = {"hash": "<u8", "offset": "<u2", "mark": "u1", "rid": "<i8", "tid": "<i8", "at": "<i8", "starts": "<i8"}
+
+
+def _runs(hash_: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal strings together, and the number of each one's group in it."""
+    order = np.lexsort((offset, hash_))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hash_[order][1:] != hash_[order][:-1]) | (offset[order][1:] != offset[order][:-1])
+    return order, np.cumsum(new) - 1
+
+
+def _compared(box: Outbox, parts: list[tuple]) -> None:
+    """Strings of a map task: one of each goes to its bucket; the others of equal ones are decided."""
+    hash_, offset, rid, tid, at = (np.concatenate(x) for x in zip(*parts))
+    order, run = _runs(hash_, offset)
+    first = np.r_[True, run[1:] != run[:-1]]
+    several = (np.bincount(run) > 1)[run]
+    ones = order[first]
+    n = K.U64(box.n)
+    box.add(
+        hash_[ones] % n, hash=hash_[ones], offset=offset[ones], mark=several[first].astype(np.uint8),
+        rid=rid[ones], tid=tid[ones], at=at[ones], starts=1,
+    )
+    rest = np.sort(order[~first])  # places in one text stand together, ascending
+    if len(rest):
+        joint = np.ones(len(rest), dtype=bool)
+        joint[1:] = (rid[rest[1:]] != rid[rest[:-1]]) | (tid[rest[1:]] != tid[rest[:-1]]) | (np.diff(at[rest]) != 1)
+        heads = rest[joint]
+        long = np.diff(np.r_[np.flatnonzero(joint), len(rest)])
+        where = K.mix(tid[heads].astype(np.uint64) ^ K.mix(rid[heads].astype(np.uint64))) % n
+        box.add(where, hash=0, offset=0, mark=2, rid=rid[heads], tid=tid[heads], at=at[heads], starts=long)
+
+
+def _strings(n: int, length: int, gram: int):
+    """Strings of frequent anchors, without their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box, parts, held = Outbox(n, STRING), [], 0
+        for batch in batches:
+            some = [bool(blobs) and bool((joined(blobs) & K.U64(1)).any()) for blobs in batch.column("anchors").to_pylist()]
+            batch = batch.filter(pa.array(some, pa.bool_()))
+            rids, tids = batch.column("rid").to_numpy(), batch.column("tid").to_numpy()
+            lists = batch.column("anchors").to_pylist()
+            for texts in K.slices(batch.column("text"), SLICE):
+                places, hashes, ok = _anchors(texts, length, gram)
+                if not len(places):
+                    continue
+                at = np.flatnonzero(_kinds(texts, lists, hashes & ~K.U64(1), ok) >= 2)
+                if not len(at):
+                    continue
+                rows = _rows_of(texts, at)
+                parts.append((
+                    K.span_hashes(K.prefix_hashes(texts.data), at, at + length), (places[at] - at).astype(np.uint16),
+                    rids[texts.first + rows], tids[texts.first + rows], (at - texts.offsets[rows]).astype(np.int64),
+                ))
+                held += len(at)
+                if held >= STRINGS_AT_ONCE:
+                    _compared(box, parts)
+                    parts, held = [], 0
+                    yield from box.flush()
+        if parts:
+            _compared(box, parts)
+            yield from box.flush()
+
+    return run
+
+
+def _repeated_strings(length: int):
+    """Byte ranges to remove, per row, from a bucket's strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = unpack(batches, STRING)
+        live = np.flatnonzero(got["mark"] < 2)
+        order, group = _runs(got["hash"][live], got["offset"][live])
+        order = live[order]
+        known = (np.bincount(group) > 1) | (np.bincount(group, weights=got["mark"][order]) > 0)
+        rows = np.r_[np.flatnonzero(got["mark"] == 2), order[known[group]]]
+        if len(rows):
+            yield _per_row(*_ranges(got, rows, np.zeros(len(rows), np.int64), got["starts"][rows], length))
+
+    return run
+
+
 def _repeats(length: int, gram: int):
     """Byte ranges to remove, per row, from a bucket's stretches."""
     fields = _fields(length, gram)
@@ -369,7 +453,10 @@ def repeated_texts(rows: DataFrame) -> DataFrame:
 
 
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, cut: int = CUT) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+
+    ``cut`` has no effect any more: strings of frequent anchors go one by one.
+    """
     n = bucket_count(docs.sparkSession)
     rid = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid")
     text = F.coalesce("text", F.lit(""))
@@ -386,15 +473,14 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
         .groupBy("rid", "tid")
         .agg(F.collect_list("packed").alias("anchors"))
     )
-    shipped = (
-        base.where("not later")
-        .join(repeated, ["rid", "tid"])
-        .select("rid", "tid", "text", "anchors")
-        .mapInArrow(_ship(n, length, gram, cut), Outbox(n, _fields(length, gram)).schema())
-    )
+    held = base.where("not later").join(repeated, ["rid", "tid"]).select("rid", "tid", "text", "anchors")
+    shipped = held.mapInArrow(_ship(n, length, gram), Outbox(n, _fields(length, gram)).schema())
+    many = n * STRING_BUCKETS
+    strings = held.mapInArrow(_strings(many, length, gram), Outbox(many, STRING).schema())
     spans = (
         to_buckets(shipped, n)
         .mapInArrow(_repeats(length, gram), PER_ROW)
+        .union(to_buckets(strings, many).mapInArrow(_repeated_strings(length), PER_ROW))
         .groupBy("rid", "tid")
         .agg(F.collect_list("packed").alias("spans"))
     )
