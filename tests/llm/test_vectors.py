@@ -48,6 +48,34 @@ def test_near_vectors(spark, monkeypatch, cell_rows):
     assert tuple(got[None]) == (None, 0, None, True)
 
 
+def test_jittered_copies_are_dealt_to_bounded_groups(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "CELL_ROWS", 20)
+    monkeypatch.setattr(vector_dedup, "BUCKET_ROWS", 20)
+    seen, whole = spark.sparkContext.accumulator(0), vector_dedup._links
+
+    def watched(*options):
+        run = whole(*options)
+
+        def counted(cells):
+            largest = cells.groupby(["label", "tab", "cell", "part", *[c for c in ("one", "two") if c in cells]]).size().max()
+            seen.add(int(largest > 70))
+            return run(cells)
+
+        return counted
+
+    monkeypatch.setattr(vector_dedup, "_links", watched)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 16)).astype(np.float32)
+    x[:120] = x[0] + 0.002 * rng.normal(size=(120, 16)).astype(np.float32)
+    got = {r["vec_id"]: r for r in vector_dedup.near_duplicates(frame(spark, x, np.zeros(240))).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= vector_dedup.COSINE) & ~np.eye(240, dtype=bool)
+    component = groups(range(240), zip(*np.nonzero(near)))
+    for i in range(240):
+        assert (got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), component[i])
+    assert seen.value == 0
+
+
 def test_calibration_of_projections():
     assert vector_dedup.miss_chance() < 1e-3
     rng = np.random.default_rng(0)

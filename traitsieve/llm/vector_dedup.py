@@ -148,8 +148,10 @@ def _links(width: int, cosine: float, radius: float, tables: int, size: int):
     least = least_count(tables * size)
 
     def run(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values(["label", "tab", "cell", "part", "place", "rep"], kind="stable")
-        group = cells.groupby(["label", "tab", "cell", "part"], sort=False).ngroup().to_numpy()
+        of = ["label", "tab", "cell", "part", "one", "two"]
+        cells = cells.sort_values([*of, "place", "rep"], kind="stable")
+        group = cells.groupby(of, sort=False).ngroup().to_numpy()
+        block, across = cells["block"].to_numpy(), (cells["one"] != cells["two"]).to_numpy()
         x = _unit(np.stack(cells["embedding"].to_numpy()).astype(np.float64))
         rep, tab, copies = (cells[c].to_numpy() for c in ("rep", "tab", "copies"))
         values, keys = _cells(x, radius, tables, size)
@@ -158,6 +160,8 @@ def _links(width: int, cosine: float, radius: float, tables: int, size: int):
         links = np.zeros(len(x), dtype=np.int64)
         parent, edges = np.arange(len(x)), []
         for i, j in _windows(group, cells["place"].to_numpy(), cells["own"].to_numpy()):
+            apart = ~across[i] | (block[i] != block[j])  # pairs inside a block are counted in its own group
+            i, j = i[apart], j[apart]
             near = (np.abs(values32[i] - values32[j]) <= WINDOW + 1e-4).sum(axis=1, dtype=np.int32) >= least
             i, j = i[near], j[near]
             met = (keys[i] == keys[j]) & (np.abs(lead[i] - lead[j]) <= WINDOW)
@@ -181,6 +185,19 @@ def _links(width: int, cosine: float, radius: float, tables: int, size: int):
     return run
 
 
+def _blocked(ranged: DataFrame, key: list[str]) -> tuple[DataFrame, int]:
+    """Rows with their block in the range, once for each pair (one, two) of blocks; how many more these are."""
+    sizes = ranged.where("ranges > 1").groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS)
+    dense = written(sizes.select(*key, "n", F.ceil(F.col("n") / CELL_ROWS).alias("blocks")), "dense")
+    more = dense.agg(F.sum(F.col("n") * (F.col("blocks") - 1))).first()[0] or 0
+    rows = ranged.drop("ranges").join(dense.drop("n"), key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = rows.withColumn("other", other).drop("blocks")
+    pairs = rows.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
+    return pairs.drop("other"), int(more)
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, size: int = SORTED) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
@@ -208,11 +225,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     ranged = ranged.withColumn("own_range", at).withColumn(
         "part", F.explode(F.sequence(F.greatest(reach, F.lit(0).cast("long")), at))
     )
-    ranged = ranged.select(*key, "part", "rep", "place", (F.col("part") == F.col("own_range")).alias("own"))
-    full = ranged.join(reps.select("rep", F.col("label").alias("rep_label"), "embedding", "copies"), "rep")
+    ranged = ranged.select(*key, "part", "rep", "place", (F.col("part") == F.col("own_range")).alias("own"), "ranges")
+    blocked, n_placed = _blocked(ranged, [*key, "part"])
+    full = blocked.join(reps.select("rep", F.col("label").alias("rep_label"), "embedding", "copies"), "rep")
     full = full.where("label = rep_label").drop("rep_label")
-    buckets = max(1, -(-placed.count() // BUCKET_ROWS))
-    full = full.withColumn("bucket", F.pmod(F.xxhash64(*key, "part"), F.lit(buckets)))
+    buckets = max(1, -(-(placed.count() + n_placed) // BUCKET_ROWS))
+    full = full.withColumn("bucket", F.pmod(F.xxhash64(*key, "part", "one", "two"), F.lit(buckets)))
     found = written(
         full.groupBy("bucket").applyInPandas(_links(width, cosine, radius, tables, size), "a long, b long, links long"), "links"
     )
