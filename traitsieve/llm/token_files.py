@@ -50,9 +50,10 @@ CACHE_MOST = 300_000
 #: Documents that a reader hands out together.
 READ_TOGETHER = 2_000
 
-# Characters whose normal form, lower case and class are the same in every library here.
-SIMPLE = re.compile("[ -~\\t-\\rÀ-įı-ɏ]*")
-LETTERS = "a-zÀ-ÖØ-öø-ɏ"
+# Characters whose normal form, lower case and class are the same in every library here, and
+# whose lower case is among them too; texts with others go to the tokenizer whole.
+SIMPLE = re.compile("[ -~\\t-\\rÀ-įı-ſ]*")
+LETTERS = "a-zÀ-ÖØ-öø-ſ"
 # The tokenizer's own pattern, for those characters.
 PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
 
