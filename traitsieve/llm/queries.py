@@ -38,7 +38,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_dedup.dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
+    cut = byte_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    # a removed string may start or end inside a character, whose rest is no UTF-8 any more
+    return cut.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
