@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitsieve.operators import models as ml
-from traitsieve.operators.metrics import compare_feature_sets, model_metrics
+from traitsieve.operators.metrics import compare_feature_sets
 from traitsieve.operators.models import ModelSet, Samples
 from traitsieve.operators.selection import ranking
 from traitsieve.operators.univariate import mutual_information, ranked
@@ -51,9 +51,8 @@ def all_against_top(
 ) -> DataFrame:
     """Metric by metric: the best model on all features against its class, with
     default parameters, on the top features.  ``full`` holds the predictions of
-    the former; two classes."""
+    the former; weighted figures for more than two classes."""
     small = train_on_top(train, test, {name: fresh}, top)
     return compare_feature_sets(
-        model_metrics(full.filter(F.col("model") == name), float(train.positive), rows=test.n_rows),
-        model_metrics(small.predictions, float(train.positive), rows=test.n_rows),
+        ml.test_report(full.filter(F.col("model") == name), test), ml.test_report(small.predictions, test)
     )

@@ -258,8 +258,15 @@ def one_vs_rest_auc(
     )
 
 
-def scoreboard(metrics: DataFrame, by: str = "accuracy", order: Sequence[str] = ()) -> DataFrame:
-    """Add ``rank`` and ``is_best``; ties go to the model named first in ``order``."""
+def scoreboard(
+    metrics: DataFrame, by: str = "accuracy", order: Sequence[str] = (), searched: DataFrame | None = None
+) -> DataFrame:
+    """Add ``rank`` and ``is_best``; ties go to the model named first in ``order``.
+
+    ``searched`` (``model, cv_score, best_params``) adds the outcome of each model's grid search.
+    """
+    if searched is not None:
+        metrics = metrics.join(searched, "model", "left")
     place = F.array_position(F.lit(list(order)), F.col("model")) if order else F.col("model")
     w = Window.orderBy(F.desc_nulls_last(by), place)
     return metrics.withColumn("rank", F.row_number().over(w)).withColumn(
@@ -268,10 +275,11 @@ def scoreboard(metrics: DataFrame, by: str = "accuracy", order: Sequence[str] =
 
 
 def compare_feature_sets(all_features: DataFrame, top_features: DataFrame) -> DataFrame:
-    """``model, metric, all_features, top_features, higher`` side by side."""
+    """``model, metric, all_features, top_features, higher`` side by side, for the figures at hand."""
+    figures = [c for c in all_features.columns if c != "model" and c in top_features.columns]
 
     def tall(df: DataFrame, name: str) -> DataFrame:
-        return df.unpivot(["model"], list(METRICS), "metric", name)
+        return df.unpivot(["model"], figures, "metric", name)
 
     a, t = F.col("all_features"), F.col("top_features")
     higher = F.when(a > t, "all_features").when(t > a, "top_features").otherwise("equal")
@@ -294,3 +302,16 @@ def cross_validated(
         F.avg("auc").alias("mean_auc"),
         F.stddev_pop("auc").alias("std_auc"),
     )
+
+
+def cross_validated_classes(pred: DataFrame, n_classes: int, keys: Sequence[str] = ("model",), rows: int | None = None) -> DataFrame:
+    """The same for any number of classes, with the macro mean of one-vs-rest AUCs."""
+    by_fold, classes = [*keys, "fold"], [float(c) for c in range(n_classes)]
+    area = one_vs_rest_auc(pred, classes, by_fold, None if rows is None else rows * n_classes)
+    return accuracy(pred, by_fold).join(area, by_fold).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("folds"),
+        F.avg("accuracy").alias("mean_accuracy"),
+        F.stddev_pop("accuracy").alias("std_accuracy"),
+        F.avg("auc").alias("mean_auc"),
+        F.stddev_pop("auc").alias("std_auc"),
+    )

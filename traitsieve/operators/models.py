@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitsieve.functions.session import stable_layout
+from traitsieve.operators import path
 from traitsieve.operators.adaboost import AdaBoost
 from traitsieve.operators.fourier import FourierFeatures
 from traitsieve.operators.knn import NEIGHBOURS
@@ -231,11 +232,19 @@ FULL_GRIDS = {
 FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [UNLIMITED_DEPTH, 10]}
 
 
+def param_of(estimator: Estimator, name: str):
+    """A parameter by name, of the estimator or of the one it wraps."""
+    if estimator.hasParam(name):
+        return estimator.getParam(name)
+    inner = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator.getClassifier()]
+    return next(s.getParam(name) for s in inner if s.hasParam(name))
+
+
 def param_maps(estimator: Estimator, grid: dict[str, Sequence]) -> list[dict]:
     """Every combination of a name -> values grid as Spark parameter maps."""
     maps: list[dict] = [{}]
     for name, values in grid.items():
-        param = estimator.getParam(name)
+        param = param_of(estimator, name)
         maps = [{**m, param: v} for m in maps for v in values]
     return maps
 
@@ -274,12 +283,21 @@ def grid_search(
     metric: str = "roc_auc",
     parallelism: int = 2,
     seed: int = SEED,
-) -> CrossValidatorModel:
-    """Cross-validate every grid point on stratified folds and refit the best on all."""
+) -> CrossValidatorModel | path.PathSearch:
+    """Cross-validate every grid point on stratified folds and refit the best on all.
+
+    Logistic grids over strength, share of L1 and class weights are fitted in shared scans.
+    """
     maps = param_maps(estimator, grid) if isinstance(grid, dict) else grid
     rows = samples.rows
     if "fold" not in rows.columns:
         rows = with_fold(rows, folds, seed, eager=True)
+    if on_path(samples, estimator, maps):
+        found, _ = path.search(
+            rows, estimator, maps, len(samples.names), samples.n_classes, samples.n_rows, metric, samples.positive
+        )
+        found.evaluator = evaluator(metric, samples.n_classes)
+        return found
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=maps,
@@ -291,10 +309,28 @@ def grid_search(
     return search.fit(rows)
 
 
-def search_scores(found: CrossValidatorModel, spark) -> DataFrame:
+def with_params(estimator: Estimator, values: dict[str, object]) -> Estimator:
+    """A copy with parameters set by name, wrapped ones too."""
+    return estimator.copy({param_of(estimator, name): v for name, v in values.items()})
+
+
+def on_path(samples: Samples, estimator: Estimator, maps: Sequence[dict]) -> bool:
+    """Can the grid be fitted in shared scans?  Wider models go to the library's own search."""
+    if not isinstance(estimator, LogisticRegression):
+        return False
+    shared = {estimator.regParam, estimator.elasticNetParam, estimator.weightCol}
+    return all(set(m) <= shared for m in maps) and path.fits(len(samples.names), samples.n_classes)
+
+
+def described(point: dict) -> str:
+    """A parameter map in words, parameters in the order of their names."""
+    return ", ".join(f"{p.name}={v}" for p, v in sorted(point.items(), key=lambda e: e[0].name))
+
+
+def search_scores(found: CrossValidatorModel | path.PathSearch, spark) -> DataFrame:
     """``point, params, score`` of a grid search, best first by rank."""
     points = [
-        (i, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda e: e[0].name)), float(s))
+        (i, described(m), float(s))
         for i, (m, s) in enumerate(zip(found.getEstimatorParamMaps(), found.avgMetrics))
     ]
     return spark.createDataFrame(points, "point int, params string, score double")
@@ -353,8 +389,8 @@ def importances(model: Model) -> np.ndarray | None:
 class ModelSet:
     """Fitted models by name, their predictions and the name of the best.
 
-    ``searched`` has the cross-validated score and the chosen parameters of models
-    that a grid was searched for.  With ``preparation`` and ``labels`` a model goes
+    ``searched`` has the cross-validated score and the chosen parameters in words of models
+    that a grid was searched for, ``chosen`` the parameters by name.  With ``preparation`` and ``labels`` a model goes
     out as a whole pipeline, from raw rows to label names.
     """
 
@@ -363,9 +399,15 @@ class ModelSet:
     best: str | None = None
     positive: int = 1
     searched: dict[str, tuple[float, str]] = field(default_factory=dict)
+    chosen: dict[str, dict[str, object]] = field(default_factory=dict)
     preparation: PreparedFeatures | None = None
     labels: LabelNames | None = None
 
+    def search_table(self, spark) -> DataFrame:
+        """``model, cv_score, best_params`` of the models that a grid was searched for."""
+        rows = [(name, score, params) for name, (score, params) in self.searched.items()]
+        return spark.createDataFrame(rows, "model string, cv_score double, best_params string")
+
     @property
     def best_model(self) -> Model:
         if self.best is None:
@@ -383,8 +425,8 @@ class ModelSet:
         return PipelineModel(stages=[*before, model, *([self.labels] if self.labels else [])])
 
 
-def default_models(samples: Samples) -> dict[str, Estimator]:
-    """The model set by name."""
+def default_models(samples: Samples, tune: bool = False) -> dict[str, Estimator | tuple[Estimator, dict]]:
+    """The model set by name; with ``tune`` each model comes with its full grid."""
     n, k, width = samples.n_rows, samples.n_classes, len(samples.names)
     models = {
         "RandomForest": random_forest(),
@@ -395,7 +437,22 @@ def default_models(samples: Samples) -> dict[str, Estimator]:
         "LogisticRegression": logistic_regression(n),
         "KNN": k_nearest(),
     }
-    return models
+    if not tune:
+        return models
+    strengths = lambda cs: [1.0 / (c * n) for c in cs]
+    svm = {"regParam": strengths(FULL_GRIDS["svm_c"])}
+    grids = {
+        "RandomForest": FULL_GRIDS["forest"],
+        "GradientBoosting": FULL_GRIDS["boosting"],
+        "AdaBoost": FULL_GRIDS["ada_boost"],
+        "SVM": svm,
+        "LinearSVM": svm,
+        "LogisticRegression": {
+            "regParam": strengths(FULL_GRIDS["logistic_c"]), "elasticNetParam": FULL_GRIDS["logistic_l1"],
+        },
+        "KNN": FULL_GRIDS["knn"],
+    }
+    return {name: (model, grids[name]) for name, model in models.items()}
 
 
 def train_models(
@@ -413,9 +470,9 @@ def train_models(
             found = grid_search(train, *model, metric="accuracy")
             result.models[name] = found.bestModel
             at = int(np.argmax(found.avgMetrics))
-            chosen = found.getEstimatorParamMaps()[at]
-            said = ", ".join(f"{p.name}={v}" for p, v in sorted(chosen.items(), key=lambda e: e[0].name))
-            result.searched[name] = (float(found.avgMetrics[at]), said)
+            point = found.getEstimatorParamMaps()[at]
+            result.searched[name] = (float(found.avgMetrics[at]), described(point))
+            result.chosen[name] = {p.name: v for p, v in point.items()}
         else:
             result.models[name] = model.fit(train.rows)
         tables.append(predict_table(result.models[name], test.rows, name, train.positive))

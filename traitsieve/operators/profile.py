@@ -182,8 +182,11 @@ def check_pair(train: FeatureTable, test: FeatureTable) -> None:
         warnings.warn(f"labels only in the test part: {row['unknown_classes']}", stacklevel=2)
 
 
-def quality_report(table: FeatureTable) -> DataFrame:
-    """Long report ``section, item, value`` from one feature pass and one label pass."""
+def quality_report(table: FeatureTable, source: DataFrame | None = None) -> DataFrame:
+    """Long report ``section, item, value`` from one feature pass and one label pass.
+
+    Section ``type`` names each column of ``source`` (the table as it was read) with its type.
+    """
 
     def line(section: str, item, value):
         return F.struct(
@@ -212,9 +215,13 @@ def quality_report(table: FeatureTable) -> DataFrame:
             F.array(line("total", "samples", F.col("n")), line("class", F.col("label"), F.col("n")))
         ).alias("l")
     )
+    lines = per_feature.unionByName(per_class)
+    if source is not None:
+        named = [(f"{f.name} {f.dataType.simpleString()}",) for f in source.schema.fields]
+        kinds = source.sparkSession.createDataFrame(named, "column string")
+        lines = lines.unionByName(kinds.select(line("type", F.col("column"), F.lit(1)).alias("l")))
     return (
-        per_feature.unionByName(per_class)
-        .groupBy("l.section", "l.item")
+        lines.groupBy("l.section", "l.item")
         .agg(F.sum("l.value").alias("value"))
         .filter((F.col("value") > 0) | ~F.col("section").isin("constant", "low_variance"))
     )

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traitsieve.operators import models as ml
-from traitsieve.operators.metrics import accuracy, cross_validated, one_vs_rest_auc
+from traitsieve.operators import path
+from traitsieve.operators.metrics import accuracy, cross_validated, cross_validated_classes
 from traitsieve.operators.models import Samples
 from traitsieve.operators.split import FOLDS, SEED, with_fold
 from traitsieve.operators.univariate import (
@@ -29,6 +30,17 @@ SELECTOR_GRIDS: dict = {
     "lasso_regularization": ml.FULL_GRIDS["lasso_c"],
     "gradient_boosting_importance": {"maxIter": [50, 100], "stepSize": [0.05, 0.1]},
 }
+# The selectors' full grids (fixed values).
+SELECTOR_FULL_GRIDS: dict = {
+    "random_forest_importance": {
+        "numTrees": [50, 100, 200],
+        "maxDepth": [ml.UNLIMITED_DEPTH, 10, 20],
+        "minInstancesPerNode": [1, 2, 4],
+    },
+    "rfe_random_forest": ml.FOREST_GRID,
+    "lasso_regularization": ml.FULL_GRIDS["lasso_c"],
+    "gradient_boosting_importance": {"maxIter": [50, 100, 200], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7]},
+}
 LASSO_FLOOR = 1e-5
 # Names and order of the methods (fixed values; ties go by the order).
 METHODS = (
@@ -93,28 +105,49 @@ def recursive_elimination(
     return ranking(samples, scores, k, kept)
 
 
+def lasso_model(
+    samples: Samples,
+    c: float = 0.1,
+    grid_c: Sequence[float] = (),
+    balanced: bool | Sequence[bool] = False,
+    max_iter: int = 200,
+    folds: int = ml.GRID_FOLDS,
+):
+    """The L1-logistic fit; strengths and class weights are searched first if there are several."""
+    from traitsieve.operators.prep import with_class_weight
+
+    weighing = [balanced] if isinstance(balanced, bool) else list(balanced)
+    model = ml.logistic_regression(samples.n_rows, c, l1_ratio=1.0, max_iter=max_iter)
+    maps = [
+        {model.regParam: 1.0 / (x * samples.n_rows), **({model.weightCol: "weight"} if w else {})}
+        for x in (grid_c or [c])
+        for w in weighing
+    ]
+    if len(maps) == 1 and ml.on_path(samples, model, maps):
+        point = path.as_points(model, maps)[0]
+        return path.fit(samples.rows, point, len(samples.names), samples.n_classes)
+    weighted = samples if not any(weighing) else replace(samples, rows=with_class_weight(samples.rows))
+    return fit_tuned(weighted, model, maps, folds=folds)
+
+
 def lasso(
     samples: Samples,
     k: int,
     c: float = 0.1,
     grid_c: Sequence[float] = (),
-    balanced: bool = False,
+    balanced: bool | Sequence[bool] = False,
     max_iter: int = 200,
 ) -> DataFrame:
     """Features with an L1-logistic coefficient of at least 1e-5, at most ``k``.
 
     When none is that large, the ``k`` largest coefficients are taken.  ``grid_c``
-    searches the strength first; ``balanced`` weighs classes inversely to size.
+    searches the strength first; ``balanced`` weighs classes inversely to size
+    (``(False, True)`` searches that too).
     """
-    from traitsieve.operators.prep import with_class_weight
+    return lasso_list(samples, lasso_model(samples, c, grid_c, balanced, max_iter), k)
 
-    rows = with_class_weight(samples.rows) if balanced else samples.rows
-    weighted = replace(samples, rows=rows)
-    model = ml.logistic_regression(
-        samples.n_rows, c, l1_ratio=1.0, max_iter=max_iter, weight="weight" if balanced else None
-    )
-    grid = [{model.regParam: 1.0 / (x * samples.n_rows)} for x in grid_c]
-    fitted = fit_tuned(weighted, model, grid)
+
+def lasso_list(samples: Samples, fitted, k: int) -> DataFrame:
     # Several classes: a feature is as strong as its coefficients together.
     size = np.abs(fitted.coefficientMatrix.toArray()).sum(axis=0)
     kept = [i for i in range(len(size)) if size[i] >= LASSO_FLOOR]
@@ -133,7 +166,8 @@ def default_selectors(
 ) -> dict[str, Callable[[], DataFrame]]:
     """The six methods by name; the model-based ones search their grids first.
 
-    ``grids`` (``SELECTOR_GRIDS`` by default) has a grid by method; ``{}`` fits as given.
+    ``grids`` (``SELECTOR_GRIDS`` by default, ``SELECTOR_FULL_GRIDS`` has all points) has a grid by
+    method; ``{}`` fits as given.  The lasso's search tries each strength with and without class weights.
     """
     grids = SELECTOR_GRIDS if grids is None else grids
     forest = ml.random_forest() if forest is None else forest
@@ -150,9 +184,12 @@ def default_selectors(
         "rfe_random_forest": lambda: recursive_elimination(
             samples, forest, k, step, grids.get("rfe_random_forest")
         ),
-        "lasso_regularization": lambda: lasso(samples, k, grid_c=grids.get("lasso_regularization", ())),
+        "lasso_regularization": lambda: lasso(
+            samples, k, grid_c=grids.get("lasso_regularization", ()),
+            balanced=(False, True) if grids.get("lasso_regularization") else False,
+        ),
         "gradient_boosting_importance": lambda: by_importance(
-            samples, boosting, k, grids.get("gradient_boosting_importance") if samples.n_classes == 2 else None
+            samples, boosting, k, grids.get("gradient_boosting_importance")
         ),
     }
 
@@ -184,21 +221,9 @@ def out_of_fold(samples: Samples, estimator: Estimator, folds: int = FOLDS, name
 
 def fold_metrics(pred: DataFrame, samples: Samples) -> DataFrame:
     """Mean and deviation of accuracy and AUC over folds, for any number of classes."""
-    n_rows = samples.n_rows
     if samples.n_classes == 2:
-        return cross_validated(pred, float(samples.positive), rows=n_rows)
-    keys = ["model", "fold"]
-    classes = [float(c) for c in range(samples.n_classes)]
-    folds = accuracy(pred, keys).join(
-        one_vs_rest_auc(pred, classes, keys, rows=n_rows), keys
-    )
-    return folds.groupBy("model").agg(
-        F.count(F.lit(1)).alias("folds"),
-        F.avg("accuracy").alias("mean_accuracy"),
-        F.stddev_pop("accuracy").alias("std_accuracy"),
-        F.avg("auc").alias("mean_auc"),
-        F.stddev_pop("auc").alias("std_auc"),
-    )
+        return cross_validated(pred, float(samples.positive), rows=samples.n_rows)
+    return cross_validated_classes(pred, samples.n_classes, rows=samples.n_rows)
 
 
 def evaluate_methods(

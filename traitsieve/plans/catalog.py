@@ -6,6 +6,7 @@ Names follow the operator inventory; ``oracle.py`` states the same results in SQ
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from traitsieve.operators import (
     importance,
     knn,
     metrics,
+    path,
     prep,
     profile,
     selection,
@@ -28,6 +30,7 @@ from traitsieve.operators import (
 from traitsieve.operators import models as ml
 from traitsieve.operators import univariate as uni
 from traitsieve.operators import variance as var
+from traitsieve.plans.flows import check_on_test
 from traitsieve.sources import fixtures as fx
 from traitsieve.sources import sinks, tables
 from traitsieve.table import FeatureTable
@@ -152,7 +155,8 @@ def train_test_compatibility(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def quality_report(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(profile.quality_report(fx.flawed(spark, sf)))
+    table = fx.flawed(spark, sf)
+    return rounded_doubles(profile.quality_report(table, table.wide()))
 
 
 @query
@@ -473,9 +477,14 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def model_scoreboard(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded_doubles(
-        metrics.scoreboard(metrics.model_metrics(fx.pred(spark, sf), 1, rows=_n_pred(spark, sf)))
+    """Each rule with its figures, and beside them the score and the name it won its folds with."""
+    rows = _n_pred(spark, sf)
+    folds = metrics.cross_validated(fx.pred(spark, sf, folds=3), 1, rows=rows)
+    searched = folds.select(
+        "model", F.col("mean_accuracy").alias("cv_score"), F.concat(F.lit("rule="), "model").alias("best_params")
     )
+    figures = metrics.model_metrics(fx.pred(spark, sf), 1, rows=rows)
+    return rounded_doubles(metrics.scoreboard(figures, searched=searched))
 
 
 @query
@@ -629,9 +638,9 @@ def logistic_elimination_selection(spark: SparkSession, sf: str) -> DataFrame:
 def lasso_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Per feature: does its coefficient meet the optimality conditions, is it listed if it is large."""
     samples = _planted(spark, sf)
-    chosen = selection.lasso(samples, LIST_SIZE, c=0.1).select("feature_idx", F.lit(True).alias("listed"))
+    model = selection.lasso_model(samples, c=0.1)
+    chosen = selection.lasso_list(samples, model, LIST_SIZE).select("feature_idx", F.lit(True).alias("listed"))
     penalty = 1.0 / (0.1 * samples.n_rows)
-    model = ml.logistic_regression(samples.n_rows, 0.1, l1_ratio=1.0, max_iter=200).fit(samples.rows)
     error = F.get(vector_to_array("probability"), F.lit(1)) - F.col("label")
     terms = model.transform(samples.rows).select(
         F.posexplode(F.transform(vector_to_array("features"), lambda x: x * error)).alias("feature_idx", "g")
@@ -648,6 +657,73 @@ def lasso_selection(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def regularisation_path(spark: SparkSession, sf: str) -> DataFrame:
+    """Six strengths on three folds and on all rows: does each coefficient meet the optimality conditions?
+
+    The slopes are worked out here from the rows, not taken from the scans that fitted the points.
+    """
+    samples = _planted(spark, sf, folds=3)
+    model = ml.logistic_regression(samples.n_rows, l1_ratio=1.0)
+    strengths = {1.0 / (c * samples.n_rows): c for c in ml.FULL_GRIDS["logistic_c"]}
+    maps = [{model.regParam: reg} for reg in strengths]
+    _, fits = path.search(samples.rows, model, maps, len(samples.names), 2, samples.n_rows)
+    weights = spark.createDataFrame(
+        [
+            (strengths[p.reg], p.reg, p.fold, i, float(w))
+            for p, m in fits.items()
+            for i, w in enumerate([*m.coefficients.toArray(), m.interceptVector[0]])
+        ],
+        "c double, reg double, left_out int, feature_idx int, w double",
+    )
+    with_one = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))  # the intercept's feature comes last
+    cells_ = samples.rows.select("row_id", "label", "fold", F.posexplode(with_one).alias("feature_idx", "x"))
+    met = cells_.join(F.broadcast(weights), "feature_idx").where("fold <> left_out")
+    point = ["c", "reg", "left_out"]
+    miss = met.groupBy("row_id", "label", *point).agg((1 / (1 + F.exp(-F.sum(F.col("x") * F.col("w"))))).alias("p"))
+    miss = miss.select("row_id", *point, (F.col("p") - F.col("label")).alias("e"))
+    slopes = met.join(miss, ["row_id", *point]).groupBy(*point, "feature_idx").agg(
+        F.avg(F.col("x") * F.col("e")).alias("g"), F.first("w").alias("w")
+    )
+    penalty = F.when(F.col("feature_idx") < len(samples.names), F.col("reg")).otherwise(0.0)
+    off = F.when(F.col("w") == 0, F.abs("g") - penalty).otherwise(F.abs(F.col("g") + F.signum("w") * penalty))
+    return slopes.select(
+        "c", F.col("left_out").alias("fold"), "feature_idx", (off <= 0.01 * F.col("reg") + 1e-12).alias("optimal")
+    )
+
+
+@query
+def tuned_selections(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two features of three methods after a search; ``tuned``: the fit has one of the grid's points."""
+    samples = _planted(spark, sf, folds=3)
+    small = {
+        "random_forest_importance": {"numTrees": [20, 40], "minInstancesPerNode": [1, 4]},
+        "gradient_boosting_importance": {"maxIter": [5, 10], "maxDepth": [3, 5]},
+        "lasso_regularization": [0.1, 1.0],
+    }
+    estimators = {
+        "random_forest_importance": ml.random_forest(), "gradient_boosting_importance": ml.gradient_boosting(),
+    }
+    parts = []
+    for method, estimator in estimators.items():
+        found = ml.grid_search(samples, estimator, small[method])
+        point = {name: found.bestModel.getOrDefault(name) for name in small[method]}
+        ranking = selection.ranking(samples, ml.importances(found), 8)
+        parts.append((method, ranking, all(v in small[method][n] for n, v in point.items())))
+    fitted = selection.lasso_model(samples, grid_c=small["lasso_regularization"], balanced=(False, True))
+    known = [1.0 / (c * samples.n_rows) for c in small["lasso_regularization"]]
+    parts.append(("lasso_regularization", selection.lasso_list(samples, fitted, 8), fitted.getOrDefault("regParam") in known))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            checked_list(r)
+            .select(F.lit(m).alias("method"), "rank", "planted_first", "falling", F.lit(t).alias("tuned"))
+            .where("rank <= 2")  # the lasso may list no more
+            for m, r, t in parts
+        ],
+    )
+
+
 @query
 def lasso_selection_multiclass(spark: SparkSession, sf: str) -> DataFrame:
     samples = ml.prepare(fx.emb(spark, sf))
@@ -745,14 +821,14 @@ def k_nearest_model(spark: SparkSession, sf: str) -> DataFrame:
 def model_grid_search(spark: SparkSession, sf: str) -> DataFrame:
     samples = _planted(spark, sf, folds=3)
     model = ml.logistic_regression(samples.n_rows)
-    grid = [{model.regParam: 1.0 / (c * samples.n_rows)} for c in ml.FULL_GRIDS["logistic_c"]]
+    _, grid = ml.default_models(samples, tune=True)["LogisticRegression"]
     found = ml.grid_search(samples, model, grid, folds=3)
     scores = ml.search_scores(found, spark)
-    chosen = found.bestModel.getOrDefault("regParam")
-    top = scores.agg(F.max_by("params", "score")).first()[0]
+    chosen = {model.getParam(n): found.bestModel.getOrDefault(n) for n in grid}
+    top = scores.orderBy(F.desc("score"), "point").first()["params"]
     return scores.select(
         "point", F.col("score").between(0, 1).alias("score_in_range"),
-        F.lit(f"regParam={chosen}" == top).alias("refit_with_best"),
+        F.lit(ml.described(chosen) == top).alias("refit_with_best"),
     )
 
 
@@ -880,12 +956,26 @@ def all_against_top_features(spark: SparkSession, sf: str) -> DataFrame:
     return flags
 
 
+@query
+def all_against_top_features_multiclass(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten classes: weighted figures side by side."""
+    train, test = split.train_test(fx.emb(spark, sf), eager=True)
+    fit, held = ml.prepare(train), ml.prepare(test, fit_on=train)
+    name, model = "LogisticRegression", ml.logistic_regression(fit.n_rows)
+    full = ml.train_models(fit, held, {name: model})
+    top = importance.top_indices(importance.top_features(full.best_model, fit, 8))
+    both = importance.all_against_top(fit, held, name, model, top, full.predictions)
+    a, t = F.col("all_features"), F.col("top_features")
+    said = F.when(a > t, "all_features").when(t > a, "top_features").otherwise("equal")
+    return in_range(both.withColumn("fits", F.col("higher") == said), ["model", "metric", "fits"], ["all_features", "top_features"])
+
+
 @query
 def test_check_of_best_features(spark: SparkSession, sf: str) -> DataFrame:
     train, test = _planted_pair(spark, sf)
     top = importance.top_indices(uni.ranked(uni.anova_f(train.table, complete=True), 8))
-    model = ml.random_forest().fit(train.select(top).rows)
-    found = metrics.accuracy(ml.predict_table(model, test.select(top).rows, "RandomForest"))
+    plain, tuned = check_on_test(train.select(top), test.select(top), ml.random_forest(), ml.FOREST_GRID)
+    found = metrics.accuracy(plain.unionByName(tuned))
     return found.select("model", (F.col("accuracy") > 0.5).alias("better_than_chance"))
 
 
@@ -916,15 +1006,21 @@ def load_train_test_pair(spark: SparkSession, sf: str) -> DataFrame:
 def export_ml_ready(spark: SparkSession, sf: str) -> DataFrame:
     train, test = split.train_test(fx.emb(spark, sf))
     best = importance.top_indices(uni.ranked(uni.anova_f(train, complete=True), 5))
-    names = [train.names[i] for i in best]
-    paths = sinks.write_ml_ready(train, test, names, scratch_path(spark, "ml"), fmt="csv")
+    names, folder = [train.names[i] for i in best], scratch_path(spark, "ml")
+    paths = sinks.write_ml_ready(train, test, names, folder, fmt="csv")
+    lists = uni.stacked({
+        "f_test": uni.ranked(uni.anova_f(train, complete=True), 5),
+        "variance": uni.ranked(var.feature_variance(train, complete=True).withColumnRenamed("variance", "score"), 5),
+    })
+    combined = [r["feature"] for r in compare.combined_features(lists).orderBy("rank").collect()]
+    paths += sinks.write_ml_ready(train, test, combined, folder, fmt="csv", name="ml_ready_all_methods")
     parts = [
         tables.load_table(spark, p, "label").long().select(
             F.lit(n).alias("part"), "row_id", "label", "feature_idx", "value"
         )
-        for n, p in zip(("train", "test"), paths)
+        for n, p in zip(("train", "test", "all_train", "all_test"), paths)
     ]
-    return rounded_doubles(compare.concat_rows(*parts))
+    return rounded_doubles(reduce(compare.concat_rows, parts))
 
 
 @query

@@ -263,6 +263,8 @@ ORACLE: dict[str, str] = {
         SELECT 'total', 'constant_features', count_if(variance = 0) FROM variances UNION ALL
         SELECT 'total', 'low_variance_features', count_if(variance < 0.01) FROM variances UNION ALL
         SELECT 'class', CAST(label AS VARCHAR), count(*) FROM embeddings GROUP BY label UNION ALL
+        SELECT 'type', feature || ' double', 1 FROM variances UNION ALL
+        SELECT 'type', unnest(['row_id bigint', 'label int']), 1 UNION ALL
         SELECT 'missing', feature, 0 FROM variances UNION ALL
         SELECT 'constant', feature, 1 FROM variances WHERE variance = 0 UNION ALL
         SELECT 'low_variance', feature, 1 FROM variances WHERE variance < 0.01)"""
@@ -284,9 +286,10 @@ ORACLE: dict[str, str] = {
     ),
     "impute_zero": _sql(_cells("miss", "coalesce(value, 0)")),
     "standardise_train_test": _sql(
-        _cells("""(SELECT row_id, feature_idx, (value - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS value FROM flawed
-        JOIN (SELECT feature_idx, avg(value) AS m, stddev_pop(value) AS s FROM flawed
-        JOIN emb_test USING (row_id) WHERE NOT is_test GROUP BY feature_idx) USING (feature_idx))""")
+        _cells("""(SELECT row_id, feature_idx, (value - m) / CASE WHEN s = 0 THEN 1 ELSE s END AS value FROM (
+        SELECT row_id, feature_idx, value, avg(value) FILTER (WHERE NOT is_test) OVER (PARTITION BY feature_idx) AS m,
+        stddev_pop(value) FILTER (WHERE NOT is_test) OVER (PARTITION BY feature_idx) AS s
+        FROM flawed JOIN emb_test USING (row_id)))""")
     ),
     "encode_target": _sql(
         """SELECT row_id, label, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM cust"""
@@ -447,8 +450,11 @@ ORACLE: dict[str, str] = {
     "model_scoreboard": _sql(
         "SELECT model, " + ", ".join(
             _r(f"six.{m}", m) for m in ("accuracy", "auc", "sensitivity", "specificity", "precision", "f1_score")
-        ) + """, CAST(row_number() OVER (ORDER BY six.accuracy DESC, model) AS INTEGER) AS rank,
-        row_number() OVER (ORDER BY six.accuracy DESC, model) = 1 AS is_best FROM six"""
+        ) + f""", CAST(row_number() OVER (ORDER BY six.accuracy DESC, model) AS INTEGER) AS rank,
+        row_number() OVER (ORDER BY six.accuracy DESC, model) = 1 AS is_best,
+        {_r('cv_score')}, 'rule=' || model AS best_params FROM six JOIN (SELECT model, avg(accuracy) AS cv_score FROM (
+        SELECT model, fold, avg(CAST(label = prediction AS INTEGER)) AS accuracy FROM pred_fold GROUP BY ALL)
+        GROUP BY model) USING (model)"""
     ),
     "feature_set_comparison": _sql(
         f"""SELECT 'rule' AS model, a.metric, {_r('a.v', 'all_features')}, {_r('t.v', 'top_features')},
@@ -511,11 +517,17 @@ ORACLE: dict[str, str] = {
         SELECT row_id, label, sum(value) AS total FROM emb WHERE feature_idx BETWEEN 4 AND 59 GROUP BY ALL)) WHERE held"""
     ),
     "export_ml_ready": _sql(
-        f"""SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, e.row_id, e.label,
+        f"""SELECT f.of || CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, e.row_id, e.label,
         CAST(f.pos - 1 AS INTEGER) AS feature_idx, {_r('e.value', 'value')} FROM emb e JOIN emb_test s USING (row_id)
-        JOIN (SELECT feature_idx, row_number() OVER (ORDER BY score DESC, feature_idx) AS pos
-        FROM ({{f:train_rows}})) f ON f.feature_idx = e.feature_idx AND f.pos <= 5""",
-        ", train_rows AS (SELECT e.* FROM emb e JOIN emb_test s USING (row_id) WHERE NOT s.is_test)",
+        JOIN chosen f ON f.feature_idx = e.feature_idx""",
+        """, train_rows AS (SELECT e.* FROM emb e JOIN emb_test s USING (row_id) WHERE NOT s.is_test),
+        by_f AS (SELECT feature_idx FROM ({f:train_rows}) QUALIFY row_number() OVER (ORDER BY score DESC, feature_idx) <= 5),
+        by_v AS (SELECT feature_idx FROM train_rows GROUP BY 1
+        QUALIFY row_number() OVER (ORDER BY var_samp(value) DESC, feature_idx) <= 5),
+        chosen AS (SELECT '' AS of, feature_idx, row_number() OVER (ORDER BY score DESC, feature_idx) AS pos
+        FROM ({f:train_rows}) QUALIFY pos <= 5 UNION ALL
+        SELECT 'all_', feature_idx, row_number() OVER (ORDER BY 'f' || feature_idx) AS pos
+        FROM (SELECT * FROM by_f UNION SELECT * FROM by_v))""",
     ),
     "export_result_tables": _sql(
         """SELECT feature, rank, 'best' AS list FROM selection WHERE method = 'f_test' UNION ALL
@@ -589,7 +601,13 @@ ORACLE |= {
     ),
     "plain_method_scores": _names("method", ["f_test"], "accuracy_in_range"),
     "model_grid_search": """SELECT CAST(i AS INTEGER) AS point, TRUE AS score_in_range, TRUE AS refit_with_best
-        FROM range(6) AS r(i)""",
+        FROM range(18) AS r(i)""",
+    "regularisation_path": """SELECT c, CAST(f AS INTEGER) AS fold, CAST(i AS INTEGER) AS feature_idx, TRUE AS optimal
+        FROM (VALUES (0.001), (0.01), (0.1), (1.0), (10.0), (100.0)) AS v(c0), LATERAL (SELECT CAST(c0 AS DOUBLE) AS c),
+        range(-1, 3) AS r(f), range(65) AS s(i)""",
+    "tuned_selections": """SELECT method, CAST(i AS INTEGER) AS rank, TRUE AS planted_first, TRUE AS falling, TRUE AS tuned
+        FROM (VALUES ('gradient_boosting_importance'), ('lasso_regularization'), ('random_forest_importance')) AS v(method),
+        range(1, 3) AS r(i)""",
     "train_and_score_models": "SELECT *, model = 'LogisticRegression' AS searched FROM ("
     + _names(
         "model", _MODELS, "first_is_best", "best_is_named", "falling", "auc_in_range",
@@ -616,5 +634,10 @@ ORACLE |= {
     ),
     "all_against_top_features": "SELECT 'LogisticRegression' AS model, * FROM ("
     + _names("metric", _FIGURES, "fits", "all_features_in_range", "top_features_in_range") + ")",
-    "test_check_of_best_features": _names("model", ["RandomForest"], "better_than_chance"),
+    "all_against_top_features_multiclass": "SELECT 'LogisticRegression' AS model, * FROM ("
+    + _names(
+        "metric", ["accuracy", "auc", "weighted_precision", "weighted_recall", "weighted_f1"],
+        "fits", "all_features_in_range", "top_features_in_range",
+    ) + ")",
+    "test_check_of_best_features": _names("model", ["plain", "tuned"], "better_than_chance"),
 }

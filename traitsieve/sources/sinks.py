@@ -30,12 +30,13 @@ def write_ml_ready(
     folder: str,
     target: str = "label",
     fmt: str = "parquet",
+    name: str = "ml_ready",
 ) -> tuple[str, str]:
     """Selected features and target of both parts, one folder each."""
     paths = []
     for part, table in (("train", train), ("test", test)):
         ready = table.select_names(features).wide(target)
-        paths.append(write_table(ready, f"{folder}/ml_ready_{part}.{fmt}", fmt))
+        paths.append(write_table(ready, f"{folder}/{name}_{part}.{fmt}", fmt))
     return paths[0], paths[1]
 
 
