@@ -9,6 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitsieve.functions.blocks import block_moments
 from traitsieve.table import FeatureTable
 
 # Up to this width one aggregate with a column per feature beats exploding the rows.
@@ -61,10 +62,13 @@ def feature_moments(
     """``[label,] feature_idx, n, mean, variance`` with the sample variance.
 
     ``complete`` promises there is no missing cell; a wide table then keeps one
-    vector per class and task instead of exploding its rows.
+    vector per class and task.  Other wide tables are worked on in blocks of features.
     """
     by = ["label"] if by_label else []
-    if not complete or table.width <= NARROW_WIDTH:
+    if not complete and table.width > NARROW_WIDTH:
+        found = block_moments(table.df, table.width, by_label)
+        return found.where("n > 0").select(*by, "feature_idx", "n", "mean", "variance")
+    if table.width <= NARROW_WIDTH:
         moments = per_feature(
             table, {"n": F.count, "mean": F.avg, "variance": F.var_samp}, by, complete
         )

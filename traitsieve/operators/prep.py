@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traitsieve.functions.blocks import block_moments, quantiles
 from traitsieve.functions.columns import classes_of
-from traitsieve.functions.ordered import exact_quantile
 from traitsieve.functions.session import broadcast_if_small
-from traitsieve.operators.moments import feature_moments, per_feature
+from traitsieve.operators.moments import NARROW_WIDTH, feature_moments, per_feature
 from traitsieve.table import FeatureTable
 
 # Class names that fix which of two labels is the positive one (fixed values).
@@ -45,6 +45,13 @@ def _with_fitted(
     )
 
 
+def feature_medians(table: FeatureTable) -> DataFrame:
+    """``feature_idx, quantile``: exact medians by radix selection over blocks of features."""
+    found = quantiles(table.df, table.width, 0.5)
+    rows = [(i, float(v)) for i, v in enumerate(found) if v == v]
+    return table.df.sparkSession.createDataFrame(rows, "feature_idx int, quantile double")
+
+
 def impute(table: FeatureTable, strategy: str = "mean", fit_on: FeatureTable | None = None) -> FeatureTable:
     """Fill missing cells: ``mean``, ``median`` (exact), ``zero``, or ``drop`` the row.
 
@@ -58,8 +65,7 @@ def impute(table: FeatureTable, strategy: str = "mean", fit_on: FeatureTable | N
     if strategy == "mean":
         fill = per_feature_array(feature_moments(source), F.col("mean"), table.width)
     elif strategy == "median":
-        medians = exact_quantile(source.long(), "feature_idx", "value", 0.5, table.width)
-        fill = per_feature_array(medians, F.col("quantile"), table.width)
+        fill = per_feature_array(feature_medians(source), F.col("quantile"), table.width)
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     return _with_fitted(table, fill, lambda v, s: F.coalesce(v, s))
@@ -195,13 +201,15 @@ def _fill_and_scale(train: FeatureTable, missing: str) -> Column:
     Filling m of n + m cells moves mean and squares by a known amount, so the raw
     moments give the figures of the filled column without a second pass.
     """
-    stats = per_feature(
-        train,
-        {"n": F.count, "all": lambda v: F.count(F.lit(1)), "mean": F.avg, "variance": F.var_samp},
-    )
+    if train.width > NARROW_WIDTH:
+        stats = block_moments(train.df, train.width).withColumnRenamed("rows", "all")
+    else:
+        stats = per_feature(
+            train,
+            {"n": F.count, "all": lambda v: F.count(F.lit(1)), "mean": F.avg, "variance": F.var_samp},
+        )
     if missing == "median":
-        medians = exact_quantile(train.long(), "feature_idx", "value", 0.5, train.width)
-        stats = stats.join(medians.withColumnRenamed("quantile", "fill"), "feature_idx", "left")
+        stats = stats.join(feature_medians(train).withColumnRenamed("quantile", "fill"), "feature_idx", "left")
     elif missing == "mean":
         stats = stats.withColumn("fill", F.col("mean"))
     elif missing == "zero":

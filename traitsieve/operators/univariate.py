@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traitsieve.functions.blocks import bin_counts
 from traitsieve.functions.columns import digamma
 from traitsieve.functions.ordered import (
     ROWS_PER_SLICE,
@@ -17,7 +18,7 @@ from traitsieve.functions.ordered import (
     with_slice,
 )
 from traitsieve.functions.session import broadcast_if_small
-from traitsieve.operators.moments import feature_moments
+from traitsieve.operators.moments import NARROW_WIDTH, feature_moments
 from traitsieve.table import FeatureTable
 
 NEIGHBOURS = 3
@@ -236,7 +237,14 @@ def binned_mutual_information(
     rows: int | None = None,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Plug-in MI on equal-frequency bins; equal values always share a bin."""
+    """Plug-in MI on equal-frequency bins; equal values always share a bin.
+
+    Wide tables are binned in blocks of features, narrow ones in slices of values.
+    """
+    if table.width > NARROW_WIDTH:
+        counts = bin_counts(table.df, table.width, bins)
+        known = counts.withColumn("n", F.sum("c").over(Window.partitionBy("feature_idx")))
+        return _plug_in(table, known.select("feature_idx", "n", "bin", "label", "c"))
     cells = table.long().select("feature_idx", "label", "value")
     if rows is None:
         rows = table.df.count()
@@ -259,6 +267,11 @@ def binned_mutual_information(
         .groupBy("feature_idx", "n", "bin", "label")
         .agg(F.sum("c").alias("c"))
     )
+    return _plug_in(table, grid)
+
+
+def _plug_in(table: FeatureTable, grid: DataFrame) -> DataFrame:
+    """MI from counts ``feature_idx, n, bin, label, c``."""
     row = Window.partitionBy("feature_idx", "bin")
     column = Window.partitionBy("feature_idx", "label")
     joint = grid.select(

@@ -53,9 +53,11 @@ class ModelRun:
     top: ModelSet
     metrics: DataFrame
     top_metrics: DataFrame
-    comparison: DataFrame
+    comparison: DataFrame | None
     top_features: list[str]
     paths: dict[str, str]
+    #: Beyond two classes: the weighted figures side by side.
+    weighted_comparison: DataFrame | None = None
 
 
 def split_table(
@@ -201,7 +203,8 @@ def run_models(
     small = ml.train_models(fit.select(top), held.select(top), tuned)
     small_figures = ml.test_report(small.predictions, held, len(chosen))
     best = F.col("model") == full.best
-    comparison = compare_feature_sets(figures.filter(best), small_figures.filter(best))
+    compared = compare_feature_sets(figures.filter(best), small_figures.filter(best))
+    comparison, weighted = (compared, None) if fit.n_classes == 2 else (None, compared)
 
     paths = {f"all/{k}": v for k, v in ml.save_models(full, f"{folder}/all_features").items()}
     paths |= {f"top/{k}": v for k, v in ml.save_models(small, f"{folder}/top_features").items()}
@@ -218,7 +221,7 @@ def run_models(
         test_rows=held.n_rows,
     )
     paths["summary"] = sinks.write_summary(summary, f"{folder}/summary.json")
-    return ModelRun(full, small, figures, small_figures, comparison, names, paths)
+    return ModelRun(full, small, figures, small_figures, comparison, names, paths, weighted)
 
 
 def run_all(
