@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traitsieve.functions.session import cut_lineage
+from traitsieve.functions.session import broadcast_if_small, cut_lineage
 from traitsieve.llm import kernels as K
 from traitsieve.llm.components import components, spanning_forest
 from traitsieve.llm.packets import Outbox, bucket_count, to_buckets, unpack
@@ -54,7 +54,7 @@ OVERLAP_LEAST = 8
 OVERLAP_SHARE = 16
 SMALL = 8
 #: Sets of a group that one task compares, in two blocks.
-GROUP_SETS = 3_000
+GROUP_SETS = 8_000
 #: Sets of all groups in a bucket, about.
 BUCKET_SETS = 10_000
 #: Sets compared with their group together.
@@ -432,13 +432,26 @@ def _groups(lists: DataFrame) -> DataFrame:
 
 
 def _in_groups(differences: DataFrame) -> DataFrame:
-    """Links of the groups: with the centre, and those of sets that do not link with it."""
+    """Links of the groups: with the centre, and those of sets that do not link with it.
+
+    Only such outside sets have links left to find.  They have blocks of their own, which meet each
+    other and the blocks of the linked sets; linked sets do not meet, so a group with few outside
+    sets is copied a few times whatever its size.
+    """
     counts = differences.groupBy("z").agg(F.count("*").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("outside"))
-    counts = counts.where("outside > 0").withColumn("blocks", F.ceil(F.col("n") * 2 / GROUP_SETS))
-    rows = differences.join(counts, "z").withColumn("block", F.pmod(F.xxhash64("rid"), "blocks"))
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    rows = rows.withColumn("other", F.explode(other))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks", "n", "outside")
+    small = F.col("n") * 2 <= GROUP_SETS  # one block for all
+    counts = counts.where("outside > 0").select(
+        "z",
+        F.when(small, 1).otherwise(F.ceil(F.col("outside") * 2 / GROUP_SETS)).alias("apart"),
+        F.when(small, 0).otherwise(F.ceil((F.col("n") - F.col("outside")) * 2 / GROUP_SETS)).alias("inner"),
+    )
+    rows = differences.join(broadcast_if_small(counts, counts.count()), "z")
+    linked_block = F.col("apart") + F.pmod(F.xxhash64("rid"), F.greatest("inner", F.lit(1)))
+    inside = F.col("linked") & (F.col("inner") > 0)
+    rows = rows.withColumn("block", F.when(inside, linked_block).otherwise(F.pmod(F.xxhash64("rid"), "apart")))
+    last = F.when(inside, F.col("apart")).otherwise(F.col("apart") + F.col("inner")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "apart", "inner")
     buckets = max(1, -(-(differences.count()) // BUCKET_SETS))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("z", "i", "j"), F.lit(buckets)))
     inner = rows.groupBy("bucket").applyInPandas(_group_links, "a long, b long")
