@@ -4,10 +4,12 @@ Each source's documents, in the order of a hash of their ids, are laid end to en
 cut into blocks of ``block`` bytes.  A source of weight w gives its block i the release
 ``floor(i / w)`` and the deadline ``ceil((i + 1) / w)``, in slots; each slot takes, of the
 released blocks, the one with the earliest deadline (ties: the longer group deadline, then
-the source's rank).  At every slot a source is less than one block away from its share.
+the source's rank).  At every slot a source is less than one block away from its share of
+the weights as they are scheduled.
 
-Weights are fractions of ``FRAME`` slots, so the schedule repeats after a frame, at whose
-end no source is ahead or behind.  One frame is scheduled on the driver (sources x FRAME
+Those are fractions of ``FRAME`` slots, so the schedule repeats after a frame, at whose
+end no source is ahead or behind of them.  Target weights that are no such fractions are
+rounded, and that difference, at most a slot a frame and source, adds up over the frames.  One frame is scheduled on the driver (sources x FRAME
 steps, whatever the input); the block of a document follows from its running length, and
 its slot is looked up.  When a source has no blocks left the others go on: from there a new
 phase has their weights only.  There are as many phases as sources at most.
@@ -109,8 +111,16 @@ def flattened(lengths: dict, power: float) -> dict:
     return {s: max(n, 1) ** power for s, (n, _) in lengths.items()}
 
 
-def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
-    """``docs`` with ``mix_block`` (of its source), ``mix_slot`` and ``mix_place`` (byte at which it begins)."""
+def mix(
+    docs: DataFrame, weights: dict | None = None, power: float = 0.7, block: int = BLOCK, frame: int = FRAME,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` with ``mix_block`` (of its source), ``mix_slot`` and ``mix_place`` (byte at which it begins).
+
+    ``columns`` are those of ``docs`` to carry along (all by default); without the text only
+    lengths are shuffled.  ``mix_bytes`` is a document's length.
+    """
+    columns = docs.columns if columns is None else columns
     spark = docs.sparkSession
     lengths = source_lengths(docs)
     weights = flattened(lengths, power) if weights is None else weights
@@ -118,15 +128,16 @@ def mix(docs: DataFrame, weights: dict | None = None, power: float = 0.7, block:
     ranges = max(1, -(-most // RANGE_DOCS))
     key = F.xxhash64("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    packed = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("0"), *docs.columns).alias("mix_row"))
-    placed = packed.withColumns({"mix_key": key, "mix_size": size}).withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 40), F.lit(ranges)))
+    packed = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("0"), *columns).alias("mix_row"))
+    placed = packed.withColumns({"mix_key": key, "mix_size": size}).drop("text").withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 40), F.lit(ranges)))
     sums = placed.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("mix_sum"))
     before = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
     sums = written(
         sums.select("source", "mix_range", F.coalesce(F.sum("mix_sum").over(before), F.lit(0)).alias("mix_before")), "ranges"
     )
     rows = _slotted(placed, sums, lengths, weights, block, frame, spark)
-    return rows.select(*[F.col("mix_row")[c].alias(c) for c in docs.columns], "mix_block", "mix_slot", "mix_place")
+    carried = [F.col("mix_row")[c].alias(c) for c in columns]
+    return rows.select(*carried, "mix_block", "mix_slot", "mix_place", F.col("mix_size").alias("mix_bytes"))
 
 
 def _slotted(placed, sums, lengths, weights, block, frame, spark) -> DataFrame:
@@ -158,7 +169,7 @@ def _slotted(placed, sums, lengths, weights, block, frame, spark) -> DataFrame:
     n = F.size("p_slots")
     slot = F.col("p_base") + F.floor(turn / n) * F.col("p_frame") + F.get("p_slots", (turn % n).cast("int"))
     rows = rows.withColumn("mix_slot", F.coalesce(slot, F.lit(end) + F.col("mix_block")))
-    return rows.drop("mix_key", "mix_size", "mix_range", "mix_before", "mix_within", "s", "r", *table.columns)
+    return rows.drop("mix_key", "mix_range", "mix_before", "mix_within", "s", "r", *table.columns)
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:

@@ -52,11 +52,12 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, columns=["doc_id", "source"])
     return mixed.select(
         "doc_id",
         "source",
-        F.octet_length("text").cast("long").alias("n_bytes"),
+        F.col("mix_bytes").alias("n_bytes"),
         F.col("mix_block").alias("block"),
         F.col("mix_place").alias("place"),
         F.col("mix_slot").alias("slot"),
