@@ -599,7 +599,10 @@ ORACLE |= {
     "evaluate_selection_methods": _names(
         "method", _SELECTORS, "auc_in_range", "accuracy_in_range", "std_auc_in_range", "std_accuracy_in_range"
     ),
-    "plain_method_scores": _names("method", ["f_test"], "accuracy_in_range"),
+    "plain_method_scores": _names(
+        "method", ["univariate_f_test", "mutual_information", "random_forest_importance", "lasso_regularization"],
+        "accuracy_in_range",
+    ),
     "model_grid_search": """SELECT CAST(i AS INTEGER) AS point, TRUE AS score_in_range, TRUE AS refit_with_best
         FROM range(18) AS r(i)""",
     "regularisation_path": """SELECT c, CAST(f AS INTEGER) AS fold, CAST(i AS INTEGER) AS feature_idx, TRUE AS optimal
