@@ -444,15 +444,19 @@ def _in_groups(differences: DataFrame) -> DataFrame:
         "z",
         F.when(small, 1).otherwise(F.ceil(F.col("outside") * 2 / GROUP_SETS)).alias("apart"),
         F.when(small, 0).otherwise(F.ceil((F.col("n") - F.col("outside")) * 2 / GROUP_SETS)).alias("inner"),
+        "outside",
+        (F.col("n") - F.col("outside")).alias("linked_n"),
     )
-    rows = differences.join(broadcast_if_small(counts, counts.count()), "z")
+    copies = F.col("linked_n") * F.col("apart") + F.col("outside") * (F.col("apart") + F.col("inner"))
+    groups, total = counts.agg(F.count("*"), F.coalesce(F.sum(copies), F.lit(0))).first()
+    buckets = max(1, -(-int(total) // BUCKET_SETS))
+    rows = differences.join(broadcast_if_small(counts.select("z", "apart", "inner"), groups), "z")
     linked_block = F.col("apart") + F.pmod(F.xxhash64("rid"), F.greatest("inner", F.lit(1)))
     inside = F.col("linked") & (F.col("inner") > 0)
     rows = rows.withColumn("block", F.when(inside, linked_block).otherwise(F.pmod(F.xxhash64("rid"), "apart")))
     last = F.when(inside, F.col("apart")).otherwise(F.col("apart") + F.col("inner")) - 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "apart", "inner")
-    buckets = max(1, -(-(differences.count()) // BUCKET_SETS))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("z", "i", "j"), F.lit(buckets)))
     inner = rows.groupBy("bucket").applyInPandas(_group_links, "a long, b long")
     return inner.union(differences.where("linked and z <> rid").select(F.col("z").alias("a"), F.col("rid").alias("b")))
