@@ -227,29 +227,6 @@ def test_best_fit_takes_the_tightest_bin_without_conflict():
     assert bins.place(3, 4, 0) == (0, 7) and bins.place(2, 4, 0) == (1, 8) and bins.place(2, 0, 0) == (2, 0)
 
 
-def test_frames_deviate_by_less_than_a_block():
-    slots = mixing.quantised({"a": 5, "b": 3, "c": 1, None: 1.7}, 100)
-    order = mixing.frame_schedule(slots)
-    assert {s: order.count(s) for s in slots} == slots
-    for s, n in slots.items():
-        done = np.cumsum([o == s for o in order])
-        assert np.abs(done - (np.arange(100) + 1) * n / 100).max() < 1
-
-
-def test_mixing_keeps_rows_and_slots_hold_one_block(docs, rows):
-    out = mixing.mix(docs, block=300, frame=20).collect()
-    assert sorted(r["doc_id"] for r in out) == sorted(i for i, _ in rows)
-    owner = {}
-    for r in out:
-        assert owner.setdefault(r["mix_slot"], (r["source"], r["mix_block"])) == (r["source"], r["mix_block"])
-    by_source = {}
-    for r in sorted(out, key=lambda r: r["mix_place"]):
-        by_source.setdefault(r["source"], []).append(r["mix_slot"])
-    assert all(s == sorted(s) for s in by_source.values())
-    whole = mixing.mixed_order(docs)
-    assert whole.columns == docs.columns and whole.count() == len(rows)
-
-
 def test_quality_finds_shouting(spark):
     rng = random.Random(0)
     words = vocabulary(200, 3)

@@ -3,177 +3,186 @@
 Each source's documents, in the order of a hash of their ids, are laid end to end and
 cut into blocks of ``block`` bytes.  A source of weight w gives its block i the release
 ``floor(i / w)`` and the deadline ``ceil((i + 1) / w)``, in slots; each slot takes, of the
-released blocks, the one with the earliest deadline (ties: the longer group deadline, then
-the source's rank).  At every slot a source is less than one block away from its share of
-the weights as they are scheduled.
+released blocks, the one with the earliest deadline (ties: the larger source first).  Weights
+are fractions of whole numbers, never rounded to a frame, so at every slot of any schedule a
+source is less than one block away from its share.  When a source has no blocks left the
+others go on: from there a new phase has their weights only and counts from zero.
 
-Those are fractions of ``FRAME`` slots, so the schedule repeats after a frame, at whose
-end no source is ahead or behind of them.  Target weights that are no such fractions are
-rounded, and that difference, at most a slot a frame and source, adds up over the frames.  One frame is scheduled on the driver (sources x FRAME
-steps, whatever the input); the block of a document follows from its running length, and
-its slot is looked up.  When a source has no blocks left the others go on: from there a new
-phase has their weights only.  There are as many phases as sources at most.
+The schedule is one pass over the blocks in one task, which holds a line per source and writes
+its slots to a table.  By default a block is 64 KB, or a ``SLOTS_MOST``-th of the bytes where that
+is more, so that pass has the same bound on a table of any size.  The ``SOURCES_MOST`` largest
+sources are scheduled one by one; what all others hold is one more source, of their summed
+weight, within which the hash order mixes them.
 
 The running length of a source is made in two levels: sums of hash ranges, then sums
 inside a range, so that a source with a third of all rows is not one task's work.
 
 Defined results: null sources are a source of their own, null texts have length 0, empty
-ones too; a document belongs to the block in which it begins; sources without a target get
-weight 0 and follow after all others, in their hash order; repeated rows stay.
+ones too; a document belongs to the block in which it begins, empty ones at the end of a source to its last;
+sources that given weights do not name have weight 0 and follow after all others, in one hash order; repeated rows stay.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traitsieve.llm.tables import written
 
-FRAME = 1_000
 BLOCK = 65_536
+#: Blocks of the schedule where the block is not given (a source's last block may be one more).
+SLOTS_MOST = 1 << 20
 #: Documents of a source that one task adds up.
 RANGE_DOCS = 2_000
-#: More sources than this are refused: the frame is scheduled on the driver.
-SOURCES_MOST = 10_000
-
-
-def quantised(weights: dict, frame: int) -> dict:
-    """Slots of a frame for each source with a positive weight: largest remainders, one at least."""
-    total = sum(Fraction(w) for w in weights.values())
-    exact = {s: Fraction(w) * frame / total for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), str(s)))
-    while sum(slots.values()) < frame:
-        for s in order[: frame - sum(slots.values())]:
-            slots[s] += 1
-    while sum(slots.values()) > frame:
-        slots[max(slots, key=lambda s: (slots[s] - exact[s], slots[s], str(s)))] -= 1
-    return slots
-
-
-def frame_schedule(slots: dict) -> list:
-    """Source of each slot of one frame, by earliest deadline among released blocks."""
-    frame = sum(slots.values())
-    done = dict.fromkeys(slots, 0)
-    ranks = {s: i for i, s in enumerate(sorted(slots, key=lambda s: (s is None, str(s))))}
-    out = []
-    for now in range(frame):
-        best = None
-        for s, n in slots.items():
-            i = done[s]
-            if i * frame // n > now or i >= n:
-                continue
-            # two windows that overlap must not be pushed apart: the overlap goes first
-            overlap = (i + 1) * frame % n != 0
-            key = (-(-(i + 1) * frame // n), not overlap, -n, ranks[s])
-            if best is None or key < best[0]:
-                best = (key, s)
-        out.append(best[1])
-        done[best[1]] += 1
-    return out
+#: Sources scheduled one by one; those beyond share the slots of one.
+SOURCES_MOST = 4_000
+#: Group of the documents of all other sources.
+OTHERS = -1
+#: Default weights are whole numbers of these parts.
+PARTS = 1_000_000
+#: Slots handed on at a time.
+BATCH = 65_536
+
 
+def whole_weights(weights: dict) -> dict:
+    """The same proportions in whole numbers; only positive ones."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    common = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * common) for s, w in exact.items()}
 
-def phases(blocks: dict, weights: dict, frame: int) -> list[dict]:
-    """Phases of the schedule: base slot, slots by source, first block by source, whole frames.
 
-    A phase ends with the frame in which a source runs out; its last blocks are placed
-    there, and what other sources were due in that frame is placed as well.
+def schedule(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """Source and block of each slot, earliest deadline first among released blocks.
+
+    ``blocks`` counts the blocks of each source; ``weights`` are whole numbers and their order
+    breaks ties.  A phase ends with the last block of a source.
     """
-    left = {s: n for s, n in blocks.items() if n > 0 and weights.get(s, 0) > 0}
+    left = {s: blocks[s] for s in weights if blocks.get(s, 0) > 0}
+    ranks = {s: i for i, s in enumerate(left)}
     start = dict.fromkeys(left, 0)
-    base, out = 0, []
     while left:
-        room = max(frame, len(left))
-        slots = quantised({s: weights[s] for s in left}, room)
-        frames = max(1, min(-(-n // slots[s]) for s, n in left.items()))
-        out.append({"base": base, "slots": slots, "start": dict(start), "frames": frames, "frame": room})
-        base += frames * room
-        for s in list(left):
-            start[s] += frames * slots[s]
-            left[s] -= frames * slots[s]
-            if left[s] <= 0:
-                del left[s]
-    return out
-
-
-def source_lengths(docs: DataFrame) -> dict:
-    rows = docs.groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.count("*").alias("docs"))
-    found = rows.limit(SOURCES_MOST + 1).collect()
-    if len(found) > SOURCES_MOST:
-        raise ValueError(f"more than {SOURCES_MOST} sources")
-    return {r["source"]: (int(r["n"] or 0), r["docs"]) for r in found}
-
-
-def flattened(lengths: dict, power: float) -> dict:
-    """Target weights: each source's share of the bytes to a power below 1."""
-    return {s: max(n, 1) ** power for s, (n, _) in lengths.items()}
+        total = sum(weights[s] for s in left)
+        share = {s: weights[s] for s in left}
+        done = dict.fromkeys(left, 0)
+        ready = [(-(-total // w), ranks[s], s) for s, w in share.items()]  # every first block is released at once
+        heapq.heapify(ready)
+        later: list[tuple] = []
+        now, ended = 0, None
+        while ended is None:
+            while later and later[0][0] <= now:
+                _, rank, s = heapq.heappop(later)
+                heapq.heappush(ready, (-(-(done[s] + 1) * total // share[s]), rank, s))
+            _, rank, s = heapq.heappop(ready)
+            yield s, start[s] + done[s]
+            done[s] += 1
+            now += 1
+            if done[s] == left[s]:
+                ended = s
+            else:
+                heapq.heappush(later, (done[s] * total // share[s], rank, s))
+        for s, n in done.items():
+            start[s] += n
+            left[s] -= n
+        del left[ended]
+
+
+def _slots(spark: SparkSession, blocks: dict, weights: dict) -> DataFrame:
+    """The schedule as a table: group, block, slot.  A lost task makes the same slots again."""
+
+    def run(frames):
+        for frame in frames:
+            if not len(frame):
+                continue
+            rows: list[tuple] = []
+            for slot, (group, block) in enumerate(schedule(blocks, weights)):
+                rows.append((group, block, slot))
+                if len(rows) == BATCH:
+                    yield pd.DataFrame(rows, columns=["p_group", "p_block", "p_slot"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["p_group", "p_block", "p_slot"])
+
+    one = spark.range(0, 1, 1, 1)
+    return written(one.mapInPandas(run, "p_group long, p_block long, p_slot long"), "slots")
+
+
+def _groups(docs: DataFrame, weights: dict | None, power: float) -> tuple[list[dict], dict]:
+    """Sources scheduled one by one, and what all others hold together: bytes, documents, weight."""
+    n = F.coalesce(F.sum(F.octet_length(F.coalesce("text", F.lit("")))), F.lit(0))
+    per = docs.groupBy(F.col("source").cast("string").alias("source")).agg(n.cast("long").alias("bytes"), F.count("*").alias("docs"))
+    flat = F.round(F.pow(F.greatest("bytes", F.lit(1)), F.lit(power)) * PARTS).cast("decimal(38,0)")
+    per = written(per.withColumn("weight", flat), "sources")
+    if weights is None:
+        listed = per.orderBy(F.desc("bytes"), "source").limit(SOURCES_MOST)
+    else:
+        wanted = {None if s is None else str(s): w for s, w in weights.items() if w > 0}
+        named = F.col("source").isin([s for s in wanted if s is not None])
+        listed = per.where(F.coalesce(named, F.lit(None in wanted))).orderBy(F.desc("bytes"), "source")
+    found = [r.asDict() for r in listed.collect()]  # SOURCES_MOST rows, or one for each given weight
+    whole = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes", "docs", "weight"))).first().asDict()
+    others = {c: int(whole[c]) - sum(int(r[c]) for r in found) for c in whole}
+    if weights is None:
+        return found, others
+    return [{**r, "weight": wanted[r["source"]]} for r in found], {**others, "weight": 0}
 
 
 def mix(
-    docs: DataFrame, weights: dict | None = None, power: float = 0.7, block: int = BLOCK, frame: int = FRAME,
-    columns: list[str] | None = None,
+    docs: DataFrame, weights: dict | None = None, power: float = 0.7, block: int | None = None, columns: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``mix_block`` (of its source), ``mix_slot`` and ``mix_place`` (byte at which it begins).
 
+    ``weights`` are targets by source; by default each source's bytes to ``power``.
     ``columns`` are those of ``docs`` to carry along (all by default); without the text only
     lengths are shuffled.  ``mix_bytes`` is a document's length.
     """
     columns = docs.columns if columns is None else columns
     spark = docs.sparkSession
-    lengths = source_lengths(docs)
-    weights = flattened(lengths, power) if weights is None else weights
-    most = max((d for _, d in lengths.values()), default=1)
+    found, others = _groups(docs, weights, power)
+    block = block or max(BLOCK, -(-(sum(r["bytes"] for r in found) + others["bytes"]) // SLOTS_MOST))
+    numbered = dict(enumerate(found)) | ({OTHERS: others} if others["docs"] else {})
+    blocks = {g: max(1, -(-r["bytes"] // block)) for g, r in numbered.items()}
+    shares = whole_weights({g: r["weight"] for g, r in numbered.items()})
+    most = max((r["docs"] for r in numbered.values()), default=1)
     ranges = max(1, -(-most // RANGE_DOCS))
+
+    names = spark.createDataFrame([(g, r["source"], blocks[g]) for g, r in enumerate(found)], "g long, g_source string, g_blocks long")
     key = F.xxhash64("doc_id", "text")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     packed = docs.select("doc_id", "source", "text", F.struct(F.lit(0).alias("0"), *columns).alias("mix_row"))
-    placed = packed.withColumns({"mix_key": key, "mix_size": size}).drop("text").withColumn("mix_range", F.pmod(F.shiftrightunsigned("mix_key", 40), F.lit(ranges)))
-    sums = placed.groupBy("source", "mix_range").agg(F.sum("mix_size").alias("mix_sum"))
-    before = Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = written(
-        sums.select("source", "mix_range", F.coalesce(F.sum("mix_sum").over(before), F.lit(0)).alias("mix_before")), "ranges"
+    placed = packed.withColumns({"mix_key": key, "mix_size": size}).drop("text")
+    # one short row for each source scheduled by itself: SOURCES_MOST, or the given weights
+    placed = placed.join(F.broadcast(names), placed.source.cast("string").eqNullSafe(names.g_source), "left").select(
+        "doc_id", "mix_row", "mix_key", "mix_size",
+        F.coalesce("g", F.lit(OTHERS)).alias("mix_group"),
+        F.coalesce("g_blocks", F.lit(blocks.get(OTHERS, 1))).alias("mix_blocks"),
+        F.pmod(F.shiftrightunsigned("mix_key", 40), F.lit(ranges)).alias("mix_range"),
     )
-    rows = _slotted(placed, sums, lengths, weights, block, frame, spark)
+    sums = placed.groupBy("mix_group", "mix_range").agg(F.sum("mix_size").alias("mix_sum"))
+    before = Window.partitionBy("mix_group").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("mix_sum").over(before), F.lit(0)).alias("mix_before")
+    sums = written(sums.select("mix_group", "mix_range", start), "ranges")
+
+    inside = Window.partitionBy("mix_group", "mix_range").orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("mix_size").over(inside), F.lit(0))
+    rows = placed.withColumn("mix_within", within).join(sums, ["mix_group", "mix_range"])
+    rows = rows.withColumn("mix_place", F.col("mix_before") + F.col("mix_within"))
+    rows = rows.withColumn("mix_block", F.least(F.floor(F.col("mix_place") / block), F.col("mix_blocks") - 1))
+    slots = _slots(spark, blocks, shares)
+    end = sum(blocks[g] for g in shares)
+    rows = rows.join(slots, (rows.mix_group == slots.p_group) & (rows.mix_block == slots.p_block), "left")
     carried = [F.col("mix_row")[c].alias(c) for c in columns]
-    return rows.select(*carried, "mix_block", "mix_slot", "mix_place", F.col("mix_size").alias("mix_bytes"))
-
-
-def _slotted(placed, sums, lengths, weights, block, frame, spark) -> DataFrame:
-    inside = Window.partitionBy("source", "mix_range").orderBy("mix_key", "doc_id")
-    sums = sums.select(F.col("source").alias("s"), F.col("mix_range").alias("r"), "mix_before")
-    within = F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, -1))
-    rows = placed.withColumn("mix_within", F.coalesce(within, F.lit(0)))
-    rows = rows.join(sums, rows.source.eqNullSafe(sums.s) & (rows.mix_range == sums.r))
-    rows = rows.withColumn("mix_place", F.col("mix_before") + F.col("mix_within")).withColumn(
-        "mix_block", F.floor(F.col("mix_place") / block)
-    )
-    blocks = {s: max(1, -(-n // block)) + 1 for s, (n, _) in lengths.items()}
-    plan, slots_of = phases(blocks, weights, frame), []
-    for p in plan:
-        order: dict = {}
-        for slot, s in enumerate(frame_schedule(p["slots"])):
-            order.setdefault(s, []).append(slot)
-        for s, slots in order.items():
-            slots_of.append((s, p["start"][s], p["start"][s] + p["frames"] * len(slots), p["base"], p["frame"], slots))
-    end = max((p["base"] + p["frames"] * p["frame"] for p in plan), default=0)
-    schema = "p_source string, p_from long, p_to long, p_base long, p_frame long, p_slots array<long>"
-    table = F.broadcast(spark.createDataFrame(slots_of, schema))  # one row per phase and source, FRAME slots a phase
-    rows = rows.join(
-        table,
-        rows.source.cast("string").eqNullSafe(table.p_source) & (rows.mix_block >= table.p_from) & (rows.mix_block < table.p_to),
-        "left",
-    )
-    turn = F.col("mix_block") - F.col("p_from")
-    n = F.size("p_slots")
-    slot = F.col("p_base") + F.floor(turn / n) * F.col("p_frame") + F.get("p_slots", (turn % n).cast("int"))
-    rows = rows.withColumn("mix_slot", F.coalesce(slot, F.lit(end) + F.col("mix_block")))
-    return rows.drop("mix_key", "mix_range", "mix_before", "mix_within", "s", "r", *table.columns)
+    slot = F.coalesce("p_slot", F.lit(end) + F.col("mix_block")).alias("mix_slot")
+    return rows.select(*carried, "mix_block", slot, "mix_place", F.col("mix_size").alias("mix_bytes"))
 
 
 def mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The columns of ``docs``, rows in the order of the schedule."""
     names = docs.columns
-    rows = mix(docs, **options)
-    return rows.orderBy("mix_slot", "mix_place", "doc_id").select(*names)
+    whole = docs.select("doc_id", "text", "source", F.struct(F.lit(0).alias("0"), *names).alias("row"))
+    rows = mix(whole, columns=["doc_id", "row"], **options)
+    return rows.orderBy("mix_slot", "mix_place", "doc_id").select(*(F.col("row")[c].alias(c) for c in names))
