@@ -106,6 +106,89 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op2_substring_dedup"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+starts AS (
+    SELECT r, doc_id, words, unnest(range(1, len(words) - 11)) AS s FROM docs
+),
+windows AS (
+    SELECT r, doc_id, s, array_to_string(words[s : s + 12], ' ') AS phrase FROM starts
+),
+later AS (
+    SELECT r, s FROM windows
+    QUALIFY min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY phrase) < coalesce(doc_id, 9223372036854775807)
+),
+gone AS (
+    SELECT DISTINCT r, unnest(range(s, s + 13)) AS k FROM later
+),
+placed AS (
+    SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM docs
+),
+kept AS (
+    SELECT r, count(gone.k) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone.k IS NULL), '') AS rest
+    FROM placed LEFT JOIN gone USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(rest, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+ORACLE["op6_embedding_dedup"] = """
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+),
+reached AS (
+    SELECT DISTINCT a AS vec_id, a AS other FROM links
+    UNION
+    SELECT reached.vec_id, links.b FROM reached JOIN links ON reached.other = links.a
+),
+components AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id)::BIGINT AS component_id,
+       vec_id = coalesce(component_id, vec_id) AS kept
+FROM embeddings LEFT JOIN components USING (vec_id) LEFT JOIN degrees USING (vec_id)
+"""
+
+ORACLE["op9_jaccard_join"] = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+),
+starts AS (
+    SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS s FROM docs WHERE len(words) > 0
+),
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(words[s : s + 4], ' ') AS shingle FROM starts
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)
+),
+reached AS (
+    SELECT DISTINCT a AS doc_id, a AS other FROM links
+    UNION
+    SELECT reached.doc_id, links.b FROM reached JOIN links ON reached.other = links.a
+),
+components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id)::BIGINT AS component_id
+FROM docs LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
 ORACLE["op11_lexical_search"] = r"""
 WITH docs AS (
     SELECT row_number() OVER () AS r, doc_id,
