@@ -113,3 +113,38 @@ def test_one_class_constant_and_empty_folds(spark):
     found, fits = path.search(rows, model, [{model.regParam: 0.1}], 3, 2, 12)
     assert all(np.isfinite(f.coefficients.toArray()).all() for f in fits.values())
     assert len(found.avgMetrics) == 1
+
+
+def test_a_scan_in_which_no_loss_falls():
+    none = np.zeros((0, 1, 5))
+    assert path.violations(none, none, none, none).shape == (0,)
+    two = np.ones((2, 1, 5))
+    assert path.violations(two, two * 3, two, two * 0).tolist() == [4.0, 4.0]
+
+
+def test_points_go_on_when_all_of_them_step_too_far(monkeypatch):
+    """A bowl whose curvature is given as a third of what it is, so that the first steps go too far."""
+    scans = []
+
+    def scan(blocks, weights, folds, by_class):
+        scans.append(len(weights))
+        off = weights - 2.0
+        return (off**2).sum(axis=(1, 2)) / 2, off, np.tile(np.eye(weights.shape[2]) / 3, (len(weights), 1, 1, 1))
+
+    monkeypatch.setattr(path, "scan", scan)
+    found = path.fit_points(None, [Point(1e-9)], 2, 2, np.ones((1, 2)))
+    assert len(scans) > 2 and np.allclose(found, 2.0, atol=1e-4)
+
+
+def test_large_coefficients_under_a_weak_penalty_reach_the_optimum(monkeypatch):
+    """Curvature near the solver's own: what that adds may not move the optimum."""
+    bend, goal = 1e-11, 1500.0
+
+    def scan(blocks, weights, folds, by_class):
+        off = bend * (weights - goal)
+        return (off**2).sum(axis=(1, 2)) / bend / 2, off, np.tile(np.eye(weights.shape[2]) * bend, (len(weights), 1, 1, 1))
+
+    monkeypatch.setattr(path, "scan", scan)
+    reg = 1e-9
+    found = path.fit_points(None, [Point(reg, 1.0)], 2, 2, np.ones((1, 2)))
+    assert np.allclose(found[0, 0, :2], goal - reg / bend, rtol=1e-3)

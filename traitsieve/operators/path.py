@@ -45,6 +45,8 @@ SCANS = 200
 SWEEPS = 3
 #: A point is done when no optimality condition is off by more than this share of its penalty.
 TOLERANCE = 1e-3
+#: Curvature added for the solver, in case the rows give a direction none.
+RIDGE = 1e-12
 ALL_ROWS = -1
 
 
@@ -268,7 +270,7 @@ def violations(weights: np.ndarray, slope: np.ndarray, l1: np.ndarray, l2: np.nd
     """How far each point is from the optimality conditions, by its worst coefficient."""
     s = slope + l2 * weights
     off = np.where(weights != 0, np.abs(s + l1 * np.sign(weights)), np.maximum(np.abs(s) - l1, 0))
-    return off.reshape(len(weights), -1).max(axis=1)
+    return off.max(axis=tuple(range(1, off.ndim)))  # of no point at all: nothing
 
 
 def penalised_step(weights, slope, curve, l1, l2) -> np.ndarray:
@@ -279,7 +281,7 @@ def penalised_step(weights, slope, curve, l1, l2) -> np.ndarray:
     out = weights.copy()
     smooth = (l1 == 0).all(axis=1)
     if smooth.any():
-        h = curve[smooth] + l2[smooth][:, :, None] * np.eye(curve.shape[1]) + 1e-12 * np.eye(curve.shape[1])
+        h = curve[smooth] + (l2[smooth][:, :, None] + RIDGE) * np.eye(curve.shape[1])
         out[smooth] -= np.linalg.solve(h, (slope + l2 * weights)[smooth][:, :, None])[:, :, 0]
     rest = np.flatnonzero(~smooth)
     w, q, p1, p2 = weights[rest].copy(), slope[rest].copy(), l1[rest], l2[rest]
@@ -292,7 +294,9 @@ def penalised_step(weights, slope, curve, l1, l2) -> np.ndarray:
             q += columns[j] * (new - w[:, j])[:, None]
             w[:, j] = new
     for i, model in enumerate(rest):
-        out[model] = _exact(w[i], slope[model] - curve[model] @ weights[model], curve[model], p1[i], p2[i])
+        # a touch of curvature around the point at hand: it damps the step and leaves the optimum where it is
+        damped = curve[model] + RIDGE * np.eye(curve.shape[1])
+        out[model] = _exact(w[i], slope[model] - damped @ weights[model], damped, p1[i], p2[i])
     return out
 
 
@@ -303,7 +307,7 @@ def _exact(w: np.ndarray, offset: np.ndarray, curve: np.ndarray, l1: np.ndarray,
     for _ in range(4 * len(w) + 20):
         used = np.flatnonzero((w != 0) | (l1 == 0))
         sign = np.sign(w[used])
-        h = curve[np.ix_(used, used)] + np.diag(l2[used] + 1e-12)
+        h = curve[np.ix_(used, used)] + np.diag(l2[used])
         new = np.linalg.solve(h, -offset[used] - l1[used] * sign)
         flips = (l1[used] > 0) & (new * sign <= 0)
         if flips.any():

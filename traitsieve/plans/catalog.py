@@ -8,7 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -670,21 +671,22 @@ def regularisation_path(spark: SparkSession, sf: str) -> DataFrame:
     _, fits = path.search(samples.rows, model, maps, len(samples.names), 2, samples.n_rows)
     weights = spark.createDataFrame(
         [
-            (strengths[p.reg], p.reg, p.fold, i, float(w))
+            (strengths[p.reg], p.reg, p.fold, [float(w) for w in (*m.coefficients.toArray(), m.interceptVector[0])])
             for p, m in fits.items()
-            for i, w in enumerate([*m.coefficients.toArray(), m.interceptVector[0]])
         ],
-        "c double, reg double, left_out int, feature_idx int, w double",
+        "c double, reg double, left_out int, w array<double>",
     )
     with_one = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))  # the intercept's feature comes last
-    cells_ = samples.rows.select("row_id", "label", "fold", F.posexplode(with_one).alias("feature_idx", "x"))
-    met = cells_.join(F.broadcast(weights), "feature_idx").where("fold <> left_out")
+    rows = samples.rows.select("label", "fold", with_one.alias("x")).where("x is not null")
+    met = rows.crossJoin(F.broadcast(weights)).where("fold <> left_out")
+    margin = F.aggregate(F.zip_with("x", "w", lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+    met = met.withColumn("e", 1 / (1 + F.exp(-margin)) - F.col("label")).where("e is not null")
+    # a row and fit becomes one vector; tasks add the vectors up before anything travels
+    pull = array_to_vector(F.transform("x", lambda x: x * F.col("e")))
     point = ["c", "reg", "left_out"]
-    miss = met.groupBy("row_id", "label", *point).agg((1 / (1 + F.exp(-F.sum(F.col("x") * F.col("w"))))).alias("p"))
-    miss = miss.select("row_id", *point, (F.col("p") - F.col("label")).alias("e"))
-    slopes = met.join(miss, ["row_id", *point]).groupBy(*point, "feature_idx").agg(
-        F.avg(F.col("x") * F.col("e")).alias("g"), F.first("w").alias("w")
-    )
+    means = met.groupBy(*point).agg(vector_to_array(Summarizer.mean(pull)).alias("g"), F.first("w").alias("w"))
+    slopes = means.select(*point, F.posexplode(F.arrays_zip("g", "w")).alias("feature_idx", "s"))
+    slopes = slopes.select(*point, "feature_idx", "s.g", "s.w")
     penalty = F.when(F.col("feature_idx") < len(samples.names), F.col("reg")).otherwise(0.0)
     off = F.when(F.col("w") == 0, F.abs("g") - penalty).otherwise(F.abs(F.col("g") + F.signum("w") * penalty))
     return slopes.select(
