@@ -193,3 +193,28 @@ def test_selecting_reads_only_the_chosen_columns(spark, tmp_path):
     read = plan[plan.index("ReadSchema:"):].split("\n")[0]
     assert "c7:" in read and "c3:" in read and "c8:" not in read and "c500:" not in read
     assert table.df.orderBy("row_id").first()["values"] == [0.0, 0.0]
+
+
+def test_neighbour_search_shuffles_no_copy_of_a_block(spark):
+    """Queries and training rows meet in a replicated loop: what is shuffled is k rows a query and part."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 2), [float(a) for a in rng.normal(size=16)]) for i in range(600)]
+    table = FeatureTable(spark.createDataFrame(rows, "row_id long, label int, values array<double>"), tuple(f"f{i}" for i in range(16)))
+    found = knn.nearest_neighbours(table.filter(F.col("row_id") < 400), table.filter(F.col("row_id") >= 400), k=3, pivots=4, block_rows=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "values" not in plan
+    x = np.array([r[2] for r in rows])
+    d = np.sqrt(((x[400:, None] - x[None, :400]) ** 2).sum(-1))
+    got = {(r["row_id"], r["position"]): r["neighbour_id"] for r in found.collect()}
+    assert got == {(400 + i, j + 1): int(d[i].argsort(kind="stable")[j]) for i in range(200) for j in range(3)}
+
+
+def test_candidates_of_neighbours_hold_no_batch_and_keep_ties():
+    import pyarrow as pa
+
+    ids = pa.array([[7, 8]])[0]
+    best = knn._Best(ids, np.array([[0.0], [np.inf]]).tobytes(), 1, 2, 2)
+    assert best.ids.buffers()[1].address != ids.values.buffers()[1].address
+    best.add(pa.array([[5, 9]])[0], pa.array([[0, 1]])[0], np.array([[1.0], [2.0]]).tobytes())
+    best.add(pa.array([[3, 4]])[0], pa.array([[1, 1]])[0], np.array([[-1.0], [-1.0]]).tobytes())
+    assert best.near.tolist() == [[3, 4], [3, 4]]  # ties, and distances without end, go by key

@@ -44,6 +44,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files, whose size Spark knows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stable_layout(
     df: DataFrame, rows: int, width: int, key: str = "row_id", numbers_per_task: int = 1_000_000
 ) -> DataFrame:
