@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -40,10 +40,16 @@ class FourierFeatures(
         phases = rng.uniform(0.0, 2 * np.pi, size)
         scale = np.sqrt(2.0 / size)
 
-        @F.pandas_udf("array<double>")
-        def lift(values: pd.Series) -> pd.Series:
-            x = np.stack(values.to_numpy())
-            return pd.Series(list(scale * np.cos(x @ directions + phases)))
+        @F.arrow_udf("array<double>")
+        def lift(values: pa.Array) -> pa.Array:
+            # one matrix of the batch, worked on in place and handed on without a copy
+            x = values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), width)
+            z = x @ directions
+            z += phases
+            np.cos(z, out=z)
+            z *= scale
+            ends = pa.array(np.arange(len(z) + 1, dtype=np.int32) * size)
+            return pa.ListArray.from_arrays(ends, pa.array(z.ravel()))
 
         return dataset.withColumn(
             self.getOutputCol(), array_to_vector(lift(vector_to_array(self.getInputCol())))
