@@ -677,9 +677,14 @@ def regularisation_path(spark: SparkSession, sf: str) -> DataFrame:
         "c double, reg double, left_out int, w array<double>",
     )
     with_one = F.concat(vector_to_array("features"), F.array(F.lit(1.0)))  # the intercept's feature comes last
-    rows = samples.rows.select("label", "fold", with_one.alias("x")).where("x is not null")
-    met = rows.crossJoin(F.broadcast(weights)).where("fold <> left_out")
-    margin = F.aggregate(F.zip_with("x", "w", lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
+    rows = samples.rows.select("row_id", "fold", "label", with_one.alias("x")).where("x is not null")
+    # rows that share a key count as one row, whose margin is the sum of theirs
+    whole = rows.groupBy("row_id", F.col("fold").alias("own_fold"), "label").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("whole")
+    )
+    met = rows.drop("label").join(whole.hint("merge"), "row_id").crossJoin(F.broadcast(weights))
+    met = met.where("fold <> left_out and own_fold <> left_out")
+    margin = F.aggregate(F.zip_with("whole", "w", lambda x, w: x * w), F.lit(0.0), lambda s, v: s + v)
     met = met.withColumn("e", 1 / (1 + F.exp(-margin)) - F.col("label")).where("e is not null")
     # a row and fit becomes one vector; tasks add the vectors up before anything travels
     pull = array_to_vector(F.transform("x", lambda x: x * F.col("e")))
