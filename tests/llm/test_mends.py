@@ -27,6 +27,23 @@ def test_every_simple_letter_inside_a_word(encoder):
             assert encoder.encode(text) == by_library(encoder, text), repr(text)
 
 
+def test_words_and_pieces_share_a_cache(monkeypatch):
+    """A piece is kept and asked for once, and a word of letters needs no pattern."""
+    enc = token_files.Encoder(token_files.public_vocabulary())
+    cut, asked, pattern, part = [], [], token_files.PRETOKEN, enc.part
+
+    class Counted:
+        findall = staticmethod(lambda text: cut.append(text) or pattern.findall(text))
+
+    monkeypatch.setattr(token_files, "PRETOKEN", Counted)
+    monkeypatch.setattr(enc, "part", lambda text: asked.append(text) or part(text))
+    text = "Straße straße STRAßE. don't strasse strasse."
+    assert enc.encode(text) == by_library(enc, text)
+    assert sorted(asked) == sorted({*asked}) == sorted(["straße", ".", "don", "'t", "strasse"])
+    assert not any(w.isalpha() for w in cut)
+    assert {*enc.words} == {*text.split(), *asked} and not hasattr(enc, "pretokens")
+
+
 @pytest.mark.parametrize("low, high", [(0x20, 0x7F), (0xC0, 0x180), (0x180, 0x250), (0x20, 0x500)])
 def test_random_strings(encoder, low, high):
     rng = random.Random(low + high)

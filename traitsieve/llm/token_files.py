@@ -46,7 +46,7 @@ from traitsieve.llm.tables import written
 MAGIC = b"TSBITS1\n"
 BLOCK = 4_096
 END_ID = 1
-CACHE_MOST = 300_000
+CACHE_MOST = 600_000
 #: Documents that a reader hands out together.
 READ_TOGETHER = 2_000
 
@@ -54,8 +54,9 @@ READ_TOGETHER = 2_000
 # whose lower case is among them too; texts with others go to the tokenizer whole.
 SIMPLE = re.compile("[ -~\\t-\\rÀ-įı-ſ]*")
 LETTERS = "a-zÀ-ÖØ-öø-ſ"
-# The tokenizer's own pattern, for those characters.
-PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s0-9{LETTERS}]+")
+# The tokenizer's own pattern, for those characters; runs of letters come first, since
+# only the contractions and the last class begin with the same character.
+PRETOKEN = re.compile(f"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9{LETTERS}]+")
 
 
 def byte_letters() -> dict[int, str]:
@@ -74,7 +75,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        self.kind, self.code = ("<u2", "H") if self.size <= 1 << 16 else ("<u4", "I")
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         self.special = [t["content"] for t in said.get("added_tokens", [])]
@@ -88,41 +90,40 @@ class Encoder:
         )
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
-        self.pretokens = _Pretokens(self)
         self.words = _Words(self)
 
     def plain(self, ids: list[int]) -> bytes:
         return np.array(ids, dtype=self.kind).tobytes()
 
+    def part(self, text: str) -> bytes:
+        """Ids of one piece of the tokenizer's pattern, from the library's model."""
+        spelled = text if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def encode(self, text: str) -> bytes:
         if self.by_word and SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
             if len(self.words) > CACHE_MOST:
                 self.words.clear()
-            if len(self.pretokens) > CACHE_MOST:
-                self.pretokens.clear()
             return b"".join(map(self.words.__getitem__, text.split()))
         return self.plain(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-class _Pretokens(dict):
-    def __init__(self, encoder: Encoder) -> None:
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, text: str) -> bytes:
-        spelled = text.encode().decode("latin-1").translate(self.encoder.letters)
-        found = self[text] = self.encoder.plain([t.id for t in self.encoder.tokenizer.model.tokenize(spelled)])
-        return found
-
-
 class _Words(dict):
+    """Ids by word; a word's pieces are words too, since each is its own only piece."""
+
     def __init__(self, encoder: Encoder) -> None:
         super().__init__()
         self.encoder = encoder
 
     def __missing__(self, word: str) -> bytes:
-        parts = PRETOKEN.findall(word.lower())
-        found = self[word] = b"".join(map(self.encoder.pretokens.__getitem__, parts))
+        low = word.lower()
+        parts = [low] if low.isalpha() else PRETOKEN.findall(low)
+        if parts == [word]:
+            found = self.encoder.part(word)
+        else:
+            found = b"".join(map(self.__getitem__, parts))
+        self[word] = found
         return found
 
 
