@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from traitsieve.functions import session
 from traitsieve.functions.session import scratch_path
 from traitsieve.operators import importance, metrics, selection, split
 from traitsieve.operators import explore
@@ -199,3 +200,22 @@ def test_neighbours_refuse_missing_cells(spark, sf):
 
     with pytest.raises(Exception, match="impute before"):
         knn.nearest_neighbours(fx.emb(spark, sf), fx.miss(spark, sf), k=3).collect()
+
+
+def test_forest_keeps_node_ids_and_is_the_same_forest(spark, sf):
+    """Deep trees from cached node ids, whose lineage checkpoints cut, are those of walks from the root."""
+    samples = ml.prepare(fx.emb_bin(spark, sf)).select(range(4))
+    forest = ml.random_forest(5, 20)
+    assert forest.getCacheNodeIds() and forest.getCheckpointInterval() > 0
+    assert spark.sparkContext.getCheckpointDir()
+    kept, walked = forest.fit(samples.rows), forest.copy().setCacheNodeIds(False).fit(samples.rows)
+    assert kept.toDebugString == walked.toDebugString
+
+
+@pytest.mark.parametrize(
+    "numbers, tasks",
+    [(0, 2), (1_000_001, 2), (7_000_000, 7), (12_000_000, 12), (39_000_000, 12), (192_000_000, 12), (320_000_000, 20)],
+)
+def test_partitions_of_a_fit_grow_before_they_become_more(numbers, tasks):
+    """From twelve on, each one costs a tree fit the statistics of all its nodes once more."""
+    assert session.fit_tasks(numbers) == tasks

@@ -36,11 +36,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Give the session its checkpoint folder, unless it has one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    with_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,15 +55,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stable_layout(
-    df: DataFrame, rows: int, width: int, key: str = "row_id", numbers_per_task: int = 1_000_000
-) -> DataFrame:
+#: Partitions of a fit's rows: of NUMBERS_PER_TASK up to so many, which then grow to NUMBERS_MOST before there are more.
+FIT_TASKS = 12
+NUMBERS_PER_TASK = 1_000_000
+NUMBERS_MOST = 16_000_000
+
+
+def fit_tasks(numbers: int) -> int:
+    """Every task of a tree fit hands on statistics of all nodes at hand, which may be much more than its rows."""
+    return max(2, min(-(-numbers // NUMBERS_PER_TASK), FIT_TASKS), -(-numbers // NUMBERS_MOST))
+
+
+def stable_layout(df: DataFrame, rows: int, width: int, key: str = "row_id") -> DataFrame:
     """Fixed partitioning and order for seeded fits, cached for their many passes.
 
     Seeded tree fits draw per partition, so equal rows must meet in equal
     partitions: rows go by the hash of their key into partitions whose number
-    follows the table's size, not the input files.
+    follows the table's size, not the input files.  Tree fits cut the lineage of
+    their node ids by checkpoints.
     """
-    tasks = max(2, -(-rows * width // numbers_per_task))
-    laid_out = df.repartition(tasks, key)
+    with_checkpoints(df.sparkSession)
+    laid_out = df.repartition(fit_tasks(rows * width), key)
     return laid_out.sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
